@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from tabwarden.plans import check_queries  # noqa: F401
+from tabwarden.plans import check_queries, diff_queries  # noqa: F401
 from tabwarden.plans.registry import QUERIES, Tables
 
 __all__ = ["QUERIES", "Tables"]
