@@ -23,7 +23,7 @@ KINDS = ("added", "removed", "changed", "unchanged")
 _KEY = "__key"
 
 
-class KeyError_(ValueError):
+class KeyContractError(ValueError):
     """The key column cannot identify records."""
 
 
@@ -136,7 +136,7 @@ def check_key(before: DataFrame, after: DataFrame, key: str) -> None:
     """
     problems = key_missing(before, after, key)
     if problems:
-        raise KeyError_(problems[0])
+        raise KeyContractError(problems[0])
     rows = _keys(before, key, "before").unionByName(_keys(after, key, "after"))
     counts = rows.groupBy("side", _KEY).agg(F.count(F.lit(1)).alias("n"))
     if counts.filter((F.col("n") > 1) | (F.col(_KEY) == "")).isEmpty():
@@ -150,7 +150,7 @@ def check_key(before: DataFrame, after: DataFrame, key: str) -> None:
         for row in frame.filter("violations > 0").collect():
             found.append((row.side == "after", row.first_record, what, row.side))
     _, record, what, side = min(found)
-    raise KeyError_(f"{side}, record {record}: key {key!r} is {what}")
+    raise KeyContractError(f"{side}, record {record}: key {key!r} is {what}")
 
 
 # --- schema --------------------------------------------------------------------
@@ -311,12 +311,16 @@ def row_images(
 ) -> DataFrame:
     """Findings with the full record of each side."""
     rows, shape = _classified(before, after, key, by)
-    return rows.filter(F.col("kind") != "unchanged").select(
-        *by,
+    return _images(rows.filter(F.col("kind") != "unchanged"), shape)
+
+
+def _images(rows: DataFrame, shape: Shape) -> DataFrame:
+    return rows.select(
+        *shape.by,
         "kind",
         F.col(_KEY).alias("key"),
-        _image("old", key, shape.before).alias("before"),
-        _image("new", key, shape.after).alias("after"),
+        _image("old", shape.key, shape.before).alias("before"),
+        _image("new", shape.key, shape.after).alias("after"),
         _fields(shape).alias("fields"),
     )
 
@@ -327,7 +331,10 @@ def diff_findings(
     """The first findings by key. Text sorts by code point."""
     if type(max_findings) is not int or max_findings < 0:
         raise ValueError("max_findings must be a nonnegative whole number")
-    return row_images(before, after, key).orderBy("key").limit(max_findings)
+    rows, shape = _classified(before, after, key, ())
+    # Cut first: the record images are built for the reported rows only.
+    changed = rows.filter(F.col("kind") != "unchanged").orderBy(_KEY).limit(max_findings)
+    return _images(changed, shape)
 
 
 def diff_summary(

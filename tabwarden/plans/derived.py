@@ -145,6 +145,35 @@ FROM part
 """
 
 
+# Rule documents, one per part: sound ones, and every kind of unsound one.
+TEXTS["rule_docs"] = """
+SELECT p_partkey AS rule_set, p_size AS shape, p_name, p_type, CASE p_size
+  WHEN 1 THEN '{"version":1,"columns":{"a":{}}} trailing'
+  WHEN 2 THEN '["version"]'
+  WHEN 3 THEN '{"version":1,"columns":{},"extra":0}'
+  WHEN 4 THEN '{"version":true,"columns":{}}'
+  WHEN 5 THEN '{"version":1,"columns":[]}'
+  WHEN 6 THEN '{"version":1,"columns":{" ":{}}}'
+  WHEN 7 THEN concat('{"version":1,"columns":{"', p_name, '":[]}}')
+  WHEN 8 THEN concat('{"version":1,"columns":{"', p_name, '":{"default":1}}}')
+  WHEN 9 THEN concat('{"version":1,"columns":{"', p_name, '":{"required":1}}}')
+  WHEN 10 THEN concat('{"version":1,"columns":{"', p_name, '":{"unique":"yes"}}}')
+  WHEN 11 THEN concat('{"version":1,"columns":{"', p_name, '":{"type":"float"}}}')
+  WHEN 12 THEN concat('{"version":1,"columns":{"', p_name, '":{"min":1}}}')
+  WHEN 13 THEN concat('{"version":1,"columns":{"', p_name, '":{"type":"number","min":"1"}}}')
+  WHEN 14 THEN concat('{"version":1,"columns":{"', p_name, '":{"type":"number","max":true}}}')
+  WHEN 15 THEN concat('{"version":1,"columns":{"', p_name, '":{"type":"integer","min":3,"max":2}}}')
+  WHEN 16 THEN concat('{"version":1,"columns":{"', p_name, '":{"allowed":[]}}}')
+  WHEN 17 THEN concat('{"version":1,"columns":{"', p_name, '":{"allowed":["a",2]}}}')
+  WHEN 18 THEN concat('{"version":1,"columns":{"', p_name, '":{},"', p_name, '":{}}}')
+  WHEN 19 THEN concat('{"version":1,"columns":{"', p_name, '":{"type":"number","min":NaN}}}')
+  WHEN 20 THEN concat('{"version":1,"columns":{"', p_name, '":{"type":null}}}')
+  ELSE concat('{"version":1,"columns":{"z ', p_name, '":{"required":true,"unique":true},"b":{"type":"number","min":',
+    CAST(p_size AS STRING), ',"max":', CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS STRING),
+    '},"a":{"allowed":["', p_type, '","x"]}}}') END AS doc
+FROM part
+"""
+
 def names_in(text: str) -> list[str]:
     """Derived tables a text reads, those they need first."""
     ordered: list[str] = []
