@@ -29,18 +29,30 @@ def strict_json(text: Column) -> Column:
     return F.when(marked & longer, F.try_variant_get(wrapped, "$[0]", "variant"))
 
 
+# Type names a variant reports, and the JSON types they stand for.
+_KINDS = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "VOID": "null",
+    "BIGINT": "number",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+}
+
+
 def json_kind(value: Column) -> Column:
     """JSON type of a variant: object, array, string, boolean, number or null."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "VOID", "null")
-        .otherwise("number")
-    )
+    names = F.create_map(*[F.lit(text) for pair in _KINDS.items() for text in pair])
+    return names[F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)]
+
+
+def _evaluated(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Select columns behind a generator, so that later filters use their values
+    instead of being pushed down with a second copy of the parsing."""
+    row = F.explode(F.array(F.struct(*columns))).alias("row")
+    return df.select(row).select("row.*")
 
 
 def _get(value: Column, path: str, kind: str = "variant") -> Column:
@@ -53,7 +65,7 @@ def rule_catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``rules`` has one row per column of every document, in document order;
     ``lint`` has one row per problem, ``(rule_set, column, code)``.
     """
-    parsed = docs.select("rule_set", "doc", strict_json(F.col("doc")).alias("v"))
+    parsed = _evaluated(docs, "rule_set", "doc", strict_json(F.col("doc")).alias("v"))
     kind = json_kind(F.col("v"))
     keys = F.when(kind == "object", F.json_object_keys("doc"))
     version = _get(F.col("v"), "$.version")
@@ -68,7 +80,7 @@ def rule_catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~is_one, "bad_version")
         .when(json_kind(columns) != "object", "columns_not_an_object")
     )
-    judged = parsed.select("rule_set", "doc", "v", code.alias("code"))
+    judged = _evaluated(parsed, "rule_set", "doc", "v", code.alias("code"))
     bad_documents = judged.filter(F.col("code").isNotNull()).select(
         "rule_set", F.lit("").alias("column"), "code"
     )
@@ -78,10 +90,9 @@ def rule_catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "rule_set", _get(F.col("v"), "$.columns").alias("columns"), F.posexplode(names).alias("col_idx", "column")
     )
     rules_map = F.try_variant_get("columns", "$", "map<string,variant>")
-    each = listed.select(
-        "rule_set", "col_idx", "column", F.element_at(rules_map, F.col("column")).alias("rule")
-    )
-    each = each.select("*", _rule_code().alias("code"))
+    rule = F.element_at(rules_map, F.col("column")).alias("rule")
+    each = _evaluated(listed, "rule_set", "col_idx", "column", rule)
+    each = _with_rule_code(each)
     lint = bad_documents.unionByName(
         each.filter(F.col("code").isNotNull()).select("rule_set", "column", "code")
     )
@@ -103,49 +114,53 @@ def rule_catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rules.join(spoiled, "rule_set", "left_anti"), lint
 
 
-def _rule_code() -> Column:
+def _with_rule_code(each: DataFrame) -> DataFrame:
+    """Add the first problem of each column's rule, in steps that parse once."""
     rule = F.col("rule")
-    kind = json_kind(rule)
-    keys = F.json_object_keys(F.to_json(rule))
-    unknown = F.size(F.array_except(keys, F.array(*[F.lit(key) for key in RULE_KEYS]))) > 0
-
-    def part(name: str) -> Column:
-        return _get(rule, f"$.{name}")
+    kinds = [
+        F.coalesce(json_kind(_get(rule, f"$.{name}")), F.lit("null")).alias(f"{name}_kind")
+        for name in RULE_KEYS
+    ]
+    parts = each.select(
+        "*",
+        json_kind(rule).alias("rule_kind"),
+        F.json_object_keys(F.to_json(rule)).alias("keys"),
+        *kinds,
+    ).select(
+        "*",
+        F.when(F.array_contains("keys", "type"), _get(rule, "$.type", "string"))
+        .otherwise("string")
+        .alias("type_name"),
+        F.when(F.col("allowed_kind") == "array", _get(rule, "$.allowed", "array<variant>")).alias(
+            "listed"
+        ),
+    )
+    known = F.array(*[F.lit(key) for key in RULE_KEYS])
 
     def given(name: str) -> Column:
-        return F.array_contains(keys, name)
-
-    def not_flag(name: str) -> Column:
-        return given(name) & (F.coalesce(json_kind(part(name)), F.lit("null")) != "boolean")
+        return F.array_contains("keys", name)
 
-    type_name = F.when(
-        given("type"),
-        F.when(json_kind(part("type")) == "string", _get(rule, "$.type", "string")).otherwise(""),
-    ).otherwise("string")
-    bad_type = ~F.coalesce(type_name, F.lit("")).isin(*COLUMN_TYPES)
-    bounded = given("min") | given("max")
-    numeric = type_name.isin("integer", "number")
-
-    def bad_bound(name: str) -> Column:
-        return given(name) & (F.coalesce(json_kind(part(name)), F.lit("null")) != "number")
+    def wrong(name: str, kind: str) -> Column:
+        return given(name) & (F.col(f"{name}_kind") != kind)
 
     low = _get(rule, "$.min", "decimal(38,18)")
     high = _get(rule, "$.max", "decimal(38,18)")
-    allowed = _get(rule, "$.allowed", "array<variant>")
-    texts = F.forall(allowed, lambda item: json_kind(item) == "string")
-    bad_allowed = given("allowed") & ~F.coalesce(
-        (json_kind(part("allowed")) == "array") & (F.size(allowed) > 0) & texts, F.lit(False)
-    )
-    return (
+    texts = F.forall("listed", lambda item: json_kind(item) == "string")
+    usable = F.coalesce((F.size("listed") > 0) & texts, F.lit(False))
+    code = (
         F.when(strip(F.col("column")) == "", "blank_column")
-        .when(kind != "object", "rule_not_an_object")
-        .when(unknown, "unknown_rule_key")
-        .when(not_flag("required"), "required_not_boolean")
-        .when(not_flag("unique"), "unique_not_boolean")
-        .when(bad_type, "bad_type")
-        .when(bounded & ~numeric, "bound_needs_number")
-        .when(bad_bound("min"), "bad_min")
-        .when(bad_bound("max"), "bad_max")
+        .when(F.col("rule_kind") != "object", "rule_not_an_object")
+        .when(F.size(F.array_except("keys", known)) > 0, "unknown_rule_key")
+        .when(wrong("required", "boolean"), "required_not_boolean")
+        .when(wrong("unique", "boolean"), "unique_not_boolean")
+        .when(wrong("type", "string") | ~F.col("type_name").isin(*COLUMN_TYPES), "bad_type")
+        .when(
+            (given("min") | given("max")) & ~F.col("type_name").isin("integer", "number"),
+            "bound_needs_number",
+        )
+        .when(wrong("min", "number"), "bad_min")
+        .when(wrong("max", "number"), "bad_max")
         .when(given("min") & given("max") & (low > high), "min_exceeds_max")
-        .when(bad_allowed, "bad_allowed")
+        .when(given("allowed") & ~usable, "bad_allowed")
     )
+    return _evaluated(parts, "rule_set", "col_idx", "column", "rule", code.alias("code"))
