@@ -1,6 +1,11 @@
 """Registered queries and the SQL that checks them."""
 
-from tabwarden.plans import check_queries, diff_queries, source_queries  # noqa: F401
+from tabwarden.plans import (  # noqa: F401
+    check_queries,
+    diff_queries,
+    source_queries,
+    submission_queries,
+)
 from tabwarden.plans.registry import QUERIES, Tables
 
 __all__ = ["QUERIES", "Tables"]

@@ -174,6 +174,95 @@ SELECT p_partkey AS rule_set, p_size AS shape, p_name, p_type, CASE p_size
 FROM part
 """
 
+# --- submissions ---------------------------------------------------------------
+
+# One file per part; few distinct contents under many names, some too large.
+TEXTS["source_files"] = """
+SELECT concat('inbox/data/', CAST(p_partkey AS STRING), '.csv') AS path,
+  CAST(p_size * 250000 AS BIGINT) AS length, @sha(p_name) AS sha256
+FROM part
+"""
+
+TEXTS["receipt_parts"] = f"""
+SELECT event_id AS receipt_seq, user_id, event_type AS shape, {_K} AS k,
+  substring(@stamp(ts), 1, 10) AS scan_id,
+  concat('inbox/job-', CAST(user_id AS STRING), '.json') AS path,
+  concat('data/', CAST({_K} AS STRING), '.csv') AS file,
+  concat('"rules":"data/', CAST(@div({_K}, 10) AS STRING), '.csv","before":"data/1.csv","after":"data/2.csv"') AS rest
+FROM events
+"""
+
+TEXTS["receipts"] = """
+SELECT receipt_seq, scan_id, path, @sha(doc) AS raw_hash, doc FROM (
+SELECT *, CASE shape
+  WHEN 'view' THEN concat('{"event_type":"orders_check","input":"', file, '",', rest, '}')
+  WHEN 'signup' THEN concat('{"key":" order_id ","event_id":"user-', CAST(user_id AS STRING),
+    '","event_type":"orders_check","input":"', file, '",', rest, '}')
+  WHEN 'purchase' THEN concat('{"event_type":"orders_check","key":"alt","event_id":"buy-', CAST(k AS STRING),
+    '","input":"', file, '",', rest, '}')
+  WHEN 'click' THEN concat('{"event_type":"orders_check",', rest, ',"input":"', CASE
+    WHEN k < 20 THEN concat('../', file) WHEN k < 40 THEN concat('/', file) WHEN k < 60 THEN concat('C:', file)
+    WHEN k < 70 THEN concat('./x/../', file) WHEN k < 80 THEN concat('../inbox/', file)
+    ELSE concat(file, '.absent') END, '"}')
+  ELSE CASE WHEN k < 10 THEN '{broken' WHEN k < 20 THEN '["orders_check"]'
+    WHEN k < 30 THEN concat('{"event_type":"orders_check","event_type":"other",', rest, '}')
+    WHEN k < 40 THEN concat('{"event_type":"orders_check","key":NaN,', rest, '}')
+    WHEN k < 50 THEN concat('{"event_type":"orders_check","input":"', file, '",', rest, '} {}')
+    WHEN k < 55 THEN concat('{"event_type":"orders_check",', rest, '}')
+    WHEN k < 60 THEN concat('{"event_type":"orders_check","module":"x","input":"', file, '",', rest, '}')
+    WHEN k < 70 THEN concat('{"event_type":"orders_check","input":', CAST(k AS STRING), ',', rest, '}')
+    WHEN k < 75 THEN concat('{"event_type":"orders_check","key":" ","input":"', file, '",', rest, '}')
+    WHEN k < 80 THEN concat('{"event_type":"other","input":"', file, '",', rest, '}')
+    WHEN k < 85 THEN concat('{"event_type":"orders_check","key":"a', chr(92), 'tb","input":"', file, '",', rest, '}')
+    WHEN k < 90 THEN concat('{"event_type":"orders_check","event_id":"', repeat('a', 257), '","input":"', file, '",', rest, '}')
+    ELSE concat('{"event_type":"orders_check","event_id":null,"input":"', file, '",', rest, '}') END
+  END AS doc FROM receipt_parts) AS written_docs
+"""
+
+TEXTS["event_rows"] = """
+SELECT concat('evt_', CAST(o_orderkey AS STRING)) AS id,
+  concat('content:', CAST(o_custkey AS STRING), ':', @stamp(o_orderdate)) AS identity_key,
+  concat('user-', CAST(o_custkey AS STRING)) AS event_id,
+  concat('inbox/job-', CAST(o_orderkey AS STRING), '.json') AS manifest_path,
+  @sha(concat(CAST(o_custkey AS STRING), o_orderpriority, @stamp(o_orderdate))) AS fingerprint,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'FAILED' WHEN '2-HIGH' THEN 'INVALID'
+    WHEN '3-MEDIUM' THEN 'VALIDATED' WHEN '4-NOT SPECIFIED' THEN 'CLAIMED'
+    ELSE 'WORKFLOW_CREATED' END AS status,
+  CASE WHEN o_orderpriority = '2-HIGH' AND o_totalprice < 450000 THEN NULL
+    ELSE left(@sha(CAST(o_orderkey AS STRING)), 32) END AS workflow_run_id,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'changed input' END AS error,
+  @stamp(o_orderdate) AS received_at
+FROM orders
+"""
+
+TEXTS["run_rows"] = """
+SELECT left(@sha(CAST(o_orderkey AS STRING)), 32) AS run_id,
+  CASE WHEN o_orderstatus = 'F' THEN 'SUCCEEDED'
+    WHEN o_orderstatus = 'O' AND o_totalprice > 250000 THEN 'FAILED'
+    WHEN o_orderstatus = 'O' THEN 'RUNNING'
+    WHEN o_totalprice > 250000 THEN 'WAITING_FOR_APPROVAL' ELSE 'PENDING' END AS status,
+  CASE WHEN o_orderstatus = 'O' AND o_totalprice > 250000
+    THEN concat('task failed for ', CAST(o_custkey AS STRING)) END AS failure_reason,
+  concat('{"key":"order_id","llm_url":', CASE WHEN o_orderpriority = '5-LOW' THEN '"http://127.0.0.1:8080"'
+    ELSE 'null' END, ',"max_human_revisions":', CAST(1 + o_custkey % 4 AS STRING), '}') AS config_json,
+  @stamp(o_orderdate) AS created_at
+FROM orders
+"""
+
+TEXTS["run_limits"] = """
+SELECT left(@sha(CAST(o_orderkey AS STRING)), 32) AS run_id,
+  CASE WHEN o_totalprice > 400000 THEN 'revision_limit_reached' ELSE 'run_completed' END AS event
+FROM orders
+"""
+
+TEXTS["event_log"] = f"""
+SELECT event_id AS id, CAST(user_id AS STRING) AS ingestion_id, @stamp(ts) AS logged_at,
+  CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'signup' THEN 'CLAIMED'
+    ELSE 'WORKFLOW_CREATED' END AS status,
+  CASE WHEN event_type = 'error' THEN concat('error ', CAST(@div({_K}, 50) AS STRING)) END AS error
+FROM events
+"""
+
 def names_in(text: str) -> list[str]:
     """Derived tables a text reads, those they need first."""
     ordered: list[str] = []

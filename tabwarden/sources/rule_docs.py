@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.functions.checks import COLUMN_TYPES
+from tabwarden.functions.staging import evaluated
 from tabwarden.functions.text import strip
 from tabwarden.operators.rules import DOCUMENT_KEYS, RULE_KEYS
 
@@ -48,13 +49,6 @@ def json_kind(value: Column) -> Column:
     return names[F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)]
 
 
-def _evaluated(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """Select columns behind a generator, so that later filters use their values
-    instead of being pushed down with a second copy of the parsing."""
-    row = F.explode(F.array(F.struct(*columns))).alias("row")
-    return df.select(row).select("row.*")
-
-
 def _get(value: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path, kind)
 
@@ -65,7 +59,7 @@ def rule_catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``rules`` has one row per column of every document, in document order;
     ``lint`` has one row per problem, ``(rule_set, column, code)``.
     """
-    parsed = _evaluated(docs, "rule_set", "doc", strict_json(F.col("doc")).alias("v"))
+    parsed = evaluated(docs, "rule_set", "doc", strict_json(F.col("doc")).alias("v"))
     kind = json_kind(F.col("v"))
     keys = F.when(kind == "object", F.json_object_keys("doc"))
     version = _get(F.col("v"), "$.version")
@@ -80,7 +74,7 @@ def rule_catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~is_one, "bad_version")
         .when(json_kind(columns) != "object", "columns_not_an_object")
     )
-    judged = _evaluated(parsed, "rule_set", "doc", "v", code.alias("code"))
+    judged = evaluated(parsed, "rule_set", "doc", "v", code.alias("code"))
     bad_documents = judged.filter(F.col("code").isNotNull()).select(
         "rule_set", F.lit("").alias("column"), "code"
     )
@@ -91,7 +85,7 @@ def rule_catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rules_map = F.try_variant_get("columns", "$", "map<string,variant>")
     rule = F.element_at(rules_map, F.col("column")).alias("rule")
-    each = _evaluated(listed, "rule_set", "col_idx", "column", rule)
+    each = evaluated(listed, "rule_set", "col_idx", "column", rule)
     each = _with_rule_code(each)
     lint = bad_documents.unionByName(
         each.filter(F.col("code").isNotNull()).select("rule_set", "column", "code")
@@ -163,4 +157,4 @@ def _with_rule_code(each: DataFrame) -> DataFrame:
         .when(given("min") & given("max") & (low > high), "min_exceeds_max")
         .when(given("allowed") & ~usable, "bad_allowed")
     )
-    return _evaluated(parts, "rule_set", "col_idx", "column", "rule", code.alias("code"))
+    return evaluated(parts, "rule_set", "col_idx", "column", "rule", code.alias("code"))
