@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,39 +53,62 @@ def _segmented(df: DataFrame, order: str, span: int) -> DataFrame:
     return df.withColumn("__segment", F.floor(F.col(order) / F.lit(span)).cast("bigint"))
 
 
+@dataclass(frozen=True)
+class Running:
+    """A running ``sum`` or ``max``, up to and with the row, or before it."""
+
+    value: Column
+    how: str = "sum"
+    inclusive: bool = True
+
+    @property
+    def combine(self) -> Callable[[Column | str], Column]:
+        return {"sum": F.sum, "max": F.max}[self.how]
+
+    def merged(self, carry: Column, within: Column) -> Column:
+        if self.how == "max":
+            return F.greatest(carry, within)
+        return F.coalesce(carry, F.lit(0)) + F.coalesce(within, F.lit(0))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    column: str,
-    value: Column,
-    how: str = "sum",
-    inclusive: bool = True,
+    columns: dict[str, Running],
     span: int = SEGMENT_SPAN,
 ) -> DataFrame:
-    """Add a running ``sum`` or ``max`` of ``value`` per key in ``order``.
+    """Add running values per key in ``order``, a whole-number sequence.
 
-    ``order`` is a whole-number sequence. A plain window would sort every row of a
-    key in one task; here a window runs per key and segment of the sequence, and
-    the segment totals (one row per key and segment) carry over between them.
+    A plain window would sort every row of a key in one task; here a window runs
+    per key and segment of the sequence, and the segment totals (one row per key
+    and segment) carry over between them.
     """
-    combine = {"sum": F.sum, "max": F.max}[how]
-    neutral = F.lit(0) if how == "sum" else F.lit(None)
-    rows = _segmented(df, order, span).withColumn("__value", value)
+    rows = _segmented(df, order, span)
+    for name, spec in columns.items():
+        rows = rows.withColumn(f"__v_{name}", spec.value)
     group = [*keys, "__segment"]
-    totals = rows.groupBy(*group).agg(combine("__value").alias("__total"))
+    totals = rows.groupBy(*group).agg(
+        *[spec.combine(f"__v_{name}").alias(f"__t_{name}") for name, spec in columns.items()]
+    )
     before = Window.partitionBy(*keys).orderBy("__segment").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    totals = totals.select(*group, combine("__total").over(before).alias("__carry"))
-    last = 0 if inclusive else -1
-    within = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
-    joined = rows.join(totals, group).withColumn("__within", combine("__value").over(within))
-    if how == "sum":
-        result = F.coalesce("__carry", neutral) + F.coalesce("__within", neutral)
-    else:
-        result = F.greatest("__carry", "__within")
-    return joined.select(*[F.col(name) for name in df.columns], result.alias(column))
+    totals = totals.select(
+        *group,
+        *[
+            spec.combine(f"__t_{name}").over(before).alias(f"__c_{name}")
+            for name, spec in columns.items()
+        ],
+    )
+    joined = rows.join(totals, group)
+    within = Window.partitionBy(*group).orderBy(order)
+    results = []
+    for name, spec in columns.items():
+        frame = within.rowsBetween(Window.unboundedPreceding, 0 if spec.inclusive else -1)
+        inner = spec.combine(f"__v_{name}").over(frame)
+        results.append(spec.merged(F.col(f"__c_{name}"), inner).alias(name))
+    return joined.select(*[F.col(name) for name in df.columns], *results)
 
 
 def neighbour(

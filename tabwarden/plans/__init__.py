@@ -2,7 +2,9 @@
 
 from tabwarden.plans import (  # noqa: F401
     check_queries,
+    delivery_queries,
     diff_queries,
+    run_queries,
     source_queries,
     submission_queries,
 )

@@ -263,6 +263,127 @@ SELECT event_id AS id, CAST(user_id AS STRING) AS ingestion_id, @stamp(ts) AS lo
 FROM events
 """
 
+# --- run history ---------------------------------------------------------------
+
+TEXTS["run_log"] = f"""
+SELECT event_id AS id, CAST(user_id AS STRING) AS run_id, @stamp(ts) AS logged_at, event_name AS event,
+  CASE WHEN event_name <> 'run_resumed' THEN task_name END AS task, k,
+  CASE WHEN event_name = 'task_failed' THEN concat('{{"error":"', error_name, ': no ', CAST(k AS STRING), '"}}')
+    ELSE concat('{{"attempt":"', CAST(k AS STRING), '"}}') END AS detail_json,
+  CASE WHEN event_name = 'task_failed' THEN concat(error_name, ': no ', CAST(k AS STRING)) END AS error
+FROM (SELECT event_id, ts, user_id, {_K} AS k,
+  CASE event_type WHEN 'view' THEN 'task_started' WHEN 'purchase' THEN 'task_succeeded'
+    WHEN 'error' THEN 'task_failed' WHEN 'click' THEN 'task_retrying'
+    ELSE CASE WHEN {_K} % 2 = 0 THEN 'task_reused' ELSE 'run_resumed' END END AS event_name,
+  CASE {_K} % 5 WHEN 0 THEN 'planner' WHEN 1 THEN 'quality_agent' WHEN 2 THEN 'change_agent'
+    WHEN 3 THEN 'verifier' ELSE 'briefing_agent' END AS task_name,
+  CASE {_K} % 3 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'ConnectionResetError' ELSE 'ValueError' END AS error_name
+  FROM events) AS named
+"""
+
+TEXTS["task_rows"] = """
+SELECT run_id, task_id, attempts, last_error AS error,
+  CASE last_event WHEN 'task_succeeded' THEN 'succeeded' WHEN 'task_failed' THEN 'failed'
+    WHEN 'task_started' THEN 'running' ELSE 'pending' END AS status,
+  CASE WHEN last_event = 'task_succeeded' THEN concat('{"summary":{"',
+    CASE WHEN task_id = 'change_agent' THEN 'total_changes' ELSE 'issues' END, '":', CAST(attempts AS STRING), '}}')
+    END AS output_json
+FROM (SELECT run_id, task AS task_id, max_by(event, id) AS last_event,
+  count(CASE WHEN event = 'task_started' THEN 1 END) AS attempts,
+  max_by(CASE WHEN event = 'task_failed' THEN error ELSE '' END, id) AS last_error
+  FROM run_log WHERE task IS NOT NULL GROUP BY run_id, task) AS folded
+"""
+
+TEXTS["approval_rows"] = """
+SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn + 1 AS STRING)) AS id,
+  CAST(conv_id AS STRING) AS run_id, turn + 1 AS iteration, kind AS status,
+  CASE WHEN kind <> 'pending' OR length(text) % 7 = 0 THEN kind END AS decision,
+  CASE WHEN kind <> 'pending' AND length(text) % 11 > 0 THEN 'decided' END AS decided_at,
+  text AS comment
+FROM (SELECT *, CASE WHEN role = 'system' OR (role = 'user' AND length(text) % 5 = 0) THEN 'pending'
+  WHEN role = 'assistant' AND length(text) % 3 = 0 THEN 'approved' ELSE 'rejected' END AS kind
+  FROM conversations) AS kinds
+"""
+
+TEXTS["run_configs"] = """
+SELECT CAST(c_custkey AS STRING) AS run_id, CASE WHEN c_nationkey % 5 = 0 THEN '{"key":"order_id"}'
+  ELSE concat('{"key":"order_id","max_human_revisions":', CAST(1 + c_nationkey % 4 AS STRING), '}') END AS config_json
+FROM customer
+"""
+
+TEXTS["decision_log"] = f"""
+SELECT event_id AS seq, concat(CAST(user_id AS STRING), '-', CAST(1 + {_K} % 4 AS STRING)) AS approval_id,
+  CASE WHEN event_type IN ('error', 'click') THEN 'rejected' ELSE 'approved' END AS decision,
+  CASE WHEN event_type = 'error' THEN ' ' WHEN event_type = 'click' THEN props END AS comment
+FROM events
+"""
+
+TEXTS["approval_requests"] = """
+SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn + 1 AS STRING)) AS approval_id,
+  CAST(conv_id AS STRING) AS run_id, turn + 1 AS iteration, turn * 1200 AS requested_seq
+FROM conversations
+"""
+
+# --- delivery ------------------------------------------------------------------
+
+TEXTS["job_rows"] = """
+SELECT concat('job_', CAST(o_orderkey AS STRING)) AS id, concat('evt_', CAST(o_orderkey AS STRING)) AS ingestion_id,
+  left(@sha(CAST(o_orderkey AS STRING)), 32) AS workflow_run_id, kind AS status,
+  CASE WHEN o_totalprice > 495000 THEN 150 ELSE o_custkey % 201 - 100 END AS priority,
+  o_custkey % 5 AS attempts, o_custkey % 4 AS budget_attempts, o_custkey % 12 AS max_attempts,
+  @stamp(@plus_seconds(o_orderdate, o_custkey % 10 * 86400)) AS available_at,
+  CASE WHEN kind = 'LEASED' THEN 'worker' END AS lease_owner,
+  CASE WHEN kind = 'LEASED' AND o_totalprice > 20000 OR o_totalprice < 3000 THEN @sha(o_orderpriority) END AS lease_token,
+  CASE WHEN kind = 'LEASED' THEN @stamp(@plus_seconds(o_orderdate, 30)) END AS lease_expires_at,
+  CASE WHEN kind = 'DEAD_LETTER' THEN 'failed' END AS last_error,
+  CASE WHEN kind = 'DEAD_LETTER' THEN 'DeliveryFailure' END AS last_error_type,
+  @stamp(o_orderdate) AS created_at, o_totalprice < 300000 AS replayable,
+  o_custkey % 2 AS replay_count
+FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'LEASED' WHEN '2-HIGH' THEN 'QUEUED'
+  WHEN '3-MEDIUM' THEN 'WAITING_FOR_APPROVAL' WHEN '4-NOT SPECIFIED' THEN 'SUCCEEDED'
+  ELSE CASE WHEN o_orderstatus = 'P' THEN 'QUEUED' ELSE 'DEAD_LETTER' END END AS kind FROM orders) AS kinds
+"""
+
+# The live log of a queue: who claimed, beat, failed or settled, and when. A row
+# names the attempt it speaks for; a few speak for the one before.
+TEXTS["delivery_log"] = f"""
+SELECT event_id AS id, CAST(user_id AS STRING) AS job_id, ts AS at_time, {_K} AS k,
+  CASE event_type WHEN 'signup' THEN 'replay' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat'
+    WHEN 'error' THEN 'fail' ELSE 'settle' END AS event,
+  concat('worker-', CAST({_K} % 3 AS STRING)) AS worker_id,
+  CASE WHEN {_K} % 10 = 0 AND event_type <> 'view' THEN 1 ELSE 0 END AS attempts_ago
+FROM events
+"""
+
+TEXTS["failure_log"] = f"""
+SELECT event_id AS id, CAST(user_id AS STRING) AS job_id, ts AS failed_at,
+  event_type = 'signup' AS expired, event_type = 'click' AS busy, event_type = 'error' AND {_K} >= 90 AS terminal,
+  {_K} % 9 AS budget_attempts, 1 + user_id % 8 AS max_attempts,
+  CASE WHEN {_K} % 4 = 0 THEN {_K} ELSE CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 1
+    ELSE CASE {_K} % 9 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 4 WHEN 4 THEN 8 WHEN 5 THEN 16
+      WHEN 6 THEN 32 ELSE 60 END END END AS delay_seconds,
+  CASE WHEN {_K} % 7 = 0 THEN 'QUEUED' ELSE 'DEAD_LETTER' END AS status_after,
+  CASE event_type WHEN 'signup' THEN 'EXPIRED' WHEN 'click' THEN 'DEFERRED' ELSE 'FAILED' END AS outcome
+FROM events
+"""
+
+# The accepted history of each job, as the queue wrote it down.
+TEXTS["job_log"] = f"""
+SELECT event_id AS id, CAST(user_id AS STRING) AS job_id, @stamp(ts) AS logged_at,
+  CASE event_type WHEN 'view' THEN 'job_claimed'
+    WHEN 'signup' THEN CASE WHEN {_K} < 50 THEN 'job_created' ELSE 'job_replayed' END
+    WHEN 'click' THEN CASE WHEN {_K} < 50 THEN 'job_deferred' ELSE 'job_requeued' END
+    WHEN 'error' THEN CASE WHEN {_K} < 50 THEN 'job_failed' ELSE 'job_dead_lettered' END
+    ELSE CASE WHEN {_K} < 50 THEN 'job_waiting_for_approval' ELSE 'job_succeeded' END END AS event,
+  CASE WHEN event_type = 'error' THEN concat('error ', CAST({_K} AS STRING)) END AS error
+FROM events
+"""
+
+TEXTS["enqueue_log"] = f"""
+SELECT event_id AS seq, CAST(user_id AS STRING) AS ingestion_id, {_K} - 50 AS priority, 1 + {_K} % 10 AS max_attempts
+FROM events
+"""
+
 def names_in(text: str) -> list[str]:
     """Derived tables a text reads, those they need first."""
     ordered: list[str] = []
