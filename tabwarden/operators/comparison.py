@@ -43,6 +43,8 @@ class Shape:
     by: tuple[str, ...]
     before: tuple[str, ...]
     after: tuple[str, ...]
+    before_header: tuple[str, ...]
+    after_header: tuple[str, ...]
 
     @property
     def shared(self) -> list[str]:
@@ -54,13 +56,12 @@ def _ticked(name: str) -> str:
 
 
 def _shape(before: DataFrame, after: DataFrame, key: str, by: Sequence[str]) -> Shape:
-    skip = {key, "record_no", *by}
-    return Shape(
-        key,
-        tuple(by),
-        tuple(name for name in before.columns if name not in skip),
-        tuple(name for name in after.columns if name not in skip),
-    )
+    headers = [
+        tuple(name for name in df.columns if name != "record_no" and name not in by)
+        for df in (before, after)
+    ]
+    fields = [tuple(name for name in header if name != key) for header in headers]
+    return Shape(key, tuple(by), *fields, *headers)
 
 
 def _matched(text: Column) -> Column:
@@ -295,13 +296,16 @@ def unchanged_rows(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return both.select(F.col(_KEY).alias("key"))
 
 
-def _image(side: str, key: str, fields: Sequence[str]) -> Column:
-    """The whole record of one side as a map, NULL where the side is absent."""
-    names = F.array(F.lit(key), *[F.lit(f) for f in fields])
+def _image(side: str, key: str, header: Sequence[str]) -> Column:
+    """The whole record of one side as a map in header order, NULL where the side
+    is absent."""
     image = F.col(side)
+    names = F.array(*[F.lit(name) for name in header])
     values = F.array(
-        image.getField("__spelling").cast("string"),
-        *[image.getField(f).cast("string") for f in fields],
+        *[
+            image.getField("__spelling" if name == key else name).cast("string")
+            for name in header
+        ]
     )
     return F.when(image.isNotNull(), F.map_from_arrays(names, values))
 
@@ -319,8 +323,8 @@ def _images(rows: DataFrame, shape: Shape) -> DataFrame:
         *shape.by,
         "kind",
         F.col(_KEY).alias("key"),
-        _image("old", shape.key, shape.before).alias("before"),
-        _image("new", shape.key, shape.after).alias("after"),
+        _image("old", shape.key, shape.before_header).alias("before"),
+        _image("new", shape.key, shape.after_header).alias("after"),
         _fields(shape).alias("fields"),
     )
 

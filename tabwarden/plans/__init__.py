@@ -4,6 +4,7 @@ from tabwarden.plans import (  # noqa: F401
     check_queries,
     delivery_queries,
     diff_queries,
+    evidence_queries,
     run_queries,
     source_queries,
     submission_queries,

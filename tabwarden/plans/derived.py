@@ -174,6 +174,50 @@ SELECT p_partkey AS rule_set, p_size AS shape, p_name, p_type, CASE p_size
 FROM part
 """
 
+# --- batches of runs -------------------------------------------------------------
+
+# Ten customers make one run; its export has their orders, old and new.
+TEXTS["run_before"] = """
+SELECT concat('run-', CAST(@div(CAST(customer AS BIGINT), 10) AS STRING)) AS run_id, * FROM before_orders
+"""
+
+TEXTS["run_after"] = """
+SELECT concat('run-', CAST(@div(CAST(customer AS BIGINT), 10) AS STRING)) AS run_id, * FROM after_orders
+"""
+
+TEXTS["briefing_docs"] = """
+SELECT concat('run-', CAST(doc_id % 150 AS STRING)) AS run_id, doc_id AS briefing_id, shape, CASE shape
+  WHEN 0 THEN '{"summary":"ok","actions":[{"title":"look","priority":"high","evidence_ids":["V1","C1"]}]}'
+  WHEN 1 THEN '{"summary":"ok","actions":[]} x'
+  WHEN 2 THEN '["summary"]'
+  WHEN 3 THEN '{"summary":"ok","actions":[],"note":1}'
+  WHEN 4 THEN '{"summary":" ","actions":[]}'
+  WHEN 5 THEN concat('{"summary":"', repeat('s', 4001), '","actions":[]}')
+  WHEN 6 THEN '{"summary":"ok","actions":{}}'
+  WHEN 7 THEN '{"summary":"ok","actions":[{"title":"look","priority":"high"}]}'
+  WHEN 8 THEN '{"summary":"ok","actions":[{"title":7,"priority":"high","evidence_ids":["V1"]}]}'
+  WHEN 9 THEN '{"summary":"ok","actions":[{"title":"look","priority":"urgent","evidence_ids":["V1"]}]}'
+  WHEN 10 THEN '{"summary":"ok","actions":[{"title":"look","priority":"low","evidence_ids":["V1","V1"]}]}'
+  WHEN 11 THEN '{"summary":"ok","actions":[{"title":"look","priority":"low","evidence_ids":[]}]}'
+  WHEN 12 THEN concat('{"summary":"ok","actions":[{"title":"look","priority":"low","evidence_ids":["V',
+    CAST(1 + doc_id % 40 AS STRING), '"]}]}')
+  ELSE '{"summary":"ok","actions":[{"title":"a","priority":"low","evidence_ids":["C1"]},{"title":"b","priority":"low","evidence_ids":["C1",2]}]}'
+  END AS content
+FROM (SELECT *, doc_id % 7 * 2 + CASE WHEN toxic = 1 THEN quality ELSE 1 - quality END AS shape FROM labels) AS shaped
+"""
+
+TEXTS["review_docs"] = """
+SELECT CAST(conv_id AS STRING) AS run_id, turn + 1 AS round, shape, n, CASE shape
+  WHEN 0 THEN '{"approved":true,"feedback":""}'
+  WHEN 1 THEN '{"approved":"yes","feedback":"fine"}'
+  WHEN 2 THEN concat('{"approved":true,"feedback":"', repeat('x', 2001), '"}')
+  WHEN 3 THEN '{"approved":false,"feedback":" "}'
+  WHEN 4 THEN '{"approved":true}'
+  WHEN 5 THEN '{broken'
+  ELSE concat('{"approved":false,"feedback":"see ', CAST(n AS STRING), '"}') END AS content
+FROM (SELECT conv_id, turn, length(text) AS n, length(text) % 9 AS shape FROM conversations) AS shaped
+"""
+
 # --- submissions ---------------------------------------------------------------
 
 # One file per part; few distinct contents under many names, some too large.
