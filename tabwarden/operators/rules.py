@@ -49,7 +49,7 @@ def parse_rules(text: str) -> dict[str, Any]:
     """Strict JSON: no repeated key at any level, no NaN or Infinity."""
     try:
         return json.loads(
-            text.removeprefix("﻿"),
+            text.removeprefix("\ufeff"),
             object_pairs_hook=_pairs_once,
             parse_float=Decimal,
             parse_constant=_no_constant,

@@ -15,7 +15,7 @@ from tabwarden.functions.staging import evaluated
 from tabwarden.functions.text import strip
 from tabwarden.session import written
 from tabwarden.sources.inbox import MAX_DOCUMENT_BYTES, MAX_SOURCE_BYTES
-from tabwarden.sources.rule_docs import json_kind, strict_json
+from tabwarden.sources.rule_docs import json_kind, strict_json, without_mark
 
 # The fields of a submission.
 ROLES = ("input", "rules", "before", "after")
@@ -55,7 +55,7 @@ def manifest_decode(receipts: DataFrame) -> DataFrame:
     return evaluated(
         parsed,
         *receipts.columns,
-        F.when(is_object, F.json_object_keys("doc")).alias("keys"),
+        F.when(is_object, F.json_object_keys(without_mark(F.col("doc")))).alias("keys"),
         F.when(is_object, texts).alias("texts"),
         error.alias("error"),
     )

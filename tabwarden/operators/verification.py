@@ -29,8 +29,8 @@ def recompute_equal(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Order-free identity of a table: row count, and two folds of row hashes."""
     row = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
-    # Halves are summed apart, so the sum cannot overflow.
-    low = F.sum(F.pmod(row, F.lit(2**31)))
+    # Twenty bits per row keep the sum in range up to 2**43 rows.
+    low = F.sum(F.pmod(row, F.lit(2**20)))
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.bit_xor(row), F.lit(0).cast("bigint")).alias("mixed"),

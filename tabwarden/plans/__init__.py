@@ -7,6 +7,7 @@ from tabwarden.plans import (  # noqa: F401
     evidence_queries,
     run_queries,
     source_queries,
+    stream_queries,
     submission_queries,
 )
 from tabwarden.plans.registry import QUERIES, Tables

@@ -94,7 +94,7 @@ def _(t):
     "evd_03_bounded_values",
     """SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(left(text, 500), '… [truncated]') ELSE text END AS shown,
   length(text) > 500 AS trimmed, CAST(least(len(string_split(text, ' ')), 20) AS BIGINT) AS words,
-  len(string_split(text, ' ')) > 20 OR list_max(list_transform(string_split(text, ' ')[1:20], w -> length(w))) > 500
+  len(string_split(text, ' ')) > 20 OR list_max(list_transform(string_split(text, ' ')[1:20], lambda w: length(w))) > 500
   AS words_trimmed FROM documents""",
 )
 def _(t):

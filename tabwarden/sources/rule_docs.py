@@ -16,6 +16,11 @@ from tabwarden.operators.rules import DOCUMENT_KEYS, RULE_KEYS
 _END = "~end~"
 
 
+def without_mark(text: Column) -> Column:
+    """Text without a leading byte order mark."""
+    return F.when(text.startswith("\ufeff"), F.substring(text, 2, 2_000_000_000)).otherwise(text)
+
+
 def strict_json(text: Column) -> Column:
     """JSON as a variant; NULL for anything malformed.
 
@@ -23,7 +28,7 @@ def strict_json(text: Column) -> Column:
     an array with an end mark: only a document that ends where it should yields
     exactly two elements. Repeated keys and NaN are already refused.
     """
-    body = F.when(text.startswith("﻿"), F.substring(text, 2, 2_000_000_000)).otherwise(text)
+    body = without_mark(text)
     wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
     marked = F.try_variant_get(wrapped, "$[1]", "string") == _END
     longer = F.try_variant_get(wrapped, "$[2]", "variant").isNull()
@@ -59,7 +64,8 @@ def rule_catalog(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``rules`` has one row per column of every document, in document order;
     ``lint`` has one row per problem, ``(rule_set, column, code)``.
     """
-    parsed = evaluated(docs, "rule_set", "doc", strict_json(F.col("doc")).alias("v"))
+    plain = docs.select("rule_set", without_mark(F.col("doc")).alias("doc"))
+    parsed = evaluated(plain, "rule_set", "doc", strict_json(F.col("doc")).alias("v"))
     kind = json_kind(F.col("v"))
     keys = F.when(kind == "object", F.json_object_keys("doc"))
     version = _get(F.col("v"), "$.version")
