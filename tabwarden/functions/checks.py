@@ -28,12 +28,13 @@ def is_date(value: Column) -> Column:
     )
 
 
-def is_valid(value: Column, column_type: str) -> Column:
-    """Whether stripped nonblank text has the given semantic type."""
+def is_valid(value: Column, column_type: str, quick: Column | None = None) -> Column:
+    """Whether stripped nonblank text has the given semantic type; ``quick`` is
+    the value as a decimal, where already computed."""
     if column_type == "integer":
         return is_integer(value)
     if column_type == "number":
-        return is_number(value)
+        return is_number(value, quick)
     if column_type == "email":
         return is_email(value)
     if column_type == "date":

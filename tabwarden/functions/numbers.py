@@ -1,7 +1,7 @@
 """Exact comparison of decimal text with a bound, without rounding.
 
-Most values fit ``DECIMAL(38,20)`` and are compared natively. The rest (more
-digits, or an exponent) are compared by sign, then by the position of the first
+Most values fit ``DECIMAL(18,6)``, which Spark keeps and compares as a long. The
+rest (more digits, or an exponent) are compared by sign, then by the position of the first
 significant digit, then by the significant digits as text. Both ways stay
 inside Catalyst.
 """
@@ -9,7 +9,7 @@ inside Catalyst.
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import Decimal
+from decimal import ROUND_FLOOR, Decimal, localcontext
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +22,10 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 MAX_LEADING_EXPONENT = 999_999_999_999_999_999
 MIN_LAST_EXPONENT = -1_999_999_999_999_999_997
 
-_PLAIN = r"^[+-]?[0-9]{0,18}(\.[0-9]{0,20})?\z"
+_PLAIN = r"^[+-]?([0-9]{1,12}(\.[0-9]{0,6})?|\.[0-9]{1,6})\z"
+_QUICK_TYPE = "decimal(18,6)"
+_QUICK_LIMIT = Decimal(10) ** 12
+_QUICK_STEP = Decimal("0.000001")
 _PARTS = r"^[+-]?([0-9]*)\.?([0-9]*)[eE]?([+-]?[0-9]*)\z"
 _EXPONENT_RANGE = 3_000_000_000_000_000_000
 
@@ -83,12 +86,21 @@ def _exponent_fits(value: Column) -> Column:
     return _let(_shape(value), fits)
 
 
-def is_number(value: Column) -> Column:
-    """Finite decimal text whose exponent an exact decimal can hold."""
-    plain = ~value.rlike("[eE]")
-    return value.rlike(NUMBER_PATTERN) & F.when(plain, F.lit(True)).otherwise(
+def quick_decimal(value: Column) -> Column:
+    """The number as a short decimal where that holds it exactly, else NULL."""
+    return F.when(value.rlike(_PLAIN), value.try_cast(_QUICK_TYPE))
+
+
+def is_number(value: Column, quick: Column | None = None) -> Column:
+    """Finite decimal text whose exponent an exact decimal can hold.
+
+    ``quick`` is :func:`quick_decimal` of the value, where already computed.
+    """
+    quick = quick_decimal(value) if quick is None else quick
+    rare = value.rlike(NUMBER_PATTERN) & F.when(~value.rlike("[eE]"), F.lit(True)).otherwise(
         _exponent_fits(value)
     )
+    return F.when(quick.isNotNull(), F.lit(True)).otherwise(rare)
 
 
 def _bound_shape(bound: Decimal) -> tuple[int, int, str]:
@@ -101,24 +113,27 @@ def _bound_shape(bound: Decimal) -> tuple[int, int, str]:
     return (-1 if sign else 1), lead, significant
 
 
-def _native(bound: Decimal) -> Decimal | None:
-    """The bound as ``DECIMAL(38,20)``, or None where that type would round it."""
-    if not bound:
-        return Decimal(0)
-    sign, digits, exponent = bound.as_tuple()
-    text = "".join(map(str, digits))
-    trailing = len(text) - len(text.rstrip("0"))
-    exponent = int(exponent) + trailing
-    if exponent < -20 or int(bound.adjusted()) >= 18:
-        return None
-    return bound
+def _quick_side(quick: Column, bound: Decimal) -> Column:
+    """Side of a short decimal. A bound between two short decimals is replaced by
+    the one below it, which no value above the bound can equal."""
+    if bound >= _QUICK_LIMIT:
+        return F.when(quick.isNotNull(), -1)
+    if bound <= -_QUICK_LIMIT:
+        return F.when(quick.isNotNull(), 1)
+    with localcontext() as exact:
+        exact.prec = max(50, len(bound.as_tuple().digits) + 20)
+        below = bound.quantize(_QUICK_STEP, rounding=ROUND_FLOOR)
+    limit = F.lit(format(below, "f")).cast(_QUICK_TYPE)
+    on_grid = 0 if below == bound else -1
+    return F.when(quick < limit, -1).when(quick > limit, 1).when(quick.isNotNull(), on_grid)
 
 
-def compare_to_bound(value: Column, bound: Decimal) -> Column:
+def compare_to_bound(value: Column, bound: Decimal, quick: Column | None = None) -> Column:
     """-1, 0 or 1 as the number text ``value`` lies below, on or above ``bound``.
 
     ``value`` must already be a valid number.
     """
+    quick = quick_decimal(value) if quick is None else quick
     sign_b, lead_b, digits_b = _bound_shape(bound)
 
     def against(shape: Column) -> Column:
@@ -137,10 +152,4 @@ def compare_to_bound(value: Column, bound: Decimal) -> Column:
         )
 
     exact = _let(_shape(value), against)
-    native = _native(bound)
-    if native is None:
-        return exact
-    number = value.try_cast("decimal(38,20)")
-    limit = F.lit(format(native, "f")).cast("decimal(38,20)")
-    quick = F.when(number < limit, -1).when(number > limit, 1).otherwise(0)
-    return F.when(value.rlike(_PLAIN), quick).otherwise(exact)
+    return F.coalesce(_quick_side(quick, bound), exact)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tabwarden.functions.checks import is_valid
 from tabwarden.functions.hotkeys import join_per_key
-from tabwarden.functions.numbers import compare_to_bound
+from tabwarden.functions.numbers import compare_to_bound, quick_decimal
 from tabwarden.functions.text import stripped_or_blank
 from tabwarden.operators.rules import ColumnRule, check_rules
 from tabwarden.session import written
@@ -64,6 +64,10 @@ def _valid_name(rule: ColumnRule) -> str:
     return f"__ok{rule.position}"
 
 
+def _quick_name(rule: ColumnRule) -> str:
+    return f"__n{rule.position}"
+
+
 @dataclass(frozen=True)
 class _Check:
     """One row-local check: ``failed`` is true, false or NULL (not applicable)."""
@@ -71,7 +75,7 @@ class _Check:
     rule: ColumnRule
     code: str
     failed: Column
-    message: str
+    message: Column
 
     @property
     def count(self) -> Column:
@@ -84,7 +88,7 @@ class _Check:
             F.struct(
                 F.lit(self.rule.column).alias("column"),
                 F.lit(self.code).alias("code"),
-                F.lit(self.message).alias("message"),
+                self.message.alias("message"),
                 F.coalesce(F.col(f"`{self.rule.column}`"), F.lit("")).alias("value"),
                 F.lit(self.rule.position).alias("col_idx"),
                 F.lit(CODES.index(self.code)).alias("code_idx"),
@@ -108,18 +112,19 @@ def _row_checks(rule: ColumnRule, codes: Collection[str]) -> list[_Check]:
     valid = F.col(_valid_name(rule))
     checks: list[_Check] = []
     if rule.required and "required" in codes:
-        checks.append(_Check(rule, "required", ~present, MESSAGES["required"]))
+        checks.append(_Check(rule, "required", ~present, F.lit(MESSAGES["required"])))
     if rule.type != "string" and "type" in codes:
         message = MESSAGES["type"].format(rule.type)
-        checks.append(_Check(rule, "type", present & ~valid, message))
+        checks.append(_Check(rule, "type", present & ~valid, F.lit(message)))
     for name, bound, side in (("min", rule.min, -1), ("max", rule.max, 1)):
         if bound is not None and name in codes:
             # The guard keeps the comparison off text that is not a number.
-            outside = F.when(present & valid, compare_to_bound(value, bound) == side)
-            checks.append(_Check(rule, name, outside, MESSAGES[name].format(bound)))
+            compared = compare_to_bound(value, bound, F.col(_quick_name(rule)))
+            outside = F.when(present & valid, compared == side)
+            checks.append(_Check(rule, name, outside, F.lit(MESSAGES[name].format(bound))))
     if rule.allowed is not None and "allowed" in codes:
         listed = value.isin(*rule.allowed)
-        checks.append(_Check(rule, "allowed", present & ~listed, MESSAGES["allowed"]))
+        checks.append(_Check(rule, "allowed", present & ~listed, F.lit(MESSAGES["allowed"])))
     return checks
 
 
@@ -131,15 +136,27 @@ def _prepared(ds: DataFrame, rules: Sequence[ColumnRule], by: Sequence[str]) ->
         stripped_or_blank(F.col(f"`{rule.column}`").cast("string")).alias(_value_name(rule))
         for rule in rules
     ]
+    numbers = [
+        quick_decimal(F.col(_value_name(rule))).alias(_quick_name(rule))
+        for rule in rules
+        if rule.type in ("integer", "number")
+    ]
     tests = [
-        is_valid(F.col(_value_name(rule)), rule.type).alias(_valid_name(rule))
+        is_valid(
+            F.col(_value_name(rule)),
+            rule.type,
+            F.col(_quick_name(rule)) if rule.type == "number" else None,
+        ).alias(_valid_name(rule))
         for rule in rules
         if rule.type != "string"
     ]
-    return ds.select(*by, "record_no", *cells, *stripped).select("*", *tests)
+    values = ds.select(*by, "record_no", *cells, *stripped)
+    return values.select("*", *numbers).select("*", *tests)
 
 
-def _cells(local: DataFrame, rules: Sequence[ColumnRule], by: Sequence[str]) -> DataFrame:
+def _cells(
+    prepared: DataFrame, rules: Sequence[ColumnRule], by: Sequence[str], *more: Column
+) -> DataFrame:
     """Long form of the nonblank cells of unique columns."""
     entries = F.array(
         *[
@@ -152,9 +169,10 @@ def _cells(local: DataFrame, rules: Sequence[ColumnRule], by: Sequence[str]) ->
             for rule in rules
         ]
     )
-    clean = (F.col("__issues") == 0).alias("clean")
-    long = local.select(*by, "record_no", clean, F.explode(entries).alias("cell"))
-    return long.select(*by, "record_no", "clean", "cell.*").filter(F.col("v") != "")
+    long = prepared.select(*by, "record_no", *more, F.explode(entries).alias("cell"))
+    return long.filter(F.col("cell.v") != "").select(
+        *[name for name in long.columns if name != "cell"], "cell.*"
+    )
 
 
 def repeated_values(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -176,22 +194,51 @@ def _fits_broadcast(repeats: DataFrame) -> bool:
     return size.n <= BROADCAST_ROWS and size.b <= BROADCAST_BYTES
 
 
+def _first_name(rule: ColumnRule) -> str:
+    return f"__first{rule.position}"
+
+
+def _duplicate_message() -> tuple[str, str]:
+    lead, tail = MESSAGES["duplicate"].split("{}")
+    return lead, tail
+
+
+def _with_first_records(
+    prepared: DataFrame, repeats: DataFrame, rules: Sequence[ColumnRule], by: Sequence[str]
+) -> DataFrame:
+    """Beside each unique cell, the first record of its value if it repeats.
+
+    The repeats are of checked size, so each column looks them up in its own
+    broadcast and the whole check stays in the scan.
+    """
+    for rule in rules:
+        mine = repeats.filter(F.col("col_idx") == rule.position).select(
+            *by, F.col("v").alias(_value_name(rule)), F.col("first_record").alias(_first_name(rule))
+        )
+        prepared = prepared.join(F.broadcast(mine), [*by, _value_name(rule)], "left")
+    return prepared
+
+
+def _duplicate_check(rule: ColumnRule) -> _Check:
+    first = F.col(_first_name(rule))
+    lead, tail = _duplicate_message()
+    message = F.concat(F.lit(lead), first.cast("string"), F.lit(tail))
+    return _Check(rule, "duplicate", first < F.col("record_no"), message)
+
+
 def _later_occurrences(
-    local: DataFrame, rules: Sequence[ColumnRule], by: Sequence[str]
+    local: DataFrame, repeats: DataFrame, rules: Sequence[ColumnRule], by: Sequence[str]
 ) -> DataFrame:
-    """Every occurrence after the first, with the record of the first."""
-    cells = _cells(local, rules, by)
-    repeats = written(repeated_values(cells, by), "repeats")
+    """Every occurrence after the first, with the record of the first, where there
+    are too many repeated values to broadcast."""
+    cells = _cells(local, rules, by, (F.col("__issues") == 0).alias("clean"))
     keys = [*by, "col_idx", "v"]
-    if _fits_broadcast(repeats):
-        joined = cells.join(F.broadcast(repeats), keys)
-    else:
-        joined = join_per_key(cells, repeats, keys, weight="occurrences", spread_by="record_no")
+    joined = join_per_key(cells, repeats, keys, weight="occurrences", spread_by="record_no")
     return joined.filter(F.col("first_record") < F.col("record_no"))
 
 
 def _duplicate_findings(later: DataFrame, by: Sequence[str]) -> DataFrame:
-    lead, tail = MESSAGES["duplicate"].split("{}")
+    lead, tail = _duplicate_message()
     message = F.concat(F.lit(lead), F.col("first_record").cast("string"), F.lit(tail))
     return later.select(
         *by,
@@ -243,10 +290,20 @@ def _is_checked(rules: Any) -> bool:
 def _plan(ds: DataFrame, rules: Any, codes: Collection[str], by: Sequence[str]) -> _Plan:
     present, absent = _split(ds, rules)
     checks = [check for rule in present for check in _row_checks(rule, codes)]
+    prepared = _prepared(ds, present, by)
+    unique = [rule for rule in present if rule.unique] if "duplicate" in codes else []
+    repeats, inline = None, False
+    if unique:
+        repeats = written(repeated_values(_cells(prepared, unique, by), by), "repeats")
+        inline = _fits_broadcast(repeats)
+    if inline:
+        prepared = _with_first_records(prepared, repeats, unique, by)
+        checks += [_duplicate_check(rule) for rule in unique]
     issues = sum((check.count for check in checks), F.lit(0))
-    local = _prepared(ds, present, by).withColumn("__issues", issues)
-    unique = [rule for rule in present if rule.unique]
-    later = _later_occurrences(local, unique, by) if unique and "duplicate" in codes else None
+    local = prepared.withColumn("__issues", issues)
+    later = None
+    if unique and not inline:
+        later = _later_occurrences(local, repeats, unique, by)
     missing = None
     if absent and "missing_column" in codes:
         missing = _missing_findings(ds, absent, by)

@@ -253,3 +253,30 @@ FROM ({TOTALS}) AS totals""",
 def _(t):
     summary = v.validation_summary(t["accounts"], ACCOUNT_RULES, max_findings=500)
     return v.cap_notice(summary).select("issues", "reported_findings", "omitted", "notice")
+
+
+LINE_RULES = {
+    "version": 1,
+    "columns": {
+        "line_id": {"required": True, "unique": True},
+        "quantity": {"required": True, "type": "number", "min": 1, "max": 48},
+        "price": {"required": True, "type": "number", "min": 1000},
+        "discount": {"type": "number", "min": 0, "max": 0.05},
+        "flag": {"required": True, "allowed": ["A", "N"]},
+        "state": {"required": True, "allowed": ["O", "F"]},
+        "shipped": {"required": True, "type": "date"},
+    },
+}
+_LINE_ISSUES = """CASE WHEN CAST(quantity AS DOUBLE) > 48 THEN 1 ELSE 0 END + CASE WHEN CAST(price AS DOUBLE) < 1000 THEN 1 ELSE 0 END
+  + CASE WHEN CAST(discount AS DOUBLE) > 0.05 THEN 1 ELSE 0 END + CASE WHEN flag = 'R' THEN 1 ELSE 0 END"""
+
+
+@query(
+    "val_lines",
+    f"""SELECT count(*) AS rows, CAST(sum({_LINE_ISSUES}) AS BIGINT) + count(*) - count(DISTINCT line_id) AS issues
+FROM line_cells""",
+)
+def _(t):
+    """All order lines against seven rules, one of them unique."""
+    lines = t["line_cells"].select(F.monotonically_increasing_id().alias("record_no"), "*")
+    return v.validation_summary(lines, LINE_RULES).select("rows", "issues")

@@ -174,6 +174,20 @@ SELECT p_partkey AS rule_set, p_size AS shape, p_name, p_type, CASE p_size
 FROM part
 """
 
+# Order lines as an export: every column as text. A line has no single key, so
+# records are numbered by the place of the row in its file where that matters.
+TEXTS["line_cells"] = """
+SELECT CAST(l_orderkey AS STRING) AS order_id,
+  concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS line_id,
+  concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
+    CAST(l_suppkey AS STRING), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING)) AS full_id,
+  CAST(CAST(l_quantity AS DECIMAL(18,2)) AS STRING) AS quantity,
+  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS price,
+  CAST(CAST(l_discount AS DECIMAL(18,2)) AS STRING) AS discount,
+  l_returnflag AS flag, l_linestatus AS state, substring(@stamp(l_shipdate), 1, 10) AS shipped
+FROM lineitem
+"""
+
 # --- batches of runs -------------------------------------------------------------
 
 # Ten customers make one run; its export has their orders, old and new.

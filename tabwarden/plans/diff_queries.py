@@ -250,3 +250,23 @@ def _(t):
     return both.agg(
         F.sum("matched").alias("matched"), (F.sum("matched") - F.sum("same")).alias("spelled_differently")
     )
+
+
+@query(
+    "cmp_lines",
+    """SELECT count(*) AS before_rows, count(*) AS after_rows, count(*) FILTER (state = 'O' AND flag = 'R') AS added,
+  count(*) FILTER (state = 'O' AND flag = 'R') AS removed, count(*) FILTER (state = 'F' AND flag = 'A') AS changed,
+  count(*) FILTER (NOT (state = 'O' AND flag = 'R') AND NOT (state = 'F' AND flag = 'A')) AS unchanged
+FROM line_cells""",
+)
+def _(t):
+    """All order lines against a later snapshot: returned open lines get new ids,
+    accepted finished ones a new price spelling."""
+    lines = t["line_cells"].drop("order_id", "line_id")
+    renamed = F.when((F.col("state") == "O") & (F.col("flag") == "R"), F.concat(F.lit("n"), "full_id"))
+    respelled = F.when((F.col("state") == "F") & (F.col("flag") == "A"), F.concat("price", F.lit("0")))
+    later = lines.withColumn("full_id", F.coalesce(renamed, "full_id")).withColumn(
+        "price", F.coalesce(respelled, "price")
+    )
+    summary = c.diff_summary(lines, later, "full_id")
+    return summary.select("before_rows", "after_rows", "added", "removed", "changed", "unchanged")
