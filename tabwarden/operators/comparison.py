@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwarden.functions.dataset import header
 from tabwarden.functions.text import stripped_or_blank
 
 KINDS = ("added", "removed", "changed", "unchanged")
@@ -56,11 +57,8 @@ def _ticked(name: str) -> str:
 
 
 def _shape(before: DataFrame, after: DataFrame, key: str, by: Sequence[str]) -> Shape:
-    headers = [
-        tuple(name for name in df.columns if name != "record_no" and name not in by)
-        for df in (before, after)
-    ]
-    fields = [tuple(name for name in header if name != key) for header in headers]
+    headers = [tuple(n for n in header(df) if n not in by) for df in (before, after)]
+    fields = [tuple(name for name in names if name != key) for names in headers]
     return Shape(key, tuple(by), *fields, *headers)
 
 
@@ -159,7 +157,7 @@ def check_key(before: DataFrame, after: DataFrame, key: str) -> None:
 
 def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Columns only one side has, as ``(change, column)``."""
-    old, new = set(before.columns), set(after.columns)
+    old, new = set(header(before)), set(header(after))
     rows = [("added", name) for name in sorted(new - old)]
     rows += [("removed", name) for name in sorted(old - new)]
     return before.sparkSession.createDataFrame(rows, "change string, `column` string")
@@ -296,15 +294,15 @@ def unchanged_rows(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return both.select(F.col(_KEY).alias("key"))
 
 
-def _image(side: str, key: str, header: Sequence[str]) -> Column:
+def _image(side: str, key: str, columns: Sequence[str]) -> Column:
     """The whole record of one side as a map in header order, NULL where the side
     is absent."""
     image = F.col(side)
-    names = F.array(*[F.lit(name) for name in header])
+    names = F.array(*[F.lit(name) for name in columns])
     values = F.array(
         *[
             image.getField("__spelling" if name == key else name).cast("string")
-            for name in header
+            for name in columns
         ]
     )
     return F.when(image.isNotNull(), F.map_from_arrays(names, values))
@@ -410,7 +408,7 @@ def compare(
 ) -> DiffResult:
     """Compare two snapshots after checking their key."""
     check_key(before, after, key)
-    changes = len(set(before.columns) ^ set(after.columns))
+    changes = len(set(header(before)) ^ set(header(after)))
     summary = diff_summary(before, after, key, max_findings)
     return DiffResult(
         summary=diff_status(summary, changes),

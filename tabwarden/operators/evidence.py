@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwarden.session import written
+
 # Bounds of the evidence of one run, and how cuts are marked.
 MAX_EVIDENCE_BYTES = 64 * 1024
 RESERVED_BYTES = 256
@@ -270,8 +272,12 @@ def _fitted(results: RunResults, entries: DataFrame) -> DataFrame:
 
 
 def evidence_budget(results: RunResults) -> DataFrame:
-    """The entries of each run that fit its byte budget."""
-    entries = evidence_ids(results)
+    """The entries of each run that fit its byte budget.
+
+    The candidates, 41 a run at most, are written once: the budget and the
+    entries it keeps are both read from them.
+    """
+    entries = written(evidence_ids(results), "evidence")
     kept = _fitted(results, entries).select("run_id", F.explode("fit.kept").alias("place"))
     return entries.join(kept, ["run_id", "place"])
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.functions.checks import is_valid
+from tabwarden.functions.dataset import header
 from tabwarden.functions.hotkeys import join_per_key
 from tabwarden.functions.numbers import compare_to_bound, quick_decimal
 from tabwarden.functions.text import stripped_or_blank
@@ -277,9 +278,9 @@ def _missing_findings(
 
 def _split(ds: DataFrame, rules: Any) -> tuple[list[ColumnRule], list[ColumnRule]]:
     checked = rules if _is_checked(rules) else check_rules(rules)
-    header = set(ds.columns) - {"record_no"}
-    present = [rule for rule in checked if rule.column in header]
-    absent = [rule for rule in checked if rule.column not in header]
+    names = set(header(ds))
+    present = [rule for rule in checked if rule.column in names]
+    absent = [rule for rule in checked if rule.column not in names]
     return present, absent
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabwarden.functions.dataset import SOURCE_FILE
 from tabwarden.operators import validation as v
 from tabwarden.plans.check_queries import ACCOUNT_RULES, EVERY, TOTALS
 from tabwarden.plans.registry import query
@@ -139,7 +140,7 @@ def _(t):
     path = _export(t, orders.repartitionByRange(4, F.col("order_id").cast("bigint")).sortWithinPartitions(
         F.col("order_id").cast("bigint")), "numbered-export")
     ds = d.read_export(t.spark, path, multi_line=False)
-    per_file = ds.groupBy("source").agg(
+    per_file = ds.groupBy(SOURCE_FILE).agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("order_id").alias("ids"),
         F.min(F.col("order_id").cast("bigint") - F.col("record_no")).alias("low"),

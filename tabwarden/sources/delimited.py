@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwarden.functions.dataset import META_COLUMNS, SOURCE_FILE, header
 from tabwarden.functions.text import strip
 
 CORRUPT = "_corrupt_record"
@@ -84,7 +85,7 @@ def header_contract(headers: DataFrame) -> DataFrame:
 def scan_export(
     spark: SparkSession, path: str, delimiter: str = ",", multi_line: bool = True
 ) -> DataFrame:
-    """All records as text columns, with ``source``, ``record_no`` and the raw
+    """All records as text columns, with their file, ``record_no`` and the raw
     text of records whose field count differs from the header's.
 
     ``multi_line`` allows line ends inside quotes but keeps a file in one task;
@@ -115,10 +116,10 @@ def scan_export_lines(
     schema = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     rows = spark.read.schema(schema).options(**_options(delimiter, False)).csv(path)
     numbered = _number_by_block(rows, [*headers, CORRUPT])
-    header = F.lit(True)
+    is_header = F.lit(True)
     for name in headers:
-        header = header & F.col(f"`{name}`").eqNullSafe(F.lit(name))
-    return numbered.filter(~header)
+        is_header = is_header & F.col(f"`{name}`").eqNullSafe(F.lit(name))
+    return numbered.filter(~is_header)
 
 
 def _number_by_block(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -149,7 +150,7 @@ def _number_by_block(rows: DataFrame, columns: list[str]) -> DataFrame:
     )
     number = F.col("__id") - F.col("__first") + F.col("__before") + 2
     return placed.join(blocks, block).select(
-        F.col("__path").alias("source"),
+        F.col("__path").alias(SOURCE_FILE),
         number.cast("bigint").alias("record_no"),
         *[F.col(f"`{name}`") for name in columns],
     )
@@ -167,11 +168,11 @@ def structure_quarantine(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Absent values of good records become blank text.
     """
-    names = [name for name in scanned.columns if name not in ("source", "record_no", CORRUPT)]
+    names = [name for name in header(scanned) if name != CORRUPT]
     cells = [F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in names]
-    good = scanned.filter(F.col(CORRUPT).isNull()).select("source", "record_no", *cells)
+    good = scanned.filter(F.col(CORRUPT).isNull()).select(*META_COLUMNS, *cells)
     bad = scanned.filter(F.col(CORRUPT).isNotNull())
-    return good, bad.select("source", "record_no", F.col(CORRUPT).alias("raw"))
+    return good, bad.select(*META_COLUMNS, F.col(CORRUPT).alias("raw"))
 
 
 def structure_checks(
@@ -218,9 +219,10 @@ def read_export(
         failed = checks.filter("violations > 0").select("check").limit(1).collect()
         if failed:
             raise ExportError(f"structure check failed: {failed[0].check}")
-        wrong = bad.select("source", "record_no").limit(1).collect()
+        wrong = bad.select(*META_COLUMNS).limit(1).collect()
         if wrong:
-            raise ExportError(f"{wrong[0].source}, record {wrong[0].record_no}: wrong field count")
+            file, record = wrong[0][SOURCE_FILE], wrong[0].record_no
+            raise ExportError(f"{file}, record {record}: wrong field count")
     return good
 
 

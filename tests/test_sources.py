@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from tabwarden.functions.dataset import header
 from tabwarden.sources import delimited as d
 from tabwarden.sources import sinks
 from tabwarden.sources.inbox import inbox_scan, source_listing
@@ -14,7 +15,7 @@ def _file(tmp_path, content, name="export.csv"):
 
 
 def _records(ds):
-    names = [n for n in ds.columns if n not in ("source", "record_no")]
+    names = header(ds)
     return [tuple(row[n] for n in ("record_no", *names)) for row in ds.orderBy("record_no").collect()]
 
 
