@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 #: are broadcast, and any key left out holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
 
-#: Sequence numbers per segment: the most rows one window task sees for one key.
+#: Rows from which a key is windowed in segments, and sequence numbers per segment.
 SEGMENT_SPAN = 1_000_000
 
+#: Keys that may be segmented. Only their names are broadcast.
+SEGMENTED_KEYS = 10_000
+
 
 def join_per_key(
     facts: DataFrame,
@@ -49,8 +52,18 @@ def join_per_key(
     )
 
 
-def _segmented(df: DataFrame, order: str, span: int) -> DataFrame:
-    return df.withColumn("__segment", F.floor(F.col(order) / F.lit(span)).cast("bigint"))
+def _segmented(df: DataFrame, keys: Sequence[str], order: str, span: int) -> DataFrame:
+    """Add ``__segment``: parts of the sequence for the largest keys, 0 for others.
+
+    Key sizes are counted with a combine before the shuffle.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > span)
+    large = sizes.orderBy(F.desc("__n"), *keys).limit(SEGMENTED_KEYS)
+    large = large.select(*keys, F.lit(True).alias("__large"))
+    part = F.floor(F.col(order) / F.lit(span)).cast("bigint")
+    marked = df.join(F.broadcast(large), list(keys), "left")
+    segment = F.when(F.col("__large"), part).otherwise(F.lit(0).cast("bigint"))
+    return marked.withColumn("__segment", segment)
 
 
 @dataclass(frozen=True)
@@ -80,15 +93,15 @@ def running(
 ) -> DataFrame:
     """Add running values per key in ``order``, a whole-number sequence.
 
-    A plain window would sort every row of a key in one task; here a window runs
-    per key and segment of the sequence, and the segment totals (one row per key
-    and segment) carry over between them.
+    A plain window would sort every row of a key in one task. Here the window of a
+    large key runs per segment of the sequence, and the totals of its segments
+    carry over between them. All rows are shuffled once.
     """
-    rows = _segmented(df, order, span)
+    rows = _segmented(df, keys, order, span)
     for name, spec in columns.items():
         rows = rows.withColumn(f"__v_{name}", spec.value)
     group = [*keys, "__segment"]
-    totals = rows.groupBy(*group).agg(
+    totals = rows.filter("__large").groupBy(*group).agg(
         *[spec.combine(f"__v_{name}").alias(f"__t_{name}") for name, spec in columns.items()]
     )
     before = Window.partitionBy(*keys).orderBy("__segment").rowsBetween(
@@ -101,7 +114,7 @@ def running(
             for name, spec in columns.items()
         ],
     )
-    joined = rows.join(totals, group)
+    joined = rows.join(totals, group, "left")
     within = Window.partitionBy(*group).orderBy(order)
     results = []
     for name, spec in columns.items():
@@ -122,17 +135,17 @@ def neighbour(
     """Add values of the previous (or next) row per key in ``order``.
 
     ``columns`` maps a new name to the column it copies. The edge row of every
-    segment is aggregated first, so a hot key is never sorted in one task.
+    segment of a large key is aggregated first, so it is never sorted in one task.
     """
-    rows = _segmented(df, order, span)
+    rows = _segmented(df, keys, order, span)
     group = [*keys, "__segment"]
     image = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
     pick, step = (F.min_by, F.lead) if forward else (F.max_by, F.lag)
-    edges = rows.groupBy(*group).agg(pick(image, F.col(order)).alias("__edge"))
+    edges = rows.filter("__large").groupBy(*group).agg(pick(image, F.col(order)).alias("__edge"))
     across = Window.partitionBy(*keys).orderBy("__segment")
     edges = edges.select(*group, step("__edge").over(across).alias("__carry"))
     within = Window.partitionBy(*group).orderBy(order)
-    joined = rows.join(edges, group).withColumn("__image", image)
+    joined = rows.join(edges, group, "left").withColumn("__image", image)
     joined = joined.withColumn("__near", F.coalesce(step("__image").over(within), "__carry"))
     return joined.select(
         *[F.col(name) for name in df.columns],
