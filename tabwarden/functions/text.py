@@ -22,9 +22,12 @@ def strip(cell: Column) -> Column:
     """Remove leading and trailing whitespace of any kind, as ``str.strip`` does.
 
     Spark's plain ``trim`` removes spaces only. Trimming against a character set
-    stays in generated code and stops at the first other character.
+    indexes the whole text, so it is done only where an end is whitespace; an
+    empty text counts as such and stays empty.
     """
-    return F.btrim(cell, F.lit(WHITESPACE))
+    marks = F.lit(WHITESPACE)
+    loose = F.contains(marks, F.left(cell, F.lit(1))) | F.contains(marks, F.right(cell, F.lit(1)))
+    return F.when(loose, F.btrim(cell, marks)).otherwise(cell)
 
 
 def stripped_or_blank(cell: Column) -> Column:
