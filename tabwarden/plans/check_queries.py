@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwarden.functions.text import display_value
+from tabwarden.functions.text import display_value, strip
 from tabwarden.operators import validation as v
 from tabwarden.plans.registry import query
 
@@ -280,3 +280,33 @@ def _(t):
     """All order lines against seven rules, one of them unique."""
     lines = t["line_cells"].select(F.monotonically_increasing_id().alias("record_no"), "*")
     return v.validation_summary(lines, LINE_RULES).select("rows", "issues")
+
+
+@query(
+    "scalar_contract",
+    """SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS stripped, lower(source) AS lowered, upper(lang) AS uppered,
+  contains(text, source) AS found, replace(source, 'src', '/') AS replaced, substring(text, 3, 7) AS part,
+  sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes, CAST(length(text) AS BIGINT) AS characters,
+  format('{:,}', n_chars) AS grouped, list_sort(string_split(source, 'r'))[1] AS first_piece,
+  CAST(least(60, CAST(pow(2, greatest(0, least(10, doc_id % 12 - 1))) AS BIGINT)) AS BIGINT) AS delay
+FROM documents""",
+)
+def _(t):
+    """The scalar functions the operators are built from, over whole documents."""
+    text, source = F.col("text"), F.col("source")
+    doublings = F.greatest(F.lit(0), F.least(F.lit(10), F.col("doc_id") % 12 - 1))
+    return t["documents"].select(
+        "doc_id",
+        strip(text).alias("stripped"),
+        F.lower(source).alias("lowered"),
+        F.upper("lang").alias("uppered"),
+        F.contains(text, source).alias("found"),
+        F.replace(source, F.lit("src"), F.lit("/")).alias("replaced"),
+        F.substring(text, 3, 7).alias("part"),
+        F.sha2(text, 256).alias("digest"),
+        F.octet_length(text).cast("bigint").alias("bytes"),
+        F.length(text).cast("bigint").alias("characters"),
+        F.format_number("n_chars", 0).alias("grouped"),
+        F.array_sort(F.split(source, "r"))[0].alias("first_piece"),
+        F.least(F.lit(60), F.pow(F.lit(2), doublings)).cast("bigint").alias("delay"),
+    )
