@@ -9,8 +9,10 @@ agree by chance, is not clearly below the threshold are confirmed on their full
 
 Pairs of similarity 0.8 share a band with a probability of 1 - 5e-6. No bucket is
 cut: small ones give all their pairs; in large ones all members are first compared
-with one leader, and what is then still in different components is compared in
-blocks, inside tasks, of which only pairs that pass the estimate leave.
+with one leader, the member that shares most with all. Members that this leaves
+outside the main component are then compared with all others of their cluster (what
+large buckets join), block by block, inside tasks that confirm on full sets and
+return only links between what was not connected: no more than they have rows.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ VALUES = ROWS * BANDS
 BITS = 2
 #: Estimates below the threshold by so much cannot come from a link (six deviations).
 SLACK = 0.19
-#: Members of a bucket that gives all its pairs, and of a block of a larger one.
+#: Members of a bucket that gives all its pairs, and of a block of a cluster.
 SMALL = 32
-BLOCK = 512
+BLOCK = 256
 #: Bytes of text that are hashed at once.
 PIECE = 1_000_000
 
@@ -171,17 +173,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
 
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        known = lru_cache(maxsize=64)(lambda text: shingle_hashes(text.encode(), width))
-        for a, b in zip(left, right, strict=True):
-            mine, other = known(a), known(b)
-            both = len(np.intersect1d(mine, other, assume_unique=True))
-            out.append(100 * both >= percent * (len(mine) + len(other) - both))
-        return pd.Series(out, dtype=bool)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(maxsize=64)(lambda text: shingle_hashes(text, width))
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                mine, other = known(left.as_buffer().to_pybytes()), known(right.as_buffer().to_pybytes())
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").filter(linked("ta", "tb")).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,42 +205,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _block_pairs(buckets: DataFrame, members: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs of large buckets that are in different components and pass the estimate.
+def _stray_links(clusters: DataFrame, roots: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between members of a cluster that are in different components.
 
-    Members of the bucket's largest component need no comparison among themselves,
-    so each block of members meets the members of the other components only.
+    Members of a cluster's largest component need no comparison among themselves, so
+    only the others ask, each of all members. A block of askers and a block of members
+    make a group, so groups are bounded on both sides.
     """
-    placed = (
-        buckets.join(roots, "rep", "left")
-        .select("key", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    placed = clusters.join(roots, "rep", "left").select("cluster", "rep", F.coalesce("root", "rep").alias("root"))
+    parts = placed.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("part"))
+    open_ = (
+        parts.groupBy("cluster")
+        .agg(F.max_by("root", F.struct("part", "root")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("part").alias("size"))
+        .filter("parts > 1")
+        .select("cluster", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), (F.col("parts") - 1).alias("strays"))
     )
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"))
-    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("part", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_ = placed.join(largest.select("key", "main"), "key").join(members.select("rep", "signature"), "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    held = open_.select("key", block.alias("block"), "rep", "root", "signature", F.lit(False).alias("asks"), F.lit(0).alias("part"))
-    strays = open_.filter("root <> main")
-    asking = strays.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "rep", "root", "signature", F.lit(True).alias("asks"), block.alias("part"))
-    # Each block of askers meets each block of members: groups are bounded on both sides.
-    groups = asking.select("key", "block", "part").distinct()
-    held = held.drop("part").join(groups, ["key", "block"])
-    both = asking.unionByName(held)
+    held = placed.join(open_, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = staged(texts(held.join(members, "rep")).select("cluster", "rep", "root", "main", "blocks", "block", "signature", "text"), "strays")
+    strays = rows.filter("root <> main")
+    columns = ["cluster", "part", "block", "rep", "root", "signature", "text", "asks"]
+    asking = strays.withColumns({"part": F.col("block"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "asks": F.lit(True)})
+    asked = strays.select("cluster", F.col("block").alias("part")).distinct()
+    held = rows.join(asked, "cluster").withColumn("asks", F.lit(False))
+    least = percent / 100 - SLACK
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ask, hold = group[group["asks"]], group[~group["asks"]]
-        rows = lambda f: np.frombuffer(b"".join(f["signature"]), np.uint8).reshape(len(f), -1)
-        mine, other = rows(ask), rows(hold)
-        roots_a, roots_b = ask["root"].to_numpy(), hold["root"].to_numpy()
-        reps_a, reps_b = ask["rep"].to_numpy(), hold["rep"].to_numpy()
-        out = []
-        for k in range(len(ask)):
-            good = np.flatnonzero((estimates(mine[k][None, :], other) >= least) & (roots_b != roots_a[k]))
-            out += [(min(reps_a[k], reps_b[j]), max(reps_a[k], reps_b[j])) for j in good]
+        signatures = lambda f: np.frombuffer(b"".join(f["signature"]), np.uint8).reshape(len(f), -1)
+        mine, other = signatures(ask), signatures(hold)
+        sets = [shingle_hashes(t.encode(), width) for t in hold["text"]]
+        sizes = np.array([len(x) for x in sets])
+        root: dict[bytes, bytes] = {}
+
+        def find(x: bytes) -> bytes:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up] = root.setdefault(up, up)
+                x = root[x]
+            return x
+
+        out, reps = [], hold["rep"].tolist()
+        homes = hold["root"].tolist()
+        for k, (rep, home, text) in enumerate(zip(ask["rep"], ask["root"], ask["text"], strict=True)):
+            near = np.flatnonzero(estimates(mine[k][None, :], other) >= least)
+            near = [j for j in near if find(homes[j]) != find(home)]
+            if not near:
+                continue
+            own = shingle_hashes(text.encode(), width)
+            flat = np.concatenate([sets[j] for j in near])
+            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            edges = np.cumsum(sizes[near]) - sizes[near]
+            both = np.add.reduceat((own[at] == flat).astype(np.int64), edges)
+            linked = 100 * both >= percent * (len(own) + sizes[near] - both)
+            for j in np.asarray(near)[linked]:
+                p, q = find(homes[j]), find(home)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((min(rep, reps[j]), max(rep, reps[j])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return both.groupBy("key", "block", "part").applyInPandas(compare, "a binary, b binary").distinct()
+    both = asking.select(columns).union(held.select(columns))
+    return both.groupBy("cluster", "part", "block").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -265,9 +291,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "members",
     )
     banded = members.select("rep", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("leader")).filter("size > 1")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = staged(banded.join(sizes, "key"), "buckets")
     small, large = buckets.filter(F.col("size") <= SMALL), buckets.filter(F.col("size") > SMALL)
+    # The leader of a large bucket shares the most buckets with the most others.
+    weights = large.groupBy("rep").agg(F.sum("size").alias("weight"))
+    leaders = large.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", "rep")).alias("leader"))
+    stars = staged(large.join(leaders, "key").select(F.col("leader").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct(), "stars")
     least = percent / 100 - SLACK
     # In small buckets every member meets those before it, SMALL of them at most.
     pairs = (
@@ -275,25 +305,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .join(small.select("key", F.col("rep").alias("a")), "key")
         .filter("a < b")
         .select("a", "b")
-        .union(large.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+        .union(stars)
         .distinct()
     )
     candidates = staged(_passing(pairs, members, least), "candidates")
 
-    def confirmed(found: DataFrame, label: str) -> DataFrame:
-        needed = found.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        named = members.join(needed, "rep").select("rep", "first.doc_id", "first.mark")
+    def with_texts(named: DataFrame) -> DataFrame:
         texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-        texts = staged(texts.join(named, ["doc_id", "mark"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
-        return staged(_confirmed(found, texts, width, percent), label)
+        flat = named.withColumns({"doc_id": F.col("first.doc_id"), "mark": F.col("first.mark")})
+        return texts.join(flat, ["doc_id", "mark"]).dropDuplicates(["rep"])  # of repeated rows
 
-    links = confirmed(candidates, "confirmed")
+    needed = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = staged(with_texts(members.join(needed, "rep").select("rep", "first")).select("rep", "text"), "texts")
+    links = staged(_confirmed(candidates, texts, width, percent), "confirmed")
     roots = components(links)
-    if large.limit(1).count():
-        more = staged(_block_pairs(large, members, roots, least), "block-pairs")
+    if stars.limit(1).count():
+        clusters = components(stars).withColumnRenamed("root", "cluster")
+        more = staged(_stray_links(clusters, roots, members, with_texts, width, percent), "stray-links")
         if more.limit(1).count():
-            links = links.union(confirmed(more, "confirmed-blocks"))
-            roots = components(links)
+            roots = components(links.union(more))
     rooted = classes.join(roots, F.col("class") == F.col("rep"), "left").select(
         "class", F.coalesce("root", "class").alias("root"), "first.doc_id"
     )

@@ -177,7 +177,9 @@ def scorer(model: QualityModel, docs: DataFrame):
 
     @F.pandas_udf("double")
     def quality(text: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(text.fillna("").tolist()))
+        texts = text.fillna("").tolist()
+        groups = packed([len(t) for t in texts], 4 * BLOCK)
+        return pd.Series(np.concatenate([np.empty(0), *(shared.value.score(texts[g.start : g.stop]) for g in groups)]))
 
     return quality
 
