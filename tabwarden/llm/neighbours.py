@@ -11,7 +11,9 @@ of the original vectors.
 Equal vectors are one class: the forest holds each class once, with its smallest
 ids, which are all that a list of nearest can need; so a vector shared by a third
 of the rows costs one row. Leaves are cut into blocks of vectors and blocks of
-queries, which bounds every task; each returns the best few of each query.
+queries, which bounds every task. A task returns the best few of each query, only
+those no further than as many that it meets of the sample, and each pair from the first
+tree alone in which the query visits the vector's leaf.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ class Forest:
     planes: np.ndarray  # TREES, 2 ** DEPTH - 1, dimensions
     offsets: np.ndarray  # TREES, 2 ** DEPTH - 1
     visits: int
+    sample: np.ndarray
+    sample_leaves: np.ndarray | None = None
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree: vectors, TREES."""
@@ -91,12 +95,12 @@ def fit(sample: np.ndarray, k: int, seed: int = 5) -> Forest:
                 held = height[order[first[i] : first[i + 1]]]
                 offsets[t, 2**level - 1 + i] = held[(len(held) - 1) // 2] if len(held) else 0.0
             node = 2 * node + 1 + (height > offsets[t, node])
-    forest = Forest(planes, offsets, TREES * 2**DEPTH)
+    forest = Forest(planes, offsets, TREES * 2**DEPTH, sample)
+    forest.sample_leaves = leaves = forest.leaves(sample)
     asked = rng.choice(len(sample), min(TUNING, len(sample)), replace=False)
     near = min(k, len(sample) - 1)
     if near < 1:
         return forest
-    leaves = forest.leaves(sample)
     # For each query, the visit that first meets each of its true neighbours.
     met = []
     for i in asked:
@@ -159,30 +163,39 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                 yield batch.assign(leaves=list(found))
 
     def asked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for batch in batches:
-            for _, row in batch.iterrows():
-                found = np.array(shared.value.search(np.asarray(row["embedding"]), shared.value.visits))
-                trees = np.unique(found[:, 0])
-                yield pd.DataFrame(
-                    {
-                        "class": row["class"],
-                        "embedding": [row["embedding"]] * len(trees),
-                        "tree": trees.astype(np.int32),
-                        "visited": [found[found[:, 0] == t, 1].astype(np.int32) for t in trees],
-                    }
-                )
+            visited, least = [], []
+            for query in batch["embedding"]:
+                seen = np.zeros((TREES, 2**DEPTH), bool)
+                seen[tuple(np.array(known.search(np.asarray(query), known.visits)).T)] = True
+                visited.append(np.packbits(seen).tobytes())
+                # What it meets of the sample it is sure to find.
+                met = seen[np.arange(TREES), known.sample_leaves].any(1)
+                likeness = known.sample[met] @ np.asarray(query)
+                least.append(np.partition(likeness, -k - 1)[-k - 1] - 1e-9 if len(likeness) > k else -np.inf)
+            yield batch.assign(visited=visited, least=least)
 
     held = classes.select("class", "embedding").mapInPandas(dealt, "class binary, embedding array<double>, leaves array<int>")
     # Leaves stand in order, so a run of them is a subtree: cells of about BLOCK vectors.
     total = classes.count()
     cells = int(min(2**DEPTH, max(1, 2 ** int(np.ceil(np.log2(max(1.0, total / BLOCK)))))))
     width = 2**DEPTH // cells
-    held = held.select("class", "embedding", F.posexplode("leaves").alias("tree", "leaf")).withColumn("cell", F.expr(f"leaf div {width}").cast("int"))
-    held = staged(held, "leaves")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    held = staged(held, "leaves").select("class", "embedding", "leaves", tree)
+    held = held.withColumn("cell", (F.get("leaves", F.col("tree")) / width).cast("int"))
     queries = keyed.filter(F.expr(f"vec_id % {every} = 0")).select("class").distinct().join(classes.select("class", "embedding"), "class")
-    visits = staged(queries.mapInPandas(asked, "class binary, embedding array<double>, tree int, visited array<int>"), "visits")
-    to_cells = F.array_distinct(F.transform("visited", lambda x: F.floor(x / width).cast("int")))
-    visiting = visits.withColumn("cell", F.explode(to_cells))
+    visits = staged(queries.mapInPandas(asked, "class binary, embedding array<double>, visited binary, least double"), "visits")
+
+    @F.pandas_udf("array<int>")
+    def to_cells(visited: pd.Series) -> pd.Series:
+        """Cells that a query visits, numbered through all trees."""
+        seen = np.unpackbits(np.frombuffer(b"".join(visited), np.uint8)).reshape(len(visited), TREES * cells, width)
+        return pd.Series([np.flatnonzero(x).astype(np.int32) for x in seen.any(2)])
+
+    at = F.explode(to_cells("visited")).alias("at")
+    visiting = visits.select("class", "embedding", "visited", "least", at)
+    visiting = visiting.withColumns({"tree": F.expr(f"at div {cells}").cast("int"), "cell": (F.col("at") % cells).cast("int")})
     # A crowded cell, or one with many queries, is cut into blocks that all meet.
     vectors_in = held.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("vector_blocks"))
     queries_in = visiting.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("query_blocks"))
@@ -191,32 +204,32 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     theirs = F.pmod(F.xxhash64("class"), F.col("query_blocks")).cast("int")
     vectors_side = held.join(blocks, ["tree", "cell"]).select(
         "tree", "cell", mine.alias("vector_block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"),
-        "class", "embedding", "leaf", F.lit(None).cast("array<int>").alias("visited"),
+        "class", "embedding", "leaves", F.lit(None).cast("binary").alias("visited"), F.lit(None).cast("double").alias("least"),
     )
     queries_side = visiting.join(blocks, ["tree", "cell"]).select(
         "tree", "cell", F.explode(F.sequence(F.lit(0), F.col("vector_blocks") - 1)).alias("vector_block"), theirs.alias("query_block"),
-        "class", "embedding", F.lit(-1).alias("leaf"), "visited",
+        "class", "embedding", F.lit(None).cast("array<int>").alias("leaves"), "visited", "least",
     )
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["leaf"].to_numpy() < 0
+        asks = group["visited"].notna().to_numpy()
         ask, hold = group[asks], group[~asks]
         if not len(ask) or not len(hold):
             return pd.DataFrame({"asker": [], "class": [], "score": []})
         q, v = np.stack(ask["embedding"].to_numpy()), np.stack(hold["embedding"].to_numpy())
-        leaf, asker, other = hold["leaf"].to_numpy(), ask["class"].to_numpy(), hold["class"].to_numpy()
-        low = leaf.min()
-        wide = np.zeros((len(q), leaf.max() - low + 1), bool)
-        for i, seen in enumerate(ask["visited"].to_numpy()):
-            seen = np.asarray(seen) - low
-            wide[i, seen[(seen >= 0) & (seen < wide.shape[1])]] = True
+        leaves, asker, other = np.stack(hold["leaves"].to_numpy()), ask["class"].to_numpy(), hold["class"].to_numpy()
+        seen = np.unpackbits(np.frombuffer(b"".join(ask["visited"]), np.uint8)).reshape(len(q), TREES, -1).astype(bool)
+        own, least = int(group["tree"].iloc[0]), ask["least"].to_numpy()
         out = []
         for at in range(0, len(q), 256):
-            score = np.where(wide[at : at + 256][:, leaf - low], q[at : at + 256] @ v.T, -np.inf)
+            part = slice(at, at + 256)
+            score = np.where(seen[part, own][:, leaves[:, own]], q[part] @ v.T, -np.inf)
             top = min(k + 1, score.shape[1])
             # Ties at the edge all pass, so that the smaller id is never lost.
             edge = -np.partition(-score, top - 1, axis=1)[:, top - 1]
-            i, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+            i, j = np.nonzero((score >= np.maximum(edge, least[part])[:, None]) & (score > -np.inf))
+            new = ~seen[at + i[:, None], np.arange(own)[None, :], leaves[j][:, :own]].any(1)
+            i, j = i[new], j[new]
             out.append(pd.DataFrame({"asker": asker[at + i], "class": other[j], "score": score[i, j]}))
         return pd.concat(out)
 
