@@ -102,8 +102,10 @@ def _blocked(pending: DataFrame) -> DataFrame:
 def run_rollup(tasks: DataFrame) -> DataFrame:
     """FAILED unless every task succeeded, with the errors of failed tasks.
 
-    A run has as many tasks as its plan, so collecting their errors is bounded.
+    Only the steps of the plan count, not gates or revisions recorded beside them. A
+    run has as many tasks as its plan, so collecting their errors is bounded.
     """
+    tasks = tasks.filter(_plan_position(F.col("task_id")) > 0)
     error = F.when(
         F.col("status") == "failed",
         F.struct(_plan_position(F.col("task_id")).alias("place"), F.col("error").alias("error")),

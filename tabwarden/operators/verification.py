@@ -27,8 +27,13 @@ def recompute_equal(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free identity of a table: row count, and two folds of row hashes."""
-    row = F.xxhash64(*[F.col(f"`{name}`") for name in df.columns])
+    """Order-free identity of a table: row count, and two folds of row hashes.
+
+    The hash passes over NULLs, so it also takes where they are.
+    """
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    blanks = F.concat(*[F.when(column.isNull(), "1").otherwise("0") for column in columns])
+    row = F.xxhash64(*columns, blanks)
     # Twenty bits per row keep the sum in range up to 2**43 rows.
     low = F.sum(F.pmod(row, F.lit(2**20)))
     return df.agg(

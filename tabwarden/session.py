@@ -39,13 +39,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder the session names for checkpoints.
 
-    A machine-local folder is made only where no shared folder is configured,
-    which is the case in single-machine tests.
+    Only a session with a local master may go without that setting; it then uses a
+    folder of its one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/tabwarden-scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -13,8 +13,6 @@ from tabwarden.functions.staging import evaluated
 from tabwarden.functions.text import strip
 from tabwarden.operators.rules import DOCUMENT_KEYS, RULE_KEYS
 
-_END = "~end~"
-
 
 def without_mark(text: Column) -> Column:
     """Text without a leading byte order mark."""
@@ -26,11 +24,13 @@ def strict_json(text: Column) -> Column:
 
     The parser ignores text after a complete value, so the document is wrapped in
     an array with an end mark: only a document that ends where it should yields
-    exactly two elements. Repeated keys and NaN are already refused.
+    exactly two elements. The mark is the digest of the document, which the document
+    cannot hold. Repeated keys and NaN are already refused.
     """
     body = without_mark(text)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_END}"]')))
-    marked = F.try_variant_get(wrapped, "$[1]", "string") == _END
+    end = F.sha2(body, 256)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), end, F.lit('"]')))
+    marked = F.try_variant_get(wrapped, "$[1]", "string") == end
     longer = F.try_variant_get(wrapped, "$[2]", "variant").isNull()
     return F.when(marked & longer, F.try_variant_get(wrapped, "$[0]", "variant"))
 

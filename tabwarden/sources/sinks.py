@@ -13,7 +13,9 @@ def write_result(
 ) -> None:
     """Write each frame as JSON lines under its name, keeping NULL fields.
 
-    Numbers that JSON lacks (NaN, Infinity) are refused rather than written.
+    Numbers that JSON lacks (NaN, Infinity) are refused rather than written. With
+    ``partition_by`` only the partitions that the frames hold are replaced, so the
+    results of other runs stay.
     """
     for name, df in frames.items():
         doubles = [c for c, kind in df.dtypes if kind in ("double", "float") and c not in partition_by]
@@ -27,7 +29,7 @@ def write_result(
             )
         writer = checked.write.mode("overwrite").option("ignoreNullFields", "false")
         if partition_by:
-            writer = writer.partitionBy(*partition_by)
+            writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
         writer.json(f"{folder}/{name}")
 
 

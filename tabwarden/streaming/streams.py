@@ -214,21 +214,25 @@ class SnapshotChain:
         self.diffs = f"{folder}/diffs"
 
     def batch(self, announced: DataFrame, batch_id: int) -> None:
-        """Announcements are control rows; the stream brings one per batch."""
+        """Announcements are control rows, a few per batch; each snapshot that they
+        name is compared with the one announced before it."""
         last = self.accepted.rows(batch_id).orderBy(F.desc("snapshot_id")).limit(1).collect()
-        arrived = announced.orderBy("snapshot_id").limit(1).collect()
-        if arrived and last:
-            before, after = (self.spark.read.parquet(rows[0].path) for rows in (last, arrived))
-            summary = comparison.compare(before, after, self.key).summary
-            numbered = summary.withColumn("snapshot_id", F.lit(arrived[0].snapshot_id).cast("bigint"))
-            numbered.write.mode("overwrite").parquet(f"{self.diffs}/batch_id={batch_id}")
+        chain = [*last, *announced.select("snapshot_id", "path").orderBy("snapshot_id").collect()]
+        found = None
+        for before, after in zip(chain, chain[1:], strict=False):
+            tables = (self.spark.read.parquet(row.path) for row in (before, after))
+            summary = comparison.compare(*tables, self.key).summary
+            numbered = summary.withColumn("snapshot_id", F.lit(after.snapshot_id).cast("bigint"))
+            found = numbered if found is None else found.unionByName(numbered)
+        if found is not None:
+            found.write.mode("overwrite").parquet(f"{self.diffs}/batch_id={batch_id}")
         self.accepted.append(announced.select("snapshot_id", "path"), batch_id)
 
 
 def stream_compare(
     announced: DataFrame, state: SnapshotChain, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """``announced`` brings ``(snapshot_id, path)``, one snapshot per micro-batch."""
+    """``announced`` brings ``(snapshot_id, path)``, any number per micro-batch."""
     return _per_batch(announced, state.batch, checkpoint, every)
 
 
