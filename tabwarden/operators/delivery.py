@@ -79,10 +79,12 @@ def _lease_rows(log: DataFrame, lease_seconds: int) -> DataFrame:
 def effective_lease(log: DataFrame, lease_seconds: int) -> DataFrame:
     """When each attempt's lease ran out after its heartbeats.
 
-    A beat at or after the running expiry, and every beat after it, is void.
+    A beat is void at or after the running expiry, after the attempt failed or was
+    settled, or once a newer claim holds the job; so is every beat after it.
     """
     rows = _lease_rows(log, lease_seconds).filter(F.col("event").isin("claim", "heartbeat"))
-    late = (F.col("event") == "heartbeat") & (F.col("at_time") >= F.col("expiry"))
+    lost = (F.col("at_time") >= F.col("expiry")) | (F.col("endings") > 0) | (F.col("attempt") != F.col("current"))
+    late = (F.col("event") == "heartbeat") & lost
     state = F.struct("expiry", "beats")
     leases = rows.groupBy("job_id", "attempt").agg(
         F.min(F.when(F.col("event") == "claim", F.col("at_time"))).alias("claimed_at"),

@@ -23,7 +23,8 @@ LEASES = f"""SELECT *, max(CASE WHEN event IN ('claim', 'heartbeat') THEN at_tim
   sum(CASE WHEN event IN ('fail', 'settle') THEN 1 ELSE 0 END) OVER w AS endings
 FROM ({NUMBERED}) AS numbered WHERE attempt > 0
 WINDOW w AS (PARTITION BY job_id, attempt ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
-BREAKS = f"""SELECT *, min(CASE WHEN event = 'heartbeat' AND at_time >= expiry THEN id END)
+BREAKS = f"""SELECT *, min(CASE WHEN event = 'heartbeat'
+    AND (at_time >= expiry OR endings > 0 OR attempt <> current) THEN id END)
   OVER (PARTITION BY job_id, attempt) AS broken FROM ({LEASES}) AS leases"""
 
 

@@ -50,3 +50,19 @@ def test_gates_do_not_fail_a_run(spark):
     rows = [("r", step, "succeeded", None) for step in run_history.PLAN] + [("r", "approval_gate", "waiting", None)]
     rolled = run_history.run_rollup(spark.createDataFrame(rows, "run_id string, task_id string, status string, error string"))
     assert [(r.run_id, r.status, r.failure_reason) for r in rolled.collect()] == [("r", "SUCCEEDED", None)]
+
+
+def test_beats_after_an_ending_or_a_newer_claim_are_void(spark):
+    from datetime import datetime, timedelta
+
+    from tabwarden.operators import delivery
+
+    start = datetime(2024, 1, 1)
+    rows = [("a", 0, "claim", 0), ("a", 10, "settle", 0), ("a", 20, "heartbeat", 0)]
+    rows += [("b", 0, "claim", 0), ("b", 5, "heartbeat", 0), ("b", 6, "fail", 0), ("b", 7, "claim", 0), ("b", 8, "heartbeat", 1)]
+    log = spark.createDataFrame(
+        [(n, job, event, start + timedelta(seconds=at), ago) for n, (job, at, event, ago) in enumerate(rows)],
+        "id bigint, job_id string, event string, at_time timestamp_ntz, attempts_ago int",
+    )
+    found = {(r.job_id, r.attempt): (r.valid_beats, r.void_beats, (r.expires_at - start).seconds) for r in delivery.effective_lease(log, 30).collect()}
+    assert found == {("a", 1): (0, 1, 30), ("b", 1): (1, 1, 35), ("b", 2): (0, 0, 37)}
