@@ -34,8 +34,8 @@ WINDOW = 2
 #: maximum; the last one holds for the rest.
 SHARPNESS = (0.25, 0.5, 0.75, 1.0, 2.0, 4.0)
 #: Bounds of the sample that the model is fitted on.
-SAMPLE_ROWS = 5_000
-SAMPLE_BYTES = 24_000_000
+SAMPLE_ROWS = 4_000
+SAMPLE_BYTES = 14_000_000
 #: Texts are scored in pieces of at most so many characters, cut at white space.
 PIECE = 200_000
 
@@ -182,18 +182,24 @@ def train(sample: list[tuple[str, int]], epochs: int = 12, batch: int = 256, rat
         texts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in low.split()], np.int32))
     label = np.array([y for _, y in sample], float)
     words = words_of(b" ".join(vocabulary))
+    del vocabulary  # this runs on the driver: what is done with goes
     counts = words.counts.astype(float)
-    rows, cols = [np.arange(len(counts))], [words.whole]
+    rows, cols = [np.arange(len(counts), dtype=np.int32)], [words.whole]
     for places, found in words.grams:
-        rows.append(np.searchsorted(words.starts, places, side="right") - 1)
+        rows.append(np.searchsorted(words.starts, places, side="right").astype(np.int32) - 1)
         cols.append(found)
-    row, col = np.concatenate(rows), np.concatenate(cols).astype(np.int64)
+    del words
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    del rows, cols
     order = np.argsort(row, kind="stable")
     row, col = row[order], col[order]
+    del order
     begin = np.searchsorted(row, np.arange(len(counts)))
     size = np.diff(np.append(begin, len(row)))
 
-    used, col = np.unique(col, return_inverse=True)
+    del row
+    used = np.unique(col)
+    col = np.searchsorted(used, col).astype(np.int32)
     embed = rng.uniform(-1 / WIDTH, 1 / WIDTH, (len(used), WIDTH))
     soft = rng.uniform(-1 / WIDTH, 1 / WIDTH, (WIDTH, 2))
     bias = np.zeros(2)
