@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys given their own broadcast copy. Whatever the data, at most this many rows
-#: are broadcast, and any key left out holds less than 1/HOT_KEYS of the rows.
+#: Keys that are dealt into pieces, and rows from which on a key is. Any key left out
+#: holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
+SPLIT_ROWS = 100_000
 
 #: Rows from which a key is windowed in segments, and sequence numbers per segment.
 SEGMENT_SPAN = 1_000_000
@@ -25,30 +26,49 @@ def join_per_key(
     keys: Sequence[str],
     weight: str,
     spread_by: str,
+    null_safe: Collection[str] = (),
 ) -> DataFrame:
     """Left-join ``per_key`` (one row per key) to ``facts`` when keys may be hot.
 
     ``weight`` is the column of ``per_key`` counting the fact rows of a key. The
-    heaviest keys come from a broadcast of at most ``HOT_KEYS`` rows; their fact
-    rows are then spread over all partitions by ``spread_by`` instead of meeting
-    in one. Every other key is joined through the shuffle. Each fact row appears
+    fact rows of a key of more than ``SPLIT_ROWS`` are dealt into pieces of about
+    that many by ``spread_by``, and its row of ``per_key`` is repeated for each
+    piece. Only hashes of the hot keys and their numbers of pieces are broadcast,
+    two numbers each, however long keys and payload are. Each fact row appears
     exactly once in the result, with NULLs where no key matched. ``weight`` is
     kept.
+
+    A NULL matches nothing, and such fact rows are dealt over all partitions; in
+    the keys named by ``null_safe`` NULL matches NULL.
     """
     payload = [name for name in per_key.columns if name not in keys]
-    hot = per_key.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
-    hot = hot.select(*keys, F.struct(*payload).alias("__hot"))
-    marked = facts.join(F.broadcast(hot), list(keys), "left")
-    spread = F.when(F.col("__hot").isNotNull(), F.xxhash64(spread_by)).otherwise(F.lit(0))
-    marked = marked.withColumn("__spread", spread.cast("bigint"))
-    cold = per_key.select(
-        *keys, F.lit(0).cast("bigint").alias("__spread"), F.struct(*payload).alias("__cold")
+    hashed = F.xxhash64(*keys).alias("__hash")
+    heavy = per_key.filter(F.col(weight) > SPLIT_ROWS).select(hashed, F.col(weight).alias("__n"))
+    heavy = heavy.orderBy(F.desc("__n"), "__hash").limit(HOT_KEYS)
+    # Both sides take the pieces of a hash from here, so keys of one hash stay together.
+    heavy = heavy.groupBy("__hash").agg(F.ceil(F.max("__n") / SPLIT_ROWS).cast("bigint").alias("__pieces"))
+    pieces = F.coalesce("__pieces", F.lit(1).cast("bigint"))
+    dealt = F.xxhash64(spread_by)
+    matchless = F.lit(False)
+    for name in keys:
+        if name not in null_safe:
+            matchless = matchless | F.col(name).isNull()
+    spread = F.when(matchless, dealt).otherwise(F.pmod(dealt, pieces))
+    marked = facts.withColumn("__hash", hashed).join(F.broadcast(heavy), "__hash", "left")
+    marked = marked.select(*[F.col(name) for name in facts.columns], spread.alias("__spread"))
+    copies = per_key.withColumn("__hash", hashed).join(F.broadcast(heavy), "__hash", "left").select(
+        *[F.col(name).alias(f"__key{n}") for n, name in enumerate(keys)],
+        F.struct(*payload).alias("__found"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("__piece"),
     )
-    joined = marked.join(cold, [*keys, "__spread"], "left")
-    found = F.coalesce("__hot", "__cold")
+    same = F.col("__spread") == F.col("__piece")
+    for n, name in enumerate(keys):
+        left, right = F.col(name), F.col(f"__key{n}")
+        same = same & (left.eqNullSafe(right) if name in null_safe else left == right)
+    joined = marked.join(copies, same, "left")
     return joined.select(
         *[F.col(name) for name in facts.columns],
-        *[found.getField(name).alias(name) for name in payload],
+        *[F.col("__found").getField(name).alias(name) for name in payload],
     )
 
 

@@ -128,6 +128,29 @@ def _quick_side(quick: Column, bound: Decimal) -> Column:
     return F.when(quick < limit, -1).when(quick > limit, 1).when(quick.isNotNull(), on_grid)
 
 
+def compare_numbers(value: Column, other: Column) -> Column:
+    """-1, 0 or 1 as one number text lies below, on or above another, whatever the
+    number of digits. Both must be valid numbers."""
+
+    def against(pair: Column) -> Column:
+        x, y = pair.x, pair.y
+        magnitude = (
+            F.when(x.lead < y.lead, -1)
+            .when(x.lead > y.lead, 1)
+            .when(x.digits < y.digits, -1)
+            .when(x.digits > y.digits, 1)
+            .otherwise(0)
+        )
+        return (
+            F.when(x.sign < y.sign, -1)
+            .when(x.sign > y.sign, 1)
+            .when(x.sign == 0, 0)
+            .otherwise(magnitude * x.sign)
+        )
+
+    return _let(F.struct(_shape(value).alias("x"), _shape(other).alias("y")), against)
+
+
 def compare_to_bound(value: Column, bound: Decimal, quick: Column | None = None) -> Column:
     """-1, 0 or 1 as the number text ``value`` lies below, on or above ``bound``.
 

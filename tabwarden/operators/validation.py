@@ -214,9 +214,15 @@ def _with_first_records(
     """
     for rule in rules:
         mine = repeats.filter(F.col("col_idx") == rule.position).select(
-            *by, F.col("v").alias(_value_name(rule)), F.col("first_record").alias(_first_name(rule))
+            *[F.col(name).alias(f"__by{n}") for n, name in enumerate(by)],
+            F.col("v").alias("__v"),
+            F.col("first_record").alias(_first_name(rule)),
         )
-        prepared = prepared.join(F.broadcast(mine), [*by, _value_name(rule)], "left")
+        same = F.col(_value_name(rule)) == F.col("__v")
+        for n, name in enumerate(by):
+            same = same & F.col(name).eqNullSafe(F.col(f"__by{n}"))
+        helpers = [f"__by{n}" for n in range(len(by))]
+        prepared = prepared.join(F.broadcast(mine), same, "left").drop("__v", *helpers)
     return prepared
 
 
@@ -234,7 +240,7 @@ def _later_occurrences(
     are too many repeated values to broadcast."""
     cells = _cells(local, rules, by, (F.col("__issues") == 0).alias("clean"))
     keys = [*by, "col_idx", "v"]
-    joined = join_per_key(cells, repeats, keys, weight="occurrences", spread_by="record_no")
+    joined = join_per_key(cells, repeats, keys, weight="occurrences", spread_by="record_no", null_safe=by)
     return joined.filter(F.col("first_record") < F.col("record_no"))
 
 

@@ -118,7 +118,7 @@ def _(t):
     arriving = _arriving(t, t["keyed_lines"], "record_no", "key-stream")
     state = st.Uniqueness(t.spark, scratch_path(t.spark, "unique"), "item_key")
     st.stream_unique(arriving, state, scratch_path(t.spark, "check")).awaitTermination()
-    return state.found.rows()
+    return state.result()
 
 
 @query(

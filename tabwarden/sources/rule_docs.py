@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwarden.functions.checks import COLUMN_TYPES
+from tabwarden.functions.numbers import compare_numbers
 from tabwarden.functions.staging import evaluated
 from tabwarden.functions.text import strip
 from tabwarden.operators.rules import DOCUMENT_KEYS, RULE_KEYS
@@ -143,8 +144,7 @@ def _with_rule_code(each: DataFrame) -> DataFrame:
     def wrong(name: str, kind: str) -> Column:
         return given(name) & (F.col(f"{name}_kind") != kind)
 
-    low = _get(rule, "$.min", "decimal(38,18)")
-    high = _get(rule, "$.max", "decimal(38,18)")
+    crossed = compare_numbers(_get(rule, "$.min", "string"), _get(rule, "$.max", "string")) > 0
     texts = F.forall("listed", lambda item: json_kind(item) == "string")
     usable = F.coalesce((F.size("listed") > 0) & texts, F.lit(False))
     code = (
@@ -160,7 +160,7 @@ def _with_rule_code(each: DataFrame) -> DataFrame:
         )
         .when(wrong("min", "number"), "bad_min")
         .when(wrong("max", "number"), "bad_max")
-        .when(given("min") & given("max") & (low > high), "min_exceeds_max")
+        .when(given("min") & given("max") & crossed, "min_exceeds_max")
         .when(given("allowed") & ~usable, "bad_allowed")
     )
     return evaluated(parts, "rule_set", "col_idx", "column", "rule", code.alias("code"))

@@ -163,45 +163,69 @@ def stream_validate(
 
 
 class Uniqueness:
-    """First record of every value seen so far in one column."""
+    """First record of every value seen so far in one column.
+
+    Records may come in any order. One that comes late, with a smaller number than
+    the first of its value so far, takes its place; the former first is then found
+    as a repeat. ``found`` names the first record as it was known when a repeat was
+    found, ``result`` as it is known now.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, column: str) -> None:
         self.column = column
-        self.firsts = BatchTable(spark, f"{folder}/firsts", "v string, first_record bigint").create()
+        self.firsts = BatchTable(
+            spark, f"{folder}/firsts", "v string, first_record bigint, first_value string"
+        ).create()
         self.found = BatchTable(
-            spark, f"{folder}/found", "row bigint, first_record bigint, value string"
+            spark, f"{folder}/found", "row bigint, first_record bigint, value string, v string"
         ).create()
 
+    def _known(self, before: int | None = None) -> DataFrame:
+        return self.firsts.rows(before).groupBy("v").agg(
+            F.min("first_record").alias("known_first"),
+            F.min_by("first_value", "first_record").alias("known_value"),
+        )
+
     def batch(self, ds: DataFrame, batch_id: int) -> None:
         text = F.col(f"`{self.column}`").cast("string")
         cells = ds.select("record_no", stripped_or_blank(text).alias("v"), text.alias("value"))
         cells = cells.filter("v <> ''")
         here = cells.groupBy("v").agg(
-            F.min("record_no").alias("here_first"), F.count(F.lit(1)).alias("uses")
-        )
-        known = self.firsts.rows(batch_id)
-        values = here.join(known, "v", "left")
-        first = F.coalesce("first_record", "here_first")
-        repeated = values.filter((F.col("uses") > 1) | F.col("first_record").isNotNull()).select(
-            "v", first.alias("first_record"), "uses"
+            F.min("record_no").alias("here_first"),
+            F.min_by("value", "record_no").alias("here_value"),
+            F.count(F.lit(1)).alias("uses"),
         )
+        values = here.join(self._known(batch_id), "v", "left")
+        first = F.least("known_first", "here_first").alias("first_record")
+        repeated = values.filter((F.col("uses") > 1) | F.col("known_first").isNotNull()).select("v", first, "uses")
         joined = join_per_key(cells, repeated, ["v"], "uses", "record_no")
         later = joined.filter(F.col("record_no") > F.col("first_record"))
+        replaced = values.filter(F.col("known_first") > F.col("here_first")).select(
+            F.col("known_first").alias("row"), first, F.col("known_value").alias("value"), "v"
+        )
         self.firsts.append(
-            values.filter(F.col("first_record").isNull()).select(
-                "v", F.col("here_first").alias("first_record")
+            values.filter(F.col("known_first").isNull() | (F.col("here_first") < F.col("known_first"))).select(
+                "v", F.col("here_first").alias("first_record"), F.col("here_value").alias("first_value")
             ),
             batch_id,
         )
         self.found.append(
-            later.select(F.col("record_no").alias("row"), "first_record", "value"), batch_id
+            later.select(F.col("record_no").alias("row"), "first_record", "value", "v").unionByName(replaced),
+            batch_id,
         )
 
+    def result(self) -> DataFrame:
+        """Every repeat with the first record of its value: ``row, first_record, value``."""
+        found = self.found.rows().drop("first_record")
+        uses = found.groupBy("v").agg(F.count(F.lit(1)).alias("uses"))
+        firsts = uses.join(self._known(), "v").select("v", F.col("known_first").alias("first_record"), "uses")
+        return join_per_key(found, firsts, ["v"], "uses", "row").select("row", "first_record", "value")
+
 
 def stream_unique(
     ds: DataFrame, state: Uniqueness, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Repeated values across batches; records arrive in order of ``record_no``."""
+    """Repeated values across batches; see ``Uniqueness.result``."""
     return _per_batch(ds, state.batch, checkpoint, every)
 
 

@@ -66,3 +66,34 @@ def test_beats_after_an_ending_or_a_newer_claim_are_void(spark):
     )
     found = {(r.job_id, r.attempt): (r.valid_beats, r.void_beats, (r.expires_at - start).seconds) for r in delivery.effective_lease(log, 30).collect()}
     assert found == {("a", 1): (0, 1, 30), ("b", 1): (1, 1, 35), ("b", 2): (0, 0, 37)}
+
+
+def test_a_late_smaller_record_becomes_the_first(spark, tmp_path):
+    from tabwarden.streaming.streams import Uniqueness
+
+    state = Uniqueness(spark, str(tmp_path / "unique"), "v")
+    for number, rows in ((0, [(10, "a"), (12, "a ")]), (1, [(5, "a"), (7, "b")]), (2, [(3, "b"), (6, "a")]), (2, [(3, "b"), (6, "a")])):
+        state.batch(spark.createDataFrame(rows, "record_no bigint, v string"), number)
+    found = sorted((r.row, r.first_record, r.value) for r in state.result().collect())
+    assert found == [(6, 5, "a"), (7, 3, "b"), (10, 5, "a"), (12, 5, "a ")]
+
+
+def test_bounds_beyond_fixed_decimals_are_compared(spark):
+    from tabwarden.sources.rule_docs import rule_catalog
+
+    bounds = {"crossed": ("1e30", "1"), "fine": ("1", "1e30"), "negative": ("-1e30", "-2e30"), "equal": ("1e30", "1e30"), "small": ("2e-25", "1e-25")}
+    docs = [(k, '{"version":1,"columns":{"a":{"type":"number","min":%s,"max":%s}}}' % b) for k, b in bounds.items()]
+    _, lint = rule_catalog(spark.createDataFrame(docs, "rule_set string, doc string"))
+    assert {(r.rule_set, r.code) for r in lint.collect()} == {(k, "min_exceeds_max") for k in ("crossed", "negative", "small")}
+
+
+def test_a_null_group_is_checked_like_any_other(spark, monkeypatch):
+    from tabwarden.operators import validation
+
+    rows = [(2, None, "x"), (3, None, "x"), (4, "g", "x"), (5, "g", "y")]
+    ds = spark.createDataFrame(rows, "record_no bigint, run_id string, n string")
+    rules = {"version": 1, "columns": {"n": {"unique": True}}}
+    for limit in (validation.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(validation, "BROADCAST_ROWS", limit)
+        found = validation.all_findings(ds, rules, by=["run_id"]).collect()
+        assert [(f.run_id, f.row, f.code) for f in found] == [(None, 3, "duplicate")]
