@@ -126,7 +126,8 @@ def retry_audit(log: DataFrame, max_attempts: int = DEFAULT_MAX_ATTEMPTS) -> Dat
     """Per logged failure, whether a retry was due and whether one was logged.
 
     A retry is due for a retryable error while attempts remain in the current
-    invocation; an invocation starts when the run is created or resumed.
+    invocation; an invocation starts when the run is created or resumed. Whether an
+    error is retryable is read from the log; its class decides where the log is silent.
     """
     resumed = F.when(F.col("event") == "run_resumed", 1).otherwise(0)
     numbered = running(log, ["run_id"], "id", {"invocation": Running(resumed)})
@@ -136,7 +137,9 @@ def retry_audit(log: DataFrame, max_attempts: int = DEFAULT_MAX_ATTEMPTS) -> Dat
     counted = running(of_tasks, keys, "id", {"attempts_used": Running(started)})
     followed = neighbour(counted, ["run_id", "task"], "id", {"next_event": "event"}, forward=True)
     kind = F.substring_index(F.get_json_object("detail_json", "$.error"), ":", 1)
-    expected = kind.isin(*RETRYABLE_ERRORS) & (F.col("attempts_used") < max_attempts)
+    flag = F.get_json_object("detail_json", "$.retryable")
+    retryable = F.when(flag.isin("true", "false"), flag == "true").otherwise(kind.isin(*RETRYABLE_ERRORS))
+    expected = retryable & (F.col("attempts_used") < max_attempts)
     recorded = F.coalesce(F.col("next_event") == "task_retrying", F.lit(False))
     failures = followed.filter("event = 'task_failed'")
     return failures.select(

@@ -282,7 +282,8 @@ def _missing_findings(
     )
 
 
-def _split(ds: DataFrame, rules: Any) -> tuple[list[ColumnRule], list[ColumnRule]]:
+def split_rules(ds: DataFrame, rules: Any) -> tuple[list[ColumnRule], list[ColumnRule]]:
+    """The rules of columns that ``ds`` has, and those of columns that it lacks."""
     checked = rules if _is_checked(rules) else check_rules(rules)
     names = set(header(ds))
     present = [rule for rule in checked if rule.column in names]
@@ -295,7 +296,7 @@ def _is_checked(rules: Any) -> bool:
 
 
 def _plan(ds: DataFrame, rules: Any, codes: Collection[str], by: Sequence[str]) -> _Plan:
-    present, absent = _split(ds, rules)
+    present, absent = split_rules(ds, rules)
     checks = [check for rule in present for check in _row_checks(rule, codes)]
     prepared = _prepared(ds, present, by)
     unique = [rule for rule in present if rule.unique] if "duplicate" in codes else []

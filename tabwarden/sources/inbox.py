@@ -10,11 +10,13 @@ MAX_DOCUMENT_BYTES = 64 * 1024
 MAX_SOURCE_BYTES = 10 * 1024 * 1024
 
 
-def inbox_scan(spark: SparkSession, folder: str, suffix: str = ".json") -> DataFrame:
+def inbox_scan(
+    spark: SparkSession, folder: str, suffix: str = ".json", max_bytes: int = MAX_DOCUMENT_BYTES
+) -> DataFrame:
     """The documents directly in ``folder``, in name order.
 
-    A document that is too large is listed without its text, so one bad file
-    never stops the others.
+    A document of more than ``max_bytes`` is listed without text and hash, and its
+    bytes are never read, so one bad file never stops the others.
     """
     files = (
         spark.read.format("binaryFile")
@@ -22,16 +24,19 @@ def inbox_scan(spark: SparkSession, folder: str, suffix: str = ".json") -> DataF
         .option("recursiveFileLookup", "false")
         .load(folder)
     )
-    fits = F.col("length") <= MAX_DOCUMENT_BYTES
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        "path",
-        name.alias("file_name"),
-        "length",
-        hash_of(F.col("content")).alias("raw_hash"),
-        F.when(fits, F.col("content")).alias("content"),
-        fits.alias("fits"),
-    ).orderBy("file_name")
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+
+    def listed(some: DataFrame, raw_hash: Column, content: Column, fits: bool) -> DataFrame:
+        return some.select(
+            "path", name, "length", raw_hash.alias("raw_hash"), content.alias("content"), F.lit(fits).alias("fits")
+        )
+
+    # The scan itself skips files by their length.
+    small = listed(files.filter(F.col("length") <= max_bytes), hash_of(F.col("content")), F.col("content"), True)
+    large = listed(
+        files.filter(F.col("length") > max_bytes), F.lit(None).cast("string"), F.lit(None).cast("binary"), False
+    )
+    return small.unionByName(large).orderBy("file_name")
 
 
 def hash_of(content: Column) -> Column:

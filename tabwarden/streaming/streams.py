@@ -157,7 +157,15 @@ def stream_dedup(
 def stream_validate(
     ds: DataFrame, rules: Any, out: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Row-local checks: stateless, the same expressions as in batch."""
+    """Row-local checks: stateless, the same expressions as in batch.
+
+    Rules that rows alone cannot show to be broken are refused: ``unique`` (use
+    ``stream_unique``) and columns that the stream does not have.
+    """
+    present, absent = validation.split_rules(ds, rules)
+    beyond = [rule.column for rule in [*absent, *(rule for rule in present if rule.unique)]]
+    if beyond:
+        raise ValueError(f"rules of missing columns or unique values, in a stream: {', '.join(beyond)}")
     findings = validation.all_findings(ds, rules, ROW_LOCAL_CODES)
     return _to_files(findings.select(*validation.FINDING_COLUMNS), out, checkpoint, every)
 

@@ -97,3 +97,25 @@ def test_a_null_group_is_checked_like_any_other(spark, monkeypatch):
         monkeypatch.setattr(validation, "BROADCAST_ROWS", limit)
         found = validation.all_findings(ds, rules, by=["run_id"]).collect()
         assert [(f.run_id, f.row, f.code) for f in found] == [(None, 3, "duplicate")]
+
+
+def test_the_logged_flag_says_whether_a_retry_is_due(spark):
+    from tabwarden.operators.run_history import retry_audit
+
+    details = ['{"error":"RemoteDisconnected: x","retryable":true}', '{"error":"TimeoutError: x","retryable":false}', '{"error":"TimeoutError: x"}', '{"error":"ValueError: x"}']
+    rows = []
+    for n, detail in enumerate(details):
+        rows += [(2 * n, f"r{n}", "planner", "task_started", "{}"), (2 * n + 1, f"r{n}", "planner", "task_failed", detail)]
+    log = spark.createDataFrame(rows, "id bigint, run_id string, task string, event string, detail_json string")
+    assert [r.expected for r in retry_audit(log).orderBy("id").collect()] == [True, False, True, False]
+
+
+def test_streams_refuse_rules_they_cannot_check(spark, tmp_path):
+    import pytest
+
+    from tabwarden.streaming.streams import stream_validate
+
+    rows = spark.createDataFrame([(2, "x")], "record_no bigint, a string")
+    for columns in ({"a": {"unique": True}}, {"b": {"required": True}}):
+        with pytest.raises(ValueError, match="in a stream"):
+            stream_validate(rows, {"version": 1, "columns": columns}, str(tmp_path / "out"), str(tmp_path / "check"))
