@@ -189,20 +189,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 def components(edges: DataFrame) -> DataFrame:
     """``rep, root``: the least member of each component of the ``a, b`` links.
 
-    Every round each vertex takes the least label of its neighbours, and labels are
-    followed once; rounds grow with the logarithm of a component's width. Labels are
-    written each round; nothing of them comes to the driver but a count of changes.
+    Every round each vertex goes to the first of itself and its neighbours, in an
+    order of hashes that changes from round to round, and on to where that one went.
+    Then vertices that went to the same place are one, and only links between
+    different ones are left, so links and vertices shrink by a share each round, in
+    long chains too. All is written each round; nothing of it comes to the driver but
+    whether links are left.
     """
-    links = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = staged(links.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("near")).select("rep", F.least("rep", "near").alias("root")), "labels")
+    links = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = staged(links.filter("a <> b").distinct(), "links")
+    labels: DataFrame | None = None
+    rounds = 0
     while True:
-        near = links.join(labels.select(F.col("rep").alias("b"), "root"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "rep").select("rep", F.col("root").alias("old"), F.least("root", "near").alias("to"))
-        jump = labels.select(F.col("rep").alias("to"), F.col("root").alias("further"))
-        after = staged(lower.join(jump, "to").select("rep", "old", F.least("to", "further").alias("root")), "labels")
-        labels = after.select("rep", "root")
-        if not after.filter("root <> old").limit(1).count():
-            return labels
+        ranked = lambda v: F.struct(F.xxhash64(v, F.lit(rounds)).alias("rank"), F.col(v).alias("v"))  # noqa: B023, E731
+        first = links.groupBy("a").agg(F.min(ranked("b")).alias("first"))
+        hooks = staged(first.select(F.col("a").alias("rep"), F.least(ranked("a"), "first")["v"].alias("to")), "hooks")
+        further = hooks.select(F.col("rep").alias("to"), F.col("to").alias("root"))
+        hooks = staged(hooks.join(further, "to").select("rep", "root"), "hooks")
+        if labels is None:
+            labels = hooks
+        else:
+            moved = hooks.select(F.col("rep").alias("root"), F.col("root").alias("next"))
+            labels = staged(labels.join(moved, "root", "left").select("rep", F.coalesce("next", "root").alias("root")), "labels")
+        one = hooks.select(F.col("rep").alias("a"), F.col("root").alias("ra"))
+        two = hooks.select(F.col("rep").alias("b"), F.col("root").alias("rb"))
+        left = links.join(one, "a").join(two, "b").filter("ra <> rb")
+        links = staged(left.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+        rounds += 1
+        if not links.limit(1).count():
+            least = labels.groupBy("root").agg(F.min("rep").alias("least"))
+            return staged(labels.join(least, "root").select("rep", F.col("least").alias("root")), "labels")
 
 
 def _stray_links(clusters: DataFrame, roots: DataFrame, members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
