@@ -69,6 +69,16 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_components_of_chains_stars_and_strays(spark):
+    chain = [(n, n + 1) for n in range(100)]
+    star = [(500, n) for n in range(501, 600)]
+    pairs = [(1000, 1001), (1003, 1002), (1002, 1001), (1000, 1001), (7000, 7000)]
+    found = near_dedup.components(spark.createDataFrame(chain + star + pairs, "a long, b long")).collect()
+    want = {n: 0 for n in range(101)} | {n: 500 for n in range(500, 600)} | {n: 1000 for n in range(1000, 1004)}
+    assert {r.rep: r.root for r in found} == want and len(found) == len(want)
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_of_one_large_group(spark, monkeypatch):
     """More members than a bucket gives all pairs of, some far from the leader."""
     monkeypatch.setattr(near_dedup, "SMALL", 8)
