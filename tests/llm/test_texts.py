@@ -257,6 +257,23 @@ def test_style_tree_removes_what_all_pages_have(spark):
     assert site_style.extract(_pages(spark, [])).count() == 0
 
 
+def test_style_tree_decides_inside_and_outside_articles(spark):
+    page = (
+        "<main><p>{0}</p><div class='legal'>All rights are ours</div></main>"
+        "<div role=\"main\"><p>more {0}</p><div class='legal'>Call us</div></div>"
+        "<div class='body'><p>{1}</p></div><div class='end'><p>All about us</p></div>"
+    )
+    cards = "<div class='body'><p>{0}</p></div><article><p>Our best offer</p></article>"
+    rows = [(i, f"http://h.org/{i}", page.format(f"first {i}", f"second {i}")) for i in range(8)]
+    rows += [(20 + i, f"http://cards.org/{i}", cards.format(f"body {i}")) for i in range(8)]
+    rows += [(40 + i, f"http://copies.org/{i}", "<p>Our site</p><article>the same</article>") for i in range(8)]
+    want = {i: f"first {i}\nmore first {i}\nsecond {i}" for i in range(8)}
+    want |= {20 + i: f"body {i}" for i in range(8)} | {40 + i: "the same" for i in range(8)}
+    for limit in (site_style.BROADCAST_ROWS, 0):
+        assert {r.page_id: r.text for r in site_style.extract(_pages(spark, rows), broadcast_rows=limit).collect()} == want
+    assert _text("<article>card</article><div>body</div>") == "card\nbody"
+
+
 def test_pages_hold_their_documents(spark):
     texts = {" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()}
     pages = QUERIES["op8_html_extraction"](spark, SF).collect()
