@@ -13,8 +13,10 @@ classes are one element. Two statistics are counted over the pages that have it:
 An element's importance joins its content with its parent's presentation, and is
 raised a little inside a marked article. Elements of low importance, on hosts with
 pages enough to tell, are removed from every page, inside an article as outside.
-Marked-up furniture (nav, footer, scripts, forms and the like, or classes that name
-it) is removed anywhere.
+Marked-up furniture (nav, footer, scripts, forms and the like, or hidden elements) is
+removed anywhere. So are elements whose classes, id or role name furniture, unless
+they hold the page's article, or their host's tree finds in them both the texts of
+content and children that differ from page to page.
 
 The statistics are counts by host, path and text, which combine before the shuffle,
 so a host with a third of all pages is no hot group.
@@ -43,6 +45,9 @@ CONTENT_WEIGHT = 0.9
 #: What standing in a marked article adds to an importance. Text on every page has at
 #: most 1 - CONTENT_WEIGHT, so it stays below the least one also there.
 ARTICLE_RAISE = 0.1
+#: Content and presentation of an element from which on it stays though its name says furniture.
+SPARED_CONTENT = 0.5
+SPARED_LOOK = 0.5
 #: Low elements (16 bytes each) that are broadcast at most; beyond it they are joined.
 BROADCAST_ROWS = 500_000
 
@@ -76,47 +81,53 @@ CLOSED_BY = {
 }
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Block(NamedTuple):
-    """A block of text: its path, its parent's path, and what markup says of it."""
+    """A block of text: its path, its parent's path, and what markup says of it:
+    ``named`` is the path of the outermost element around it that names furniture."""
 
     path: str
     parent: str
     text: str
-    furniture: bool
+    named: str
     article: bool
 
 
 class _Element:
-    __slots__ = ("tag", "path", "furniture", "article", "children")
+    __slots__ = ("tag", "path", "furniture", "article", "named", "children", "holds_main", "holds_article")
 
-    def __init__(self, tag: str, path: str, furniture: bool, article: bool) -> None:
+    def __init__(self, tag: str, path: str, furniture: bool, article: bool, named: tuple[_Element, ...] = ()) -> None:
         self.tag, self.path, self.furniture, self.article = tag, path, furniture, article
+        #: The elements from the page's root to this one that name furniture.
+        self.named = named
         self.children: list[str] = []
+        self.holds_main = self.holds_article = False
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """The sign of an element in its path (its classes, without numbers), and
-    whether its names or role say furniture."""
-    if "=" not in attributes and "hidden" not in attributes:
-        return "", False
-    sign, out = [], False
+def _named(attributes: str) -> tuple[str, bool, bool, bool]:
+    """The sign of an element in its path (its classes, without numbers), whether
+    its names or role say furniture, whether it is hidden, and whether its role is main."""
+    sign, names, hidden, main = [], False, False, False
+    known = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = unescape(next((v for v in values if v), "")).lower()
         name = name.lower()
-        words = _NAME.findall(value)
+        if name not in ("class", "id", "role", "hidden", "aria-hidden") or name in known:
+            continue
+        known.add(name)
+        value = unescape(next((v for v in values if v), "")).lower()
         if name in ("class", "id"):
-            sign += words
-            out = out or not FURNITURE_NAMES.isdisjoint(words)
+            sign += _NAME.findall(value)
+            names = names or not FURNITURE_NAMES.isdisjoint(value.split())
         elif name == "role":
-            out = out or value.strip() in FURNITURE_ROLES
+            names = names or value.strip() in FURNITURE_ROLES
+            main = value.strip() == "main"
         else:
-            out = out or name == "hidden" or value.strip() == "true"
-    return ".".join(sorted(set(sign))), out
+            hidden = hidden or name == "hidden" or value.strip() == "true"
+    return ".".join(sorted(set(sign))), names, hidden, main
 
 
 def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
@@ -124,7 +135,9 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     sequence of its children. Broken markup is read as far as it goes: unknown end
     tags are ignored and open elements end with what holds them."""
     root = _Element("", "", False, False)
-    stack, blocks, styles = [root], [], []
+    stack, styles = [root], []
+    found_blocks: list[tuple[Block, tuple[_Element, ...]]] = []
+    free_article = False  # whether an article stands in nothing that names furniture
     said: list[str] = []
     at, n = 0, len(html)
 
@@ -136,9 +149,8 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 # Inline elements do not make a path.
                 holder = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
                 k = stack.index(holder)
-                top = stack[-1]
                 parent = next((e for e in reversed(stack[:k]) if e.tag in BLOCKS), root)
-                blocks.append(Block(holder.path, parent.path, text, holder.furniture or (top.furniture and top is holder), holder.article))
+                found_blocks.append((Block(holder.path, parent.path, text, "", holder.article), stack[-1].named))
 
     def close(k: int) -> None:
         for element in stack[k:]:
@@ -168,7 +180,7 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 if stack[k].tag == tag:
                     if tag not in BLOCKS and any(e.tag in BLOCKS for e in stack[k + 1 :]):
                         break  # an inline end tag does not end a block
-                    if stack[k].furniture != stack[k - 1].furniture or any(e.tag in BLOCKS for e in stack[k:]):
+                    if stack[-1].furniture != stack[k - 1].furniture or stack[-1].named != stack[k - 1].named or any(e.tag in BLOCKS for e in stack[k:]):
                         flush()
                     close(k)
                     break
@@ -181,16 +193,23 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             k = max(i for i, e in enumerate(stack) if e.tag in BLOCKS)
             close(k)
         up = stack[-1]
-        sign, furniture = _named(found.group(3))
+        sign, names, hidden, main = _named(found.group(3))
         mark = f"{tag}.{sign}" if sign else tag
-        main = "main" in found.group(3) and 'role="main"' in found.group(3)
         if main:
             mark += "@main"  # so that a path tells whether it is an article's
-        article = up.article or tag in ARTICLE or main
-        furniture = furniture and tag not in ("html", "body") or tag in FURNITURE or (tag in PAGE_FURNITURE and not up.article)
-        element = _Element(tag, f"{up.path}>{mark}" if tag in BLOCKS or furniture or main else up.path, up.furniture or furniture, article)
-        if furniture and not up.furniture and tag not in BLOCKS:
+        names, hidden = (said_so and tag not in ("html", "body") for said_so in (names, hidden))
+        furniture = hidden or tag in FURNITURE or (tag in PAGE_FURNITURE and not up.article)
+        path = f"{up.path}>{mark}" if tag in BLOCKS or furniture or names or main else up.path
+        element = _Element(tag, path, up.furniture or furniture, up.article or tag in ARTICLE or main, up.named)
+        if (furniture and not up.furniture or names) and tag not in BLOCKS:
             flush()
+        if names:
+            element.named += (element,)
+        if (tag in ARTICLE or main) and not element.furniture:
+            for around in element.named:
+                around.holds_main |= tag != "article"
+                around.holds_article = True
+            free_article = free_article or tag == "article" and not element.named
         if tag in BLOCKS:
             up.children.append(mark)
         if tag in RAW:
@@ -201,6 +220,11 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             stack.append(element)
     flush()
     close(1)
+
+    def names_furniture(element: _Element) -> bool:
+        return not (element.holds_main or element.holds_article and not free_article)
+
+    blocks = [b._replace(named=next((e.path for e in named if names_furniture(e)), "")) for b, named in found_blocks]
     return blocks, styles
 
 
@@ -218,10 +242,19 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
+#: Leads the path of an element that names furniture where the tree is asked of its name.
+NAMED = "named "
+
+
+def _decided(block: Block) -> str:
+    """The path whose element decides on a block."""
+    return NAMED + block.named if block.named else block.path
+
+
 def _features(pages: DataFrame) -> DataFrame:
     """``element, parent, feature, kind``: the distinct features of each page. Kind
-    0 says that the page has the element, 1 is a text, 2 a sequence of children and 3
-    a text of a marked article."""
+    0 says that the page has the element, 1 is a text, 2 a sequence of children, 3 a
+    text of a marked article and 4 a text in an element that names furniture."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -230,16 +263,18 @@ def _features(pages: DataFrame) -> DataFrame:
                 host = host_of(url)
                 blocks, styles = parse(html or "")
                 seen = set()
+                named = {b.named for b in blocks}
                 for b in blocks:
-                    if b.furniture:
-                        continue
-                    element, parent = _hash(host, b.path), _hash(host, b.parent)
+                    element, parent = _hash(host, _decided(b)), _hash(host, b.parent)
+                    if b.named:
+                        parent = 0  # its blocks have different ones
                     seen.add((element, parent, 0, 0))
-                    seen.add((element, parent, _hash(b.text), 3 if b.article else 1))
+                    seen.add((element, parent, _hash(b.text), 4 if b.named else 3 if b.article else 1))
                 for path, style in styles:
-                    element = _hash(host, path)
-                    seen.add((element, 0, 0, 0))
-                    seen.add((element, 0, _hash(style), 2))
+                    for key in (path, NAMED + path) if path and path in named else (path,):
+                        element = _hash(host, key)
+                        seen.add((element, 0, 0, 0))
+                        seen.add((element, 0, _hash(style), 2))
                 rows += seen
             yield pd.DataFrame(rows, columns=["element", "parent", "feature", "kind"])
 
@@ -248,15 +283,16 @@ def _features(pages: DataFrame) -> DataFrame:
 
 def low_elements(pages: DataFrame) -> DataFrame:
     """``element`` (hash of host and path) of the elements that the hosts' trees
-    find of low importance."""
+    find of low importance, and of those that name furniture but are found to be content."""
     counts = _features(pages).groupBy("element", "parent", "feature", "kind").count()
-    n, log_n, is_text, is_look = F.col("count"), F.log("count"), F.col("kind").isin(1, 3), F.col("kind") == 2
+    n, log_n, is_text, is_look = F.col("count"), F.log("count"), F.col("kind").isin(1, 3, 4), F.col("kind") == 2
     # Sums by element combine before the shuffle; joining its features with its pages
     # would bring all texts of a large host's element to one task.
     sums = counts.groupBy("element").agg(
         F.max(F.when(F.col("kind") == 0, n)).alias("m"),
         F.max(F.when(is_text, F.col("parent"))).alias("parent"),
         F.max(F.col("kind") == 3).alias("article"),
+        F.max(F.col("kind") == 4).alias("named"),
         F.avg(F.when(is_text, log_n)).alias("texts"),
         F.sum(F.when(is_look, n)).alias("looks"),
         F.sum(F.when(is_look, n * log_n)).alias("look_logs"),
@@ -267,6 +303,7 @@ def low_elements(pages: DataFrame) -> DataFrame:
             "element",
             "parent",
             "article",
+            "named",
             (1 - F.col("texts") / log_m).alias("content"),
             # The sum of -(n / m) log_m(n / m) over the sequences of children.
             ((F.col("looks") * log_m - F.col("look_logs")) / (F.col("m") * log_m)).alias("look"),
@@ -274,20 +311,24 @@ def low_elements(pages: DataFrame) -> DataFrame:
         "style-elements",
     )
     parents = found.filter("look IS NOT NULL").select(F.col("element").alias("parent"), F.col("look").alias("around"))
-    both = found.filter("content IS NOT NULL").select("element", "parent", "article", "content").join(parents, "parent", "left")
+    texts = found.filter("content IS NOT NULL AND NOT named").select("element", "parent", "article", "content")
+    both = texts.join(parents, "parent", "left")
     importance = (
         CONTENT_WEIGHT * F.col("content")
         + (1 - CONTENT_WEIGHT) * F.coalesce("around", F.lit(1.0))
         + F.when(F.col("article"), ARTICLE_RAISE).otherwise(0.0)
     )
-    return both.filter(importance < LEAST_IMPORTANCE).select("element").distinct()
+    low = both.filter(importance < LEAST_IMPORTANCE).select("element")
+    spared = found.filter(F.col("named") & (F.col("content") >= SPARED_CONTENT) & (F.col("look") >= SPARED_LOOK))
+    return low.union(spared.select("element")).distinct()
 
 
 def main_text(blocks: list[Block], low) -> str:
-    """The text of a page: ``low`` says of a path whether its element is removed. A
-    page of which nothing would be left, a copy of all others, keeps its article."""
-    shown = [b for b in blocks if not b.furniture]
-    kept = [b for b in shown if not low(b.path)] or [b for b in shown if b.article]
+    """The text of a page. ``low`` says of a path whether its element is removed, and
+    of one led by ``NAMED`` whether it stays though its name says furniture. A page of
+    which nothing would be left, a copy of all others, keeps its article."""
+    kept = [b for b in blocks if low(_decided(b)) == bool(b.named)]
+    kept = kept or [b for b in blocks if b.article and not b.named]
     return "\n".join(b.text for b in kept)
 
 
@@ -299,7 +340,7 @@ def _elements(pages: DataFrame) -> DataFrame:
             rows = [
                 (page, _hash(host_of(url), path))
                 for page, url, html in zip(batch["page"], batch["url"], batch["html"], strict=True)
-                for path in {b.path for b in parse(html or "")[0] if not b.furniture}
+                for path in {_decided(b) for b in parse(html or "")[0]}
             ]
             yield pd.DataFrame(rows, columns=["page", "element"])
 

@@ -274,6 +274,39 @@ def test_style_tree_decides_inside_and_outside_articles(spark):
     assert _text("<article>card</article><div>body</div>") == "card\nbody"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='content has-sidebar'>a</div>", "a"),
+        ("<main class='no-comments'>a</main>", "a"),
+        ("<article class='post share-enabled'>a</article>", "a"),
+        ("<article class='post share'>a<div class='share'>b</div></article>", "a"),
+        ("<div style='overflow:hidden'>a</div><p><a href='/hidden-gems'>b</a></p>", "a\nb"),
+        ("<p data-hidden='false'>a<p title='x class=ad'>b<p data-class=ad>c<p hidden>d<p aria-hidden=true>e", "a\nb\nc"),
+        ("<div class='widget'><div class=ad>x</div><main><p>a</main></div><article>b</article>", "a\nb"),
+        ("<div class='promo'><article>a</article></div>", "a"),
+        ("<article>a</article><div class='comments'><article class='comment'>b</article></div>", "a"),
+        ("<p>a <b>b <span class=ad>x</b> c", "a b\nc"),
+        ("<p>a <span class='ad'>x<i>y</i></span> c", "a\nc"),
+        ("<body class='sidebar'><div role=navigation>x</div>a", "a"),
+    ],
+)
+def test_names_are_whole_tokens_and_spare_the_article(html, text):
+    assert _text(html) == text
+
+
+def test_style_tree_confirms_names(spark):
+    parts = ["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</ul>"]
+    rows = []
+    for i in range(9):
+        body = "".join(parts[(i // 3**k + k) % 3].format(f"text {i} {k}") for k in range(3))
+        rows.append((i, f"http://h.org/{i}", f"<div class='share'>{body}</div><div class='ad'>ad {i}</div><div class='related'><p>x</div>"))
+    want = {i: "\n".join(f"text {i} {k}" for k in range(3)) for i in range(9)} | {20: ""}
+    rows.append((20, "http://small.org/", rows[0][2]))
+    for limit in (site_style.BROADCAST_ROWS, 0):
+        assert {r.page_id: r.text for r in site_style.extract(_pages(spark, rows), broadcast_rows=limit).collect()} == want
+
+
 def test_pages_hold_their_documents(spark):
     texts = {" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()}
     pages = QUERIES["op8_html_extraction"](spark, SF).collect()
