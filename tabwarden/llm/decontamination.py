@@ -15,8 +15,11 @@ Two things make the sets comparable in size:
 For a set of u shingles and items of at least q, a containment of t means a Jaccard
 similarity of at least t q / (u + q - t q). From that each set's number of MinHash
 values to search by is computed, so that a leak is missed with a probability below
-``MISS`` (bands of one row: the similarities at stake are low). Candidates that
-share a value are verified by exact containment in the whole document.
+``MISS`` (bands of one row: the similarities at stake are low). Where more than
+``VALUES`` were needed, as in long documents that hold many items, the document is
+searched exactly instead: a leak leaves out at most a fifth of an item's shingles, so
+of any more of them, here the ones fewest items have, the document has one. All
+candidates are verified by exact containment in the whole document.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabwarden.llm.common import bounded, staged
 
 WORDS = 5
 CONTAINED = 0.8
-#: MinHash values of a sketch, and the probability of missing a leak of the size
-#: classes' windows; the similarity there is 0.19 at least.
+#: MinHash values of a sketch, and the probability of missing a leak by them; sets
+#: that need more values are searched exactly.
 VALUES = 64
 MISS = 1e-6
 #: Item shingles that are broadcast at most (16 bytes each); beyond it they are joined.
@@ -55,6 +59,23 @@ def _sketch(sets: DataFrame, keys: list[str]) -> DataFrame:
     return sets.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), values.alias("minima"))
 
 
+def _needed(size, least):
+    """MinHash values that a set of ``size`` needs for items of ``least`` shingles or more."""
+    similarity = CONTAINED * least / (size + least - CONTAINED * least)
+    return F.ceil(F.lit(math.log(MISS)) / F.log(1 - F.least(similarity, F.lit(0.999999)))).cast("int")
+
+
+def _rarest(items: DataFrame) -> DataFrame:
+    """``item_id, grade, shingle``: of each item one shingle more than a leak may
+    lack, the ones that fewest items have, so a common phrase is not among them."""
+    shared_by = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("items"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "shingle"))
+    # A little less than the product, as rounding it up must not add one.
+    held = F.ceil(CONTAINED * F.col("item_shingles") - 1e-6)
+    ranked = items.join(shared_by, "shingle").withColumn("place", place)
+    return ranked.filter(F.col("place") <= F.col("item_shingles") - held + 1).select("item_id", "grade", "shingle")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Items found in documents: ``doc_id, item_id, shared, item_shingles, containment``.
 
@@ -81,22 +102,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "grade", "shingle", F.explode(F.array(window, window - 1, F.lit(WHOLE))).alias("window")
     ).distinct()
     least = F.expr("shiftleft(1, grade) / 2") + F.when(F.col("grade") > 0, 1).otherwise(0.5)
-    similarity = CONTAINED * least / (F.col("size") + least - CONTAINED * least)
-    needed = F.ceil(F.lit(math.log(MISS)) / F.log(1 - F.least(similarity, F.lit(0.999999)))).cast("int")
+    needed = _needed(F.col("size"), least)
     sketches = (
         _sketch(places, ["doc_id", "grade", "window"])
         .filter(F.col("size") >= CONTAINED * least)
-        .withColumn("used", F.least(needed, F.lit(VALUES)))
+        .withColumn("used", needed)
+        .filter(F.col("used") <= VALUES)
         .select("doc_id", "grade", F.posexplode(F.slice("minima", F.lit(1), F.col("used"))).alias("band", "value"))
     )
     targets = _sketch(items.select("item_id", "grade", "shingle"), ["item_id", "grade"]).select(
         "item_id", "grade", F.posexplode("minima").alias("band", "value")
     )
+    sketched = sketches.join(bounded(staged(targets, "targets"), BROADCAST_ROWS), ["grade", "band", "value"])
+
+    # The whole document is the largest of its sets, so it needs most values.
+    held = hits.select("doc_id", "grade", "shingle").distinct()
+    large = held.groupBy("doc_id", "grade").agg(F.count(F.lit(1)).alias("size")).filter(needed > VALUES)
+    large = staged(large.select(F.col("doc_id").alias("large_id"), F.col("grade").alias("large_grade")), "large-sets")
+    in_large = held.join(
+        bounded(large, BROADCAST_ROWS),
+        F.col("doc_id").eqNullSafe(F.col("large_id")) & (F.col("grade") == F.col("large_grade")),
+        "left_semi",
+    )
+    searched = in_large.join(bounded(staged(_rarest(items), "rarest"), BROADCAST_ROWS), ["grade", "shingle"])
     candidates = staged(
-        sketches.join(bounded(staged(targets, "targets"), BROADCAST_ROWS), ["grade", "band", "value"])
-        .select("doc_id", "item_id")
-        .distinct(),
-        "candidates",
+        sketched.select("doc_id", "item_id").union(searched.select("doc_id", "item_id")).distinct(), "candidates"
     )
 
     of_item = items.select("item_id", "item_shingles", "shingle")

@@ -217,6 +217,21 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.leaks(_docs(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_leaks_in_pieces_of_a_document_of_many_leaks(spark, doc_id):
+    rng = random.Random(8)
+    items = {i: [f"i{i}w{k}" for k in range(21)] for i in range(300)}
+    text = [w for i in range(12, 300) for w in items[i]]
+    for i in range(12):
+        # All 17 shingles, or 13 of them, one too few, in pieces far apart.
+        for at in range(0, 17 if i < 10 else 13, 4):
+            text += [f"filler{rng.random()}" for _ in range(150)] + items[i][at : min(at + 8, 21 if i < 10 else 17)]
+    docs = spark.createDataFrame([(doc_id, " ".join(text)), (8, " ".join(items[3]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.shared, r.item_shingles) for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {(doc_id, i): (17, 17) for i in items if not 10 <= i < 12} | {(8, 3): (17, 17)}
+
+
 def test_leaks_by_shuffled_joins_are_the_same(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, _words(rng, 20)) for i in range(10)]
