@@ -46,33 +46,35 @@ def labelled_sample(
 
     Takes the labelled documents that ``learn_from`` (a condition on ``doc_id``)
     allows, in the order of a hash of ``doc_id``, so the sample does not depend on
-    the order of rows. A document with several labels counts with the largest.
-    Rows with a null id, label or text take no part.
+    the order of rows. Texts of more than a hundredth of ``text_bytes`` come after all
+    others, the shortest first, so a long text never ends the sample before a shorter
+    one. A document with several labels counts with the largest, and repeated rows
+    count once. Rows with a null id, label or text take no part, nor do labels of
+    documents not in ``docs``.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & learn_from)
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
-    # At most `rows` narrow rows, so the broadcast is bounded.
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).withColumn("mark", F.xxhash64("text"))
+    place = [F.greatest("size", F.lit(text_bytes // 100)), F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
+    # At most `rows` narrow rows, so the window and the broadcast are bounded.
     found = (
-        docs.select("doc_id", "text")
-        .filter(F.col("text").isNotNull())
-        .join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "label", "text", F.octet_length("text").alias("size"))
+        texts.select("doc_id", "mark", F.octet_length("text").alias("size"))
+        .join(ids, "doc_id")
+        .dropDuplicates(["doc_id", "mark"])
+        .orderBy(*place)
+        .limit(rows)
     )
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
     kept = (
-        found.select("doc_id", F.xxhash64("text").alias("mark"), "size")
-        .withColumn("upto", F.sum("size").over(order))
+        found.withColumn("upto", F.sum("size").over(order))
         .filter(F.col("upto") <= text_bytes)
-        .select("doc_id", "mark")
-        .distinct()
+        .select("doc_id", "mark", "label")
     )
-    chosen = found.withColumn("mark", F.xxhash64("text")).join(F.broadcast(kept), ["doc_id", "mark"], "left_semi")
+    chosen = texts.join(F.broadcast(kept), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     rows_ = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "label").collect()
     return [(r.text, int(r.label)) for r in rows_]
 

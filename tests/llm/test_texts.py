@@ -107,6 +107,16 @@ def test_samples_are_bounded_and_do_not_depend_on_order(spark):
     assert len(common.labelled_sample(docs, labels, "toxic", F.lit(True), 60, 95)) == 9
 
 
+def test_long_texts_and_labels_of_no_document_do_not_end_a_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, toxic int")
+    ids = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).collect() if r.doc_id < 20]
+    texts = {i: "t" * 10 for i in range(20)} | {ids[0]: "x" * 2_000, ids[1]: "y" * 900, ids[2]: "z" * 500}
+    docs = _docs(spark, [*texts.items(), (ids[3], texts[ids[3]])])
+    some = common.labelled_sample(docs, labels, "toxic", F.lit(True), 25, 1_000)
+    assert sorted(t for t, _ in some) == ["t" * 10] * 17 + ["z" * 500]
+    assert len(common.labelled_sample(docs, labels, "toxic", F.lit(True), 17, 1_000)) == 17
+
+
 # Tokens ------------------------------------------------------------------------
 
 VOCABULARY = bpe.Vocabulary(BYTE_BPE)
