@@ -13,6 +13,7 @@ from tabwarden.llm import (
     chat,
     decontamination,
     line_dedup,
+    merkle,
     near_dedup,
     neighbours,
     quality,
@@ -94,6 +95,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and tampered versions of the documents' Merkle tree."""
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("copied")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_sharding,
         op10_near_dedup,
+        op13_merkle_manifest,
     )
 }
 
@@ -129,4 +136,63 @@ GROUP BY doc_id, item_id, item_shingles
 HAVING count(*) / item_shingles >= 0.8
 """
 
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
+
+def _merkle_sql(levels: int = 6) -> str:
+    """The tree of up to 16 ** levels rows of a source, and as many sources.
+
+    ``prefix`` gathers the siblings, ``folded`` follows the (tampered) leaf upwards.
+    """
+    field = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+    plain = " || ".join(field.format(f"{n}::VARCHAR") for n in merkle.FIELDS)
+    forged = plain.replace("text::VARCHAR", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    # The check sum of the decimal id, bit by bit.
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    )
+    parts = [
+        f"""WITH l0 AS (
+  SELECT row_number() OVER () AS row_id, doc_id, source, sha256({plain}) AS leaf,
+    CASE WHEN {crc} % 5 = 0 THEN sha256({forged}) ELSE sha256({plain}) END AS folded
+  FROM documents
+), n0 AS (
+  SELECT source, leaf AS node, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, row_id FROM l0
+), p0 AS (
+  SELECT l0.row_id, l0.doc_id, l0.source, leaf, folded, '' AS proof, place, leaf AS top
+  FROM l0 JOIN n0 ON l0.row_id = n0.row_id
+)"""
+    ]
+
+    def raise_(k: int) -> str:
+        # A run's nodes in one list; the node's own place in it splits the siblings.
+        return f"""r{k} AS (
+  SELECT source, place // 16 AS up, list(node ORDER BY place) AS nodes, max(among) AS among
+  FROM (SELECT source, place, node, count(*) OVER (PARTITION BY source) AS among FROM n{k}) GROUP BY ALL
+), n{k + 1} AS (
+  SELECT source, up AS place, CASE WHEN among > 1 THEN sha256(array_to_string(nodes, '')) ELSE nodes[1] END AS node FROM r{k}
+), p{k + 1} AS (
+  SELECT row_id, doc_id, p{k}.source, leaf, sub, place // 16 AS place,
+    CASE WHEN among > 1 THEN sha256(array_to_string(nodes[:place % 16], '') || folded || array_to_string(nodes[place % 16 + 2:], '')) ELSE folded END AS folded,
+    proof || CASE WHEN among > 1 THEN array_to_string(nodes[:place % 16], '') || array_to_string(nodes[place % 16 + 2:], '') ELSE '' END AS proof
+  FROM p{k} JOIN r{k} ON p{k}.source IS NOT DISTINCT FROM r{k}.source AND place // 16 = up
+)"""
+
+    parts[0] = parts[0].replace("place, leaf AS top", "place, '' AS sub")
+    parts += [raise_(k) for k in range(levels)]
+    at = levels + 1
+    parts.append(f"""n{at} AS (
+  SELECT NULL::VARCHAR AS source, node, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place, source AS of FROM n{levels}
+), p{at} AS (
+  SELECT row_id, doc_id, NULL::VARCHAR AS source, leaf, node AS sub, n{at}.place, folded, proof
+  FROM p{levels} JOIN n{at} ON p{levels}.source IS NOT DISTINCT FROM of
+)""")
+    parts += [raise_(k) for k in range(at, at + levels)]
+    end = at + levels
+    return ", ".join(parts) + f"""
+SELECT doc_id, leaf, sub AS subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified
+FROM p{end} JOIN n{end} USING (place)"""
+
+
+OP13_SQL = _merkle_sql()
+
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op13_merkle_manifest": OP13_SQL}
