@@ -12,6 +12,7 @@ from tabwarden.llm import (
     bpe,
     chat,
     decontamination,
+    lexical,
     line_dedup,
     merkle,
     near_dedup,
@@ -19,6 +20,7 @@ from tabwarden.llm import (
     quality,
     sharding,
     site_style,
+    substring_dedup,
     toxicity,
 )
 
@@ -95,6 +97,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of documents without passages that earlier ones have."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.without_repeats(docs, substring_dedup.repeats(docs)).drop("text")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that rank highest for each benchmark item."""
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, proofs and tampered versions of the documents' Merkle tree."""
     return merkle.manifest(_table(spark, sf_dir, "documents")).drop("copied")
@@ -113,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_sharding,
         op10_near_dedup,
+        op11_substring_dedup,
+        op12_lexical_search,
         op13_merkle_manifest,
     )
 }
@@ -136,6 +151,46 @@ GROUP BY doc_id, item_id, item_shingles
 HAVING count(*) / item_shingles >= 0.8
 """
 
+#: Windows of 13 words as texts, each with the least document that has it.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT row_id, doc_id, unnest(range(1, len(w) - 11)) AS pos, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS said
+  FROM d WHERE len(w) >= 13
+), f AS (SELECT said, min(doc_id) AS least FROM s GROUP BY said
+), g AS (
+  SELECT row_id, list(DISTINCT word) AS gone FROM (SELECT row_id, unnest(range(pos, pos + 13)) AS word FROM s JOIN f USING (said) WHERE doc_id > least)
+  GROUP BY row_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN g USING (row_id)
+"""
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), d AS (SELECT row_number() OVER () AS row_id, doc_id, w, len(w)::BIGINT AS n FROM t WHERE len(w) > 0
+), total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), p AS (
+  SELECT row_id, term, count(*)::BIGINT AS tf FROM (SELECT row_id, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), f AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, total GROUP BY term, docs
+), s AS (
+  SELECT item_id, row_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (row_id), total GROUP BY item_id, row_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s JOIN d USING (row_id) WHERE score > 0
+QUALIFY rank <= 50
+"""
+
 
 def _merkle_sql(levels: int = 6) -> str:
     """The tree of up to 16 ** levels rows of a source, and as many sources.
@@ -195,4 +250,4 @@ FROM p{end} JOIN n{end} USING (place)"""
 
 OP13_SQL = _merkle_sql()
 
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op13_merkle_manifest": OP13_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op11_substring_dedup": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
