@@ -160,12 +160,11 @@ WITH d AS (
   FROM d WHERE len(w) >= 13
 ), f AS (SELECT said, min(doc_id) AS least FROM s GROUP BY said
 ), g AS (
-  SELECT row_id, list(DISTINCT word) AS gone FROM (SELECT row_id, unnest(range(pos, pos + 13)) AS word FROM s JOIN f USING (said) WHERE doc_id > least)
-  GROUP BY row_id
-)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
-FROM d LEFT JOIN g USING (row_id)
+  SELECT DISTINCT row_id, unnest(range(pos, pos + 13)) AS place FROM s JOIN f USING (said) WHERE doc_id > least
+), u AS (SELECT row_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d
+), k AS (SELECT row_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM u ANTI JOIN g USING (row_id, place) GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (row_id)
 """
 
 OP12_SQL = r"""

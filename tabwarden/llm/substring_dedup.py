@@ -21,7 +21,7 @@ found is the same as by comparing all.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -40,57 +40,97 @@ BROADCAST_ROWS = 2_000_000
 #: Bytes of text whose rows are made at once.
 PIECE = 2_000_000
 
+#: Bytes of a word that are hashed with those of all others; longer words go one by one.
+SHORT = 64
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_RNG = np.random.default_rng(41)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX, _CHECK = np.uint64(0xC6A4A7935BD1E995), np.uint64(0xFF51AFD7ED558CCD)
 
 
 def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words ``[^\\x20\\x09-\\x0D]+`` of a text start and end, in bytes."""
-    space = _SPACE[np.frombuffer(data, np.uint8)]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _SPACE[np.frombuffer(data, np.uint8)]
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    return turns[::2], turns[1::2]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words of a text, none of them 0."""
-    starts, ends = word_edges(data)
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    raw = np.frombuffer(data, np.uint8)
-    inner = np.flatnonzero(~_SPACE[raw])
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # from every byte on
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(inner)) - np.repeat(first, lengths)
-    power = np.cumprod(np.full(int(lengths.max()), _STEP), dtype=np.uint64)
-    sums = np.add.reduceat(_BYTE[raw[inner]] * power[place], first)
-    return np.maximum(spread(sums + lengths.astype(np.uint64) * _MIX), np.uint64(1))
+    h = lengths.astype(np.uint64) * _STEP
+    at = np.arange(len(starts))
+    for k in range(0, SHORT, 8):
+        h[at] = spread((h[at] ^ (eight[starts[at] + k] & _MASK[np.minimum(lengths[at] - k, 8)])) * _MIX)
+        at = at[lengths[at] > k + 8]
+        if not len(at):
+            break
+    for k in at:  # longer words
+        h[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return np.maximum(h, np.uint64(1))
 
 
 def _runs(words: np.ndarray, factor: np.uint64) -> np.ndarray:
-    """A hash of every run of ``ANCHOR`` words."""
-    n = len(words) - ANCHOR + 1
+    """A hash of every run of ``ANCHOR`` words, none of them 0."""
+    n = max(0, len(words) - ANCHOR + 1)
     h = words[:n].copy()
     for k in range(1, ANCHOR):
-        h = h * factor + words[k : k + n]
-    return spread(h)
+        h *= factor
+        h += words[k : k + n]
+    return np.maximum(spread(h), np.uint64(1))
+
+
+def _over(values: np.ndarray, choose: np.ufunc) -> np.ndarray:
+    """Least or largest of every ``REACH + 1`` values, by halves."""
+    span = 1
+    while 2 * span <= REACH + 1:
+        values, span = choose(values[:-span], values[span:]), 2 * span
+    rest = REACH + 1 - span
+    return choose(values[:-rest], values[rest:]) if rest else values
+
 
+class Words:
+    """The words of some texts, hashed together.
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``place, first, last`` of the winnowed anchors of a text of ``LEAST`` words or
-    more: each is the least of the windows that start at ``first`` to ``last``. Of
-    equal hashes the last of a window counts."""
-    grams = _runs(words, _MIX)
-    windows = np.lib.stride_tricks.sliding_window_view(grams[::-1], REACH + 1)
-    least = np.arange(len(windows) - 1, -1, -1) + REACH - windows.argmin(axis=1)
-    # Windows from the last to the first, each with the place of its least anchor.
-    chosen = least[::-1]
-    turn = np.flatnonzero(np.diff(chosen)) + 1
-    first = np.concatenate([[0], turn])
-    return chosen[first], first, np.concatenate([turn, [len(chosen)]]) - 1
+    ``first[k]`` is the number of the first word of text k (and the end of those
+    before). ``grams`` are the hashes of runs of ``ANCHOR`` words; ``least`` is the
+    least of those in the window of ``LEAST`` words that starts at a word, 0 if the
+    window leaves its text.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        data = b"\n".join(texts)
+        starts, ends = word_edges(data)
+        self.hashes = word_hashes(data, starts, ends)
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.first = np.searchsorted(starts, begins)
+        n = len(starts)
+        self.grams = _runs(self.hashes, _MIX)
+        if n < LEAST:
+            self.least = np.empty(0, np.uint64)
+            return
+        text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.least = _over(self.grams, np.minimum)
+        self.least[text[: n - LEAST + 1] != text[LEAST - 1 :]] = 0
+
+    def anchors(self) -> np.ndarray:
+        """The numbers of the words where an anchor starts: a run that is the least
+        of some window (each one, of equal runs)."""
+        if not len(self.least):
+            return np.empty(0, np.int64)
+        around = np.concatenate([np.zeros(REACH, np.uint64), self.least, np.zeros(REACH, np.uint64)])
+        return np.flatnonzero(_over(around, np.maximum) == self.grams)
+
+    def windows(self, places: np.ndarray) -> np.ndarray:
+        """Whether an anchor is the least of the windows that start 0, 1, .. words
+        before it, for each anchor."""
+        starts = places[:, None] - np.arange(REACH + 1)
+        inside = (starts >= 0) & (starts < len(self.least))
+        return inside & (self.least[np.clip(starts, 0, len(self.least) - 1)] == self.grams[places][:, None])
 
 
 def _as_long(values: np.ndarray) -> pa.Array:
@@ -111,16 +151,12 @@ def _anchored(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group, texts in _texts(batch, 2):
-                row, found, places = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                for k, text in zip(group, texts, strict=True):
-                    words = word_hashes(text)
-                    if len(words) < LEAST:
-                        continue
-                    place, _, _ = anchors(words)
-                    row.append(np.full(len(place), k)), found.append(_runs(words, _MIX)[place]), places.append(place)
-                take = pa.array(np.concatenate(row))
+                words = Words(texts)
+                at = words.anchors()
+                text = np.searchsorted(words.first, at, "right") - 1
+                take = pa.array(text + group.start)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), _as_long(np.concatenate(found)), pa.array(np.concatenate(places).astype(np.int32))],
+                    [batch.column(0).take(take), batch.column(1).take(take), _as_long(words.grams[at]), pa.array((at - words.first[text]).astype(np.int32))],
                     ["doc_id", "mark", "anchor", "place"],
                 )
 
@@ -131,41 +167,38 @@ def _contexts(docs: DataFrame) -> DataFrame:
     """The seeds of ``doc_id, mark, text, places`` rows with the words around them.
 
     ``around`` holds the hashes of ``REACH`` words to the left, the nearest first, and
-    as many to the right, 0 where the text or the anchor's windows end. ``check``
-    digests the anchor's words anew.
+    as many to the right, 0 where the text or the anchor's windows end, which start
+    ``least_left`` to ``most_left`` words before it. ``check`` digests the anchor's
+    words anew.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group, texts in _texts(batch, 2):
-                row, seeds, checks, places, firsts, lasts, around = [], [], [], [], [], [], []
-                for k, text in zip(group, texts, strict=True):
-                    words = word_hashes(text)
-                    place, first, last = anchors(words)
-                    asked = np.isin(place, np.array(batch.column(3)[k].as_py(), np.int64))
-                    place, first, last = place[asked], first[asked], last[asked]
-                    row.append(np.full(len(place), k)), places.append(place)
-                    seeds.append(_runs(words, _MIX)[place]), checks.append(_runs(words, _CHECK)[place])
-                    firsts.append(place - last), lasts.append(place - first)
-                    left = place[:, None] - 1 - np.arange(REACH)
-                    right = place[:, None] + ANCHOR + np.arange(REACH)
-                    held = np.concatenate([left >= first[:, None], right < last[:, None] + LEAST], axis=1)
-                    at = np.clip(np.concatenate([left, right], axis=1), 0, len(words) - 1)
-                    around.append(np.where(held, words[at], np.uint64(0)))
-                flat = np.ascontiguousarray(np.concatenate(around), dtype="<u8")
-                width = flat.shape[1] * 8
-                take = pa.array(np.concatenate(row))
+                words = Words(texts)
+                asked = batch.column(3).slice(group.start, len(group))
+                text = np.repeat(np.arange(len(group)), asked.value_lengths().to_numpy())
+                place = asked.flatten().to_numpy().astype(np.int64)
+                at = place + words.first[text]
+                owned = words.windows(at)
+                fewest, most = owned.argmax(axis=1), REACH - owned[:, ::-1].argmax(axis=1)
+                far = np.arange(1, REACH + 1)
+                held = np.concatenate([far <= most[:, None], far <= REACH - fewest[:, None]], axis=1)
+                near = np.concatenate([at[:, None] - far, at[:, None] + ANCHOR - 1 + far], axis=1)
+                around = np.where(held, words.hashes[np.clip(near, 0, max(0, len(words.hashes) - 1))], np.uint64(0))
+                flat = np.ascontiguousarray(around, dtype="<u8")
+                take = pa.array(text + group.start)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take),
                         batch.column(1).take(take),
-                        _as_long(np.concatenate(seeds)),
-                        _as_long(np.concatenate(checks)),
-                        pa.array(np.concatenate(places).astype(np.int32)),
-                        pa.array(np.concatenate(firsts).astype(np.int32)),
-                        pa.array(np.concatenate(lasts).astype(np.int32)),
-                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary()),
+                        _as_long(words.grams[at]),
+                        _as_long(_runs(words.hashes, _CHECK)[at]),
+                        pa.array(place.astype(np.int32)),
+                        pa.array(fewest.astype(np.int32)),
+                        pa.array(most.astype(np.int32)),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(16 * REACH), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary()),
                     ],
                     ["doc_id", "mark", "anchor", "check", "place", "least_left", "most_left", "around"],
                 )
@@ -237,24 +270,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Counted before the shuffle, so a common anchor is a row of each task.
     found = _anchored(texts)
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = staged(shared.filter("least < most").select("anchor"), "seeds")
+    shared = staged(shared.filter("least < most").select("anchor"), "seeds", tidy=True)
     seeds = found.join(bounded(shared, BROADCAST_ROWS), "anchor", "left_semi")
     # At most as many places as the document has words.
     places = seeds.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
     asked = texts.join(places, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    around = staged(_contexts(asked), "seed-contexts")
+    around = staged(_contexts(asked), "seed-contexts", tidy=True)
 
     first = around.groupBy("anchor").agg(F.min(F.struct("doc_id", "mark", "place", "check", "around")).alias("first"))
     first = first.select("anchor", F.col("first.doc_id").alias("doc0"), F.col("first.check").alias("check0"), F.col("first.around").alias("around0"))
     met = around.join(first, "anchor").select(
         "doc_id", "mark", "anchor", "check", "place", "least_left", "most_left", "around", "check0", "around0", (F.col("doc0") < F.col("doc_id")).alias("smaller")
     )
-    extended = staged(_extended(met, kind), "extended")
+    extended = staged(_extended(met, kind), "extended", tidy=True)
     windows = extended.filter("stop is null").select("doc_id", "mark", "start", "anchor", "digest")
     least = windows.groupBy("anchor", "digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     more = windows.join(least, ["anchor", "digest"]).filter(F.col("doc_id") > F.col("least"))
     more = more.select("doc_id", "mark", "start", (F.col("start") + LEAST).alias("stop"))
-    return extended.filter("stop is not null").select("doc_id", "mark", "start", "stop").union(more)
+    return staged(extended.filter("stop is not null").select("doc_id", "mark", "start", "stop").union(more), "repeats", tidy=True)
 
 
 def _kept(words: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
