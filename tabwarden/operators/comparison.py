@@ -2,8 +2,12 @@
 
 Keys match after stripping, values match exactly. Keys must be nonblank and
 unique on each side: :func:`compare` checks that first, so the join that follows
-never meets a hot key. All results of one comparison come from one full outer
-join; ``added_rows`` and ``removed_rows`` alone need only the other side's keys.
+never meets a hot key.
+
+:func:`compared` answers everything from one full outer join of keys and row digests.
+Records themselves move only if they were added, removed or changed, and are written
+once for all results. The single functions below each plan their own join, over whole
+records; ``added_rows`` and ``removed_rows`` need only the other side's keys.
 
 Many pairs of snapshots can be compared in one job: name the columns that tell
 them apart in ``by``; they join together with the key.
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tabwarden.functions.dataset import header
 from tabwarden.functions.text import stripped_or_blank
+from tabwarden.session import written
 
 KINDS = ("added", "removed", "changed", "unchanged")
 _KEY = "__key"
@@ -136,22 +141,41 @@ def check_key(before: DataFrame, after: DataFrame, key: str) -> None:
     problems = key_missing(before, after, key)
     if problems:
         raise KeyContractError(problems[0])
-    rows = _keys(before, key, "before").unionByName(_keys(after, key, "after"))
+    _check_keys({"before": before, "after": after}, key)
+
+
+def check_key_of(ds: DataFrame, key: str, name: str = "snapshot") -> None:
+    """Raise unless the key identifies every record of one snapshot."""
+    if key not in ds.columns:
+        raise KeyContractError(f"{name}: key column {key!r} is missing")
+    _check_keys({name: ds}, key)
+
+
+def _check_keys(sides: dict[str, DataFrame], key: str) -> None:
+    rows = None
+    for name, df in sides.items():
+        side = _keys(df, key, name)
+        rows = side if rows is None else rows.unionByName(side)
+    blank = F.when(F.col(_KEY) == "", F.col("record_no"))
     counts = rows.groupBy("side", _KEY).agg(F.count(F.lit(1)).alias("n"))
     if counts.filter((F.col("n") > 1) | (F.col(_KEY) == "")).isEmpty():
         return
     # The side read first is named first; within it, the earliest record.
     found = []
-    for what, frame in (
-        ("blank", key_blank(before, after, key)),
-        ("duplicate", key_duplicate(before, after, key)),
-    ):
-        for row in frame.filter("violations > 0").collect():
-            found.append((row.side == "after", row.first_record, what, row.side))
+    for what, frame in (("blank", rows.groupBy("side").agg(F.min(blank).alias("record"))), ("duplicate", _repeats(rows))):
+        for row in frame.filter("record is not null").collect():
+            found.append((list(sides).index(row.side), row.record, what, row.side))
     _, record, what, side = min(found)
     raise KeyContractError(f"{side}, record {record}: key {key!r} is {what}")
 
 
+def _repeats(rows: DataFrame) -> DataFrame:
+    """Per side, the earliest record that repeats a nonblank key."""
+    order = Window.partitionBy("side", _KEY).orderBy("record_no")
+    second = rows.filter(F.col(_KEY) != "").withColumn("n", F.row_number().over(order)).filter("n <= 2").filter("n = 2")
+    return second.groupBy("side").agg(F.min("record_no").alias("record"))
+
+
 # --- schema --------------------------------------------------------------------
 
 
@@ -178,23 +202,18 @@ def schema_diff_catalog(before: DataFrame, after: DataFrame) -> DataFrame:
 # --- records -------------------------------------------------------------------
 
 
-def _joined(before: DataFrame, after: DataFrame, shape: Shape) -> DataFrame:
-    """Both sides side by side, as structs that are NULL where a side is absent."""
-    keys = [*shape.by, _KEY]
+def _side(df: DataFrame, shape: Shape, fields: Sequence[str], name: str) -> DataFrame:
+    # The key's own spelling comes first, so the struct is never empty.
+    image = F.struct(
+        F.col(_ticked(shape.key)).alias("__spelling"), *[F.col(_ticked(field)).alias(field) for field in fields]
+    )
+    return df.select(*shape.by, _matched(F.col(_ticked(shape.key))).alias(_KEY), image.alias(name))
 
-    def side(df: DataFrame, fields: Sequence[str], name: str) -> DataFrame:
-        # The key's own spelling comes first, so the struct is never empty.
-        image = F.struct(
-            F.col(_ticked(shape.key)).alias("__spelling"),
-            *[F.col(_ticked(field)).alias(field) for field in fields],
-        )
-        return df.select(
-            *shape.by, _matched(F.col(_ticked(shape.key))).alias(_KEY), image.alias(name)
-        )
 
-    return side(before, shape.before, "old").join(
-        side(after, shape.after, "new"), keys, "full_outer"
-    )
+def _joined(before: DataFrame, after: DataFrame, shape: Shape) -> DataFrame:
+    """Both sides side by side, as structs that are NULL where a side is absent."""
+    old, new = _side(before, shape, shape.before, "old"), _side(after, shape, shape.after, "new")
+    return old.join(new, [*shape.by, _KEY], "full_outer")
 
 
 def _old(field: str) -> Column:
@@ -331,12 +350,15 @@ def diff_findings(
     before: DataFrame, after: DataFrame, key: str, max_findings: int = 500
 ) -> DataFrame:
     """The first findings by key. Text sorts by code point."""
+    rows, shape = _classified(before, after, key, ())
+    return _images(_first_changes(rows, max_findings), shape)
+
+
+def _first_changes(rows: DataFrame, max_findings: int) -> DataFrame:
+    """Cut first: the record images are built for the reported rows only."""
     if type(max_findings) is not int or max_findings < 0:
         raise ValueError("max_findings must be a nonnegative whole number")
-    rows, shape = _classified(before, after, key, ())
-    # Cut first: the record images are built for the reported rows only.
-    changed = rows.filter(F.col("kind") != "unchanged").orderBy(_KEY).limit(max_findings)
-    return _images(changed, shape)
+    return rows.filter(F.col("kind") != "unchanged").orderBy(_KEY).limit(max_findings)
 
 
 def diff_summary(
@@ -348,12 +370,14 @@ def diff_summary(
 ) -> DataFrame:
     """Exact counts from one aggregation over the join."""
     rows, _ = _classified(before, after, key, by)
-    one = F.count_if
-    kind = F.col("kind")
+    return _totals(rows, F.col("old").isNotNull(), F.col("new").isNotNull(), by, max_findings)
+
+
+def _totals(rows: DataFrame, in_before: Column, in_after: Column, by: Sequence[str], max_findings: int) -> DataFrame:
     totals = rows.groupBy(*by).agg(
-        one(F.col("old").isNotNull()).alias("before_rows"),
-        one(F.col("new").isNotNull()).alias("after_rows"),
-        *[one(kind == name).alias(name) for name in KINDS],
+        F.count_if(in_before).alias("before_rows"),
+        F.count_if(in_after).alias("after_rows"),
+        *[F.count_if(F.col("kind") == name).alias(name) for name in KINDS],
     )
     total = F.col("added") + F.col("removed") + F.col("changed")
     return totals.select("*", total.alias("total_changes")).select(
@@ -375,7 +399,11 @@ def cell_changes(
 
     A finding without any field still yields one row, with a NULL field.
     """
-    rows, shape = _classified(before, after, key, by)
+    return _cells(*_classified(before, after, key, by))
+
+
+def _cells(rows: DataFrame, shape: Shape) -> DataFrame:
+    by = shape.by
     every = sorted({*shape.before, *shape.after})
     none = F.lit(None).cast("string")
 
@@ -403,16 +431,90 @@ def cell_changes(
     return long.filter(F.col("cell").isNotNull()).select(*by, "key", "kind", "cell.*")
 
 
+# --- all results of one comparison ----------------------------------------------
+
+
+def _digest(shape: Shape, df: DataFrame, other: DataFrame) -> Column:
+    """128 bits of the shared fields, alike on both sides where values are equal."""
+    kinds = dict(df.dtypes), dict(other.dtypes)
+    values = []
+    for field in shape.shared:
+        value = F.col(_ticked(field))
+        if kinds[0][field] != kinds[1][field]:
+            value = F.coalesce(value, F.lit(None).cast(kinds[1][field]))  # the type both are compared in
+        values.append(value)
+    # Hashes pass over NULLs, so where they are is hashed as well.
+    blanks = F.concat(F.lit("b"), *[F.when(value.isNull(), "1").otherwise("0") for value in values])
+    return F.struct(F.xxhash64(blanks, *values).alias("a"), F.xxhash64(F.lit("second"), *values, blanks).alias("b"))
+
+
+def _kinds(before: DataFrame, after: DataFrame, shape: Shape) -> DataFrame:
+    """Every key with its kind; only keys and digests are shuffled."""
+
+    def side(df: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        key = _matched(F.col(_ticked(shape.key))).alias(_KEY)
+        return df.select(*shape.by, key, _digest(shape, df, other).alias(name))
+
+    both = side(before, after, "old").join(side(after, before, "new"), [*shape.by, _KEY], "full_outer")
+    kind = (
+        F.when(F.col("old").isNull(), "added")
+        .when(F.col("new").isNull(), "removed")
+        .when(F.col("old") != F.col("new"), "changed")
+        .otherwise("unchanged")
+    )
+    return both.select(*shape.by, _KEY, kind.alias("kind"))
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """One comparison, written: the kind of every key (``kinds``), and the records of
+    both sides where they differ (``changes``)."""
+
+    shape: Shape
+    kinds: DataFrame
+    changes: DataFrame
+
+    def summary(self, max_findings: int = 500) -> DataFrame:
+        return _totals(self.kinds, F.col("kind") != "added", F.col("kind") != "removed", self.shape.by, max_findings)
+
+    def images(self) -> DataFrame:
+        return _images(self.changes, self.shape)
+
+    def findings(self, max_findings: int = 500) -> DataFrame:
+        return _images(_first_changes(self.changes, max_findings), self.shape)
+
+    def cells(self) -> DataFrame:
+        return _cells(self.changes, self.shape)
+
+
+def compared(before: DataFrame, after: DataFrame, key: str, by: Sequence[str] = ()) -> Comparison:
+    """Compare once, for all results. Keys must meet the contract; see ``check_key``."""
+    shape = _shape(before, after, key, by)
+    kinds = written(_kinds(before, after, shape), "kinds")
+    keys = [*shape.by, _KEY]
+    differing = kinds.filter(F.col("kind") != "unchanged")
+
+    def fetched(df: DataFrame, fields: Sequence[str], name: str, other_kind: str) -> DataFrame:
+        wanted = differing.filter(F.col("kind") != other_kind).select(*keys)
+        return _side(df, shape, fields, name).join(wanted, keys, "left_semi")
+
+    old = fetched(before, shape.before, "old", "added")
+    new = fetched(after, shape.after, "new", "removed")
+    changes = differing.join(old, keys, "left").join(new, keys, "left")
+    return Comparison(shape, kinds, written(changes, "changes"))
+
+
 def compare(
-    before: DataFrame, after: DataFrame, key: str, max_findings: int = 500
+    before: DataFrame, after: DataFrame, key: str, max_findings: int = 500, checked: bool = False
 ) -> DiffResult:
-    """Compare two snapshots after checking their key."""
-    check_key(before, after, key)
+    """Compare two snapshots after checking their key (``checked``: it has been)."""
+    if not checked:
+        check_key(before, after, key)
     changes = len(set(header(before)) ^ set(header(after)))
-    summary = diff_summary(before, after, key, max_findings)
+    found = compared(before, after, key)
     return DiffResult(
-        summary=diff_status(summary, changes),
+        summary=diff_status(found.summary(max_findings), changes),
         schema_diff=schema_diff(before, after),
-        findings=diff_findings(before, after, key, max_findings),
-        cells=cell_changes(before, after, key),
+        findings=found.findings(max_findings),
+        cells=found.cells(),
     )

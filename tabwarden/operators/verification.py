@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.session import written
+
 # The checks one verification consists of.
 CHECKS = ("source_identity", "result_schema", "summary_counts", "engine_recomputation")
 
@@ -43,6 +45,50 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
+_SUMS = ("s0", "s1", "s2", "s3")
+FAN = 16
+
+
+def block_fingerprints(df: DataFrame, block: Column) -> DataFrame:
+    """``block, rows, s0 .. s3``: the order-free identity of every block of a table.
+
+    Two 64-bit hashes of every row are added up by halves, so 128 bits of each row
+    count, repeats too. One aggregation, combined before its shuffle; a block may have
+    2**31 rows. ``block`` should be a whole number from 0 on, such as a range of record
+    numbers or a hash of the key.
+    """
+    columns = [F.col(f"`{name}`") for name in df.columns]
+    blanks = F.concat(F.lit("b"), *[F.when(column.isNull(), "1").otherwise("0") for column in columns])
+    hashes = (F.xxhash64(blanks, *columns), F.xxhash64(F.lit("second"), *columns, blanks))
+    halves = [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    sums = [F.sum(half).cast("decimal(38,0)").alias(name) for half, name in zip(halves, _SUMS, strict=True)]
+    return df.groupBy(block.cast("bigint").alias("block")).agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
+def fingerprint_tree(blocks: DataFrame, levels: int = 4) -> DataFrame:
+    """``level, node, rows, s0 .. s3``: blocks (level 0) and what ``FAN`` nodes of a
+    level add up to, above. The last level is one node, the table. The blocks are
+    written first, so the table is read once for all levels."""
+    blocks = written(blocks, "blocks")
+    tree = blocks.withColumn("level", F.lit(0)).withColumnRenamed("block", "node")
+    below = tree
+    for level in range(1, levels + 1):
+        node = F.floor(F.col("node") / FAN).cast("bigint") if level < levels else F.lit(0).cast("bigint")
+        sums = [F.sum(name).cast("decimal(38,0)").alias(name) for name in _SUMS]
+        below = below.groupBy(node.alias("node")).agg(F.sum("rows").alias("rows"), *sums).withColumn("level", F.lit(level))
+        tree = tree.unionByName(below)
+    return tree.select("level", "node", "rows", *_SUMS)
+
+
+def drifted_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Nodes of two trees that differ: ``level, node, rows_before, rows_after``. A
+    node that one side lacks has NULL rows there. None at the top means no drift."""
+    old = before.select("level", "node", F.col("rows").alias("rows_before"), F.struct("rows", *_SUMS).alias("was"))
+    new = after.select("level", "node", F.col("rows").alias("rows_after"), F.struct("rows", *_SUMS).alias("is"))
+    both = old.join(new, ["level", "node"], "full_outer")
+    return both.filter(~F.col("was").eqNullSafe(F.col("is"))).select("level", "node", "rows_before", "rows_after")
+
+
 def input_drift(receipts: DataFrame, current: DataFrame) -> DataFrame:
     """Inputs whose content changed or vanished since they were received; both
     sides are ``(path, sha256)``, one row per path."""

@@ -5,6 +5,7 @@ from tabwarden.plans import (  # noqa: F401
     delivery_queries,
     diff_queries,
     evidence_queries,
+    flow_queries,
     run_queries,
     source_queries,
     stream_queries,

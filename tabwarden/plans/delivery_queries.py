@@ -236,8 +236,8 @@ def _(t):
     "que_15_job_linkage",
     """SELECT r.run_id, j.id AS job_id, j.status AS job_status, j.attempts, j.budget_attempts, j.max_attempts,
   j.replay_count, j.last_error
-FROM run_rows AS r LEFT JOIN (SELECT * FROM job_rows WHERE status <> 'QUEUED') AS j ON j.workflow_run_id = r.run_id""",
+FROM run_rows AS r LEFT JOIN job_rows AS j ON j.workflow_run_id = r.run_id""",
 )
 def _(t):
-    """Runs against the jobs that were claimed at least once; others have none."""
-    return q.job_linkage(t["run_rows"], t["job_rows"].filter("status <> 'QUEUED'"))
+    """Every run with its job, waiting ones too; runs without a job have NULLs."""
+    return q.job_linkage(t["run_rows"], t["job_rows"])

@@ -13,6 +13,8 @@ from tabwarden.operators import briefing, comparison, evidence, validation, veri
 from tabwarden.session import written
 
 BY = ("run_id",)
+#: Records of a block whose drift is located.
+BLOCK_RECORDS = 65_536
 
 
 @dataclass(frozen=True)
@@ -23,12 +25,19 @@ class FlowResult:
     schema_diff: DataFrame
     cells: DataFrame
     checks: DataFrame
+    drift: DataFrame
     evidence: DataFrame
     truncation: DataFrame
     summary: DataFrame
     actions: DataFrame
 
 
+def _identity(ds: DataFrame, label: str) -> DataFrame:
+    """The fingerprint tree of an input, over ranges of its record numbers."""
+    blocks = verification.block_fingerprints(ds, F.floor(F.col("record_no") / BLOCK_RECORDS))
+    return verification.fingerprint_tree(blocks).select(F.lit(label).alias("source"), "*")
+
+
 def flow(
     export: DataFrame,
     rules: Any,
@@ -38,21 +47,33 @@ def flow(
     run_id: str,
     max_findings: int = 500,
 ) -> FlowResult:
-    """Run all steps. Findings of both engines are written before anything reads
-    them, so verification compares a stored result with a fresh computation."""
+    """Run all steps.
+
+    The findings of both engines are written before anything reads them. Verification
+    then computes them anew, the changes by a join of whole records where the stored
+    ones came from digests, and fingerprints the inputs again: ``drift`` names the
+    blocks of records that are not what they were when the run began.
+    """
     comparison.check_key(before, after, key)
     run = F.lit(run_id).alias("run_id")
-    tagged = [df.select(run, "*") for df in (export, before, after)]
+    inputs = {"export": export, "before": before, "after": after}
+    tagged = [df.select(run, "*") for df in inputs.values()]
     checked = validation.check_rules(rules)
 
+    def identities() -> DataFrame:
+        trees = [_identity(ds, label) for label, ds in inputs.items()]
+        return trees[0].unionByName(trees[1]).unionByName(trees[2])
+
+    received = written(identities(), "identities")
+
     def quality() -> tuple[DataFrame, DataFrame]:
         found = validation.all_findings(tagged[0], checked, by=BY)
         return found, validation.validation_summary(tagged[0], checked, max_findings, by=BY)
 
     findings, totals = (written(df, "quality") for df in quality())
-    fresh, fresh_totals = quality()
-    changes = comparison.row_images(tagged[1], tagged[2], key, by=BY)
-    moved = written(comparison.diff_summary(tagged[1], tagged[2], key, max_findings, by=BY), "changes")
+    diff = comparison.compared(tagged[1], tagged[2], key, by=BY)
+    changes = written(diff.images(), "change-findings")
+    moved = written(diff.summary(max_findings), "changes")
     schema = comparison.schema_diff(before, after)
     results = evidence.RunResults(
         quality=findings,
@@ -62,18 +83,46 @@ def flow(
         schema=schema.select(run, "*"),
     )
     kept = evidence.evidence_budget(results)
-    drift = verification.recompute_equal(
-        moved, comparison.diff_summary(tagged[1], tagged[2], key, max_findings, by=BY)
-    ).filter("only_stored + only_fresh > 0")
+    drift = written(_drift(received, identities()), "drift")
+    fresh, fresh_totals = quality()
+    fresh_changes = comparison.row_images(tagged[1], tagged[2], key, by=BY)
+    fresh_moved = comparison.diff_summary(tagged[1], tagged[2], key, max_findings, by=BY)
+    blocks = drift.filter("level = 0")
     return FlowResult(
         quality_summary=totals,
         findings=validation.findings_cap(findings, max_findings),
         change_summary=moved,
         schema_diff=schema,
-        cells=comparison.cell_changes(before, after, key),
-        checks=verification.verification_checks(findings, fresh, totals, fresh_totals, drift),
+        cells=diff.cells().drop("run_id"),
+        checks=_engine("quality", verification.verification_checks(findings, fresh, totals, fresh_totals, blocks.filter("source = 'export'")))
+        .unionByName(
+            _engine(
+                "changes",
+                verification.verification_checks(
+                    _flat(changes), _flat(fresh_changes), moved, fresh_moved, blocks.filter("source <> 'export'")
+                ),
+            )
+        ),
+        drift=drift,
         evidence=kept,
         truncation=evidence.truncation_metadata(results),
         summary=briefing.briefing_summary(results),
         actions=briefing.briefing_actions(results, kept),
     )
+
+
+def _drift(received: DataFrame, now: DataFrame) -> DataFrame:
+    """Differing nodes of the inputs' trees, each with its source."""
+    label = lambda df: df.withColumn("node", F.struct("source", "node"))
+    nodes = verification.drifted_nodes(label(received), label(now))
+    return nodes.select("node.source", "level", "node.node", "rows_before", "rows_after")
+
+
+def _engine(name: str, checks: DataFrame) -> DataFrame:
+    return checks.select(F.lit(name).alias("engine"), "*")
+
+
+def _flat(images: DataFrame) -> DataFrame:
+    """Maps as sorted entries, which can be grouped by."""
+    entries = [F.array_sort(F.map_entries(name)).alias(name) for name in ("before", "after")]
+    return images.select("run_id", "kind", "key", *entries, "fields")

@@ -6,18 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwarden.functions.hotkeys import Running, running
 from tabwarden.operators import delivery, submissions
 from tabwarden.operators.validation import FINDING_COLUMNS
 from tabwarden.plans.check_queries import ALLOWED, DATE, EMAIL, MAX, MAX_REGION, INTEGER, MIN, NUMBER
 from tabwarden.plans.check_queries import ACCOUNT_RULES, REQUIRED_EMAIL, REQUIRED_ID
 from tabwarden.plans.diff_queries import SUMMARY
-from tabwarden.plans.delivery_queries import LEASE_SECONDS, LEASES
+from tabwarden.plans.delivery_queries import LEASE_SECONDS
 from tabwarden.plans.registry import query
 from tabwarden.plans.submission_queries import EVENTS
 from tabwarden.session import scratch_path
+from tabwarden.streaming import leases
 from tabwarden.streaming import streams as st
 
 _PARTS = 3
+MAX_ATTEMPTS = 3
 
 
 def _arriving(t, df: DataFrame, order: str, label: str, per_trigger: int = 1) -> DataFrame:
@@ -142,36 +145,72 @@ def _(t):
     arriving = _arriving(t, announced, "snapshot_id", "announcements")
     state = st.SnapshotChain(t.spark, scratch_path(t.spark, "chain"), "order_id")
     st.stream_compare(arriving, state, scratch_path(t.spark, "check")).awaitTermination()
-    diffs = t.spark.read.parquet(state.diffs)
-    return diffs.select("snapshot_id", "added", "removed", "changed", "unchanged")
+    return state.summaries.rows().select("snapshot_id", "added", "removed", "changed", "unchanged")
+
+
+# A tenth of the rows reach the stream a third of the log after their time.
+_ARRIVALS = """SELECT *, id + CASE WHEN k % 10 = 3 THEN (SELECT max(id) // 3 FROM delivery_log) ELSE 0 END AS arrival FROM (
+  SELECT *, count(*) FILTER (event = 'claim') OVER (PARTITION BY job_id, generation ORDER BY id) AS budget FROM (
+    SELECT *, count(*) FILTER (event = 'replay') OVER (PARTITION BY job_id ORDER BY id) AS generation
+    FROM (SELECT *, sum(CASE WHEN event = 'claim' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY id) - attempts_ago AS attempt
+      FROM delivery_log) AS n) AS g) AS b WHERE attempt > 0"""
+_US = "epoch_us(at_time)"
+_LEASED = f"""SELECT *, max(until) OVER w AS reach FROM (
+  SELECT a.*, claim_us, claim_budget, {_US} AS us,
+    {_US} + CASE WHEN event IN ('claim', 'heartbeat') THEN {LEASE_SECONDS * 1_000_000} ELSE 0 END AS until
+  FROM ({_ARRIVALS}) AS a JOIN (SELECT job_id, attempt, {_US} AS claim_us, budget AS claim_budget
+    FROM ({_ARRIVALS}) AS c WHERE event = 'claim') AS c USING (job_id, attempt)
+  WHERE {_US} >= claim_us AND event <> 'replay') AS u
+WINDOW w AS (PARTITION BY job_id, attempt ORDER BY us, CASE WHEN event = 'claim' THEN 0 ELSE 1 END, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+# Up to the first row at or after the reach of those before, all are within the lease.
+_HELD = f"""SELECT *, sum(CASE WHEN us >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, attempt
+  ORDER BY us, CASE WHEN event = 'claim' THEN 0 ELSE 1 END, id) AS lost FROM ({_LEASED}) AS l"""
+
+
+def _lease_log(t) -> tuple[DataFrame, str]:
+    """The log with attempts and budgets, out of order, run through the stream."""
+    numbered = running(delivery.with_attempts(t["delivery_log"]), ["job_id"], "id", {"generation": Running(F.when(F.col("event") == "replay", 1).otherwise(0))})
+    claims = Running(F.when(F.col("event") == "claim", 1).otherwise(0))
+    counted = running(numbered, ["job_id", "generation"], "id", {"budget": claims}).filter("attempt > 0")
+    third = t["delivery_log"].agg(F.max("id")).first()[0] or 0
+    log = counted.select(
+        "id", "job_id", F.col("attempt").cast("bigint").alias("attempt"), "event", F.col("at_time").cast("timestamp").alias("at_time"),
+        F.col("budget").cast("int").alias("budget_attempts"), F.lit(MAX_ATTEMPTS).alias("max_attempts"),
+        (F.col("id") + F.when(F.col("k") % 10 == 3, third // 3).otherwise(0)).alias("arrival"),
+    )
+    out = scratch_path(t.spark, "out")
+    arriving = _arriving(t, log, "arrival", "lease-stream").drop("arrival")
+    leases.stream_lease_timeout(
+        arriving, LEASE_SECONDS, out, scratch_path(t.spark, "check"), late="0 seconds", keep_seconds=10**9
+    ).awaitTermination()
+    return t.spark, out
 
 
 @query(
     "str_07_stream_lease_timeout",
-    f"""SELECT job_id, CAST(attempt AS BIGINT) AS attempt, expires_at, beats FROM (
-SELECT job_id, attempt, max(until) AS expires, strftime(max(until), '%Y-%m-%dT%H:%M:%S.%f') AS expires_at,
-  count(*) FILTER (event = 'claim') AS claims, count(*) FILTER (event = 'heartbeat') AS beats,
-  count(*) FILTER (event IN ('fail', 'settle')) AS endings
-FROM (SELECT *, sum(CASE WHEN reach IS NULL OR at_time >= reach THEN 1 ELSE 0 END)
-    OVER (PARTITION BY job_id, attempt ORDER BY id) AS session
-  FROM (SELECT *, max(until) OVER (PARTITION BY job_id, attempt ORDER BY id
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-    FROM (SELECT *, at_time + CASE WHEN event IN ('claim', 'heartbeat') THEN to_seconds({LEASE_SECONDS})
-      ELSE to_microseconds(2) END AS until FROM ({LEASES}) AS leases WHERE event <> 'replay') AS u) AS r) AS s
-GROUP BY job_id, attempt, session) AS sessions
-WHERE claims > 0 AND endings = 0 AND expires <= (SELECT max(at_time) FROM delivery_log)""",
+    f"""SELECT job_id, CAST(attempt AS BIGINT) AS attempt, strftime(make_timestamp(expiry), '%Y-%m-%dT%H:%M:%S.%f') AS expires_at, beats,
+  CASE WHEN budget >= {MAX_ATTEMPTS} THEN 'DEAD_LETTER' ELSE 'QUEUED' END AS status_after, CAST(0 AS BIGINT) AS delay_seconds
+FROM (SELECT job_id, attempt, max(claim_budget) AS budget, max(until) AS expiry, count(*) FILTER (event = 'heartbeat') AS beats,
+    count(*) FILTER (event IN ('fail', 'settle')) AS endings FROM ({_HELD}) AS h WHERE lost = 0 GROUP BY job_id, attempt) AS held
+WHERE endings = 0 AND expiry <= (SELECT max(epoch_us(at_time)) // 1000 * 1000 FROM ({_ARRIVALS}) AS every)""",
 )
 def _(t):
-    """Leases nobody renewed or ended, decided by event time alone."""
-    numbered = delivery.with_attempts(t["delivery_log"]).filter("attempt > 0 AND event <> 'replay'")
-    log = numbered.select(
-        "id", "job_id", F.col("attempt").cast("bigint").alias("attempt"), "event", F.col("at_time").cast("timestamp").alias("at_time")
-    )
-    arriving = _arriving(t, log, "id", "lease-stream")
-    out = scratch_path(t.spark, "out")
-    st.stream_lease_timeout(arriving, LEASE_SECONDS, out, scratch_path(t.spark, "check")).awaitTermination()
-    schema = """job_id string, attempt bigint, started_at timestamp, expires_at timestamp, claims bigint,
-        beats bigint, endings bigint"""
-    drained = t.spark.read.schema(schema).parquet(out)
+    """Leases nobody renewed or ended, decided by event time alone, though rows come
+    late; replays open a new budget."""
+    found = leases.lease_outcomes(*_lease_log(t))
     stamp = F.date_format("expires_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return drained.select("job_id", "attempt", stamp.alias("expires_at"), "beats")
+    return found.select("job_id", "attempt", stamp.alias("expires_at"), "beats", "status_after", "delay_seconds")
+
+
+@query(
+    "str_07_stream_lease_late",
+    f"""SELECT id, job_id, CAST(attempt AS BIGINT) AS attempt, event, true AS applied FROM (
+  SELECT *, epoch_us(at_time) AS us, max(seen) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+    SELECT *, max(epoch_us(at_time)) OVER (PARTITION BY part) // 1000 * 1000 AS seen FROM (
+      SELECT *, (arrival - min(arrival) OVER ()) // ((max(arrival) OVER () - min(arrival) OVER ()) // {_PARTS} + 1) AS part
+      FROM ({_ARRIVALS}) AS a) AS p) AS s) AS b
+WHERE us < before""",
+)
+def _(t):
+    """Rows that came behind the watermark, each listed once."""
+    return leases.late_rows(*_lease_log(t)).select("id", "job_id", "attempt", "event", "applied")

@@ -7,65 +7,59 @@ Restarting with the same checkpoint goes on where the last run stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tabwarden.functions.hotkeys import join_per_key
 from tabwarden.functions.text import stripped_or_blank
 from tabwarden.operators import comparison, submissions, validation
-from tabwarden.sources.inbox import hash_of
+from tabwarden.sources.inbox import MAX_DOCUMENT_BYTES, hash_of
 from tabwarden.streaming.memory import BatchTable
+from tabwarden.streaming.plumbing import per_batch, to_files
 
 ROW_LOCAL_CODES = ("required", "type", "min", "max", "allowed")
 
 
-def _triggered(writer: DataStreamWriter, checkpoint: str, every: str | None) -> DataStreamWriter:
-    writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-
-
-def _to_files(df: DataFrame, out: str, checkpoint: str, every: str | None) -> StreamingQuery:
-    writer = df.writeStream.outputMode("append").format("parquet").option("path", out)
-    return _triggered(writer, checkpoint, every).start()
-
-
-def _per_batch(
-    df: DataFrame,
-    work: Callable[[DataFrame, int], None],
-    checkpoint: str,
-    every: str | None,
-) -> StreamingQuery:
-    return _triggered(df.writeStream.foreachBatch(work), checkpoint, every).start()
-
-
 # --- submissions ---------------------------------------------------------------
 
 
-def inbox_stream(spark: SparkSession, folder: str, suffix: str = ".json") -> DataFrame:
-    """New documents in ``folder``, each file one row."""
-    files = (
-        spark.readStream.format("text")
-        .option("wholetext", "true")
-        .option("pathGlobFilter", f"*{suffix}")
-        .load(folder)
+def inbox_stream(
+    spark: SparkSession, folder: str, suffix: str = ".json", max_bytes: int = MAX_DOCUMENT_BYTES
+) -> DataFrame:
+    """New documents in ``folder``, each file one row: ``path, doc, raw_hash, fits``.
+
+    Files of more than ``max_bytes`` are listed without text and hash; the scan skips
+    them by their length, so their bytes are never read.
+    """
+    reader = spark.readStream.option("pathGlobFilter", f"*{suffix}")
+    path = F.col("_metadata.file_path").alias("path")
+    texts = reader.format("text").option("wholetext", "true").load(folder)
+    small = texts.filter(F.col("_metadata.file_size") <= max_bytes).select(
+        path, F.col("value").alias("doc"), hash_of(F.encode("value", "UTF-8")).alias("raw_hash"), F.lit(True).alias("fits")
     )
-    return files.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("value").alias("doc"),
-        hash_of(F.encode("value", "UTF-8")).alias("raw_hash"),
+    files = reader.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    none = F.lit(None).cast("string")
+    large = files.filter(F.col("length") > max_bytes).select(
+        path, none.alias("doc"), none.alias("raw_hash"), F.lit(False).alias("fits")
     )
+    return small.unionByName(large)
 
 
 def stream_inbox(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, suffix: str = ".json"
+    spark: SparkSession,
+    folder: str,
+    out: str,
+    checkpoint: str,
+    suffix: str = ".json",
+    max_bytes: int = MAX_DOCUMENT_BYTES,
 ) -> StreamingQuery:
     """Check every document of an inbox once, however often this is started."""
-    checked = _checked_documents(inbox_stream(spark, folder, suffix))
-    return _to_files(checked, out, checkpoint, None)
+    checked = _checked_documents(inbox_stream(spark, folder, suffix, max_bytes))
+    return to_files(checked, out, checkpoint, None)
 
 
 def stream_poll(
@@ -75,15 +69,17 @@ def stream_poll(
     checkpoint: str,
     every: str = "5 seconds",
     suffix: str = ".json",
+    max_bytes: int = MAX_DOCUMENT_BYTES,
 ) -> StreamingQuery:
     """Keep looking for new documents until stopped."""
-    checked = _checked_documents(inbox_stream(spark, folder, suffix))
-    return _to_files(checked, out, checkpoint, every)
+    checked = _checked_documents(inbox_stream(spark, folder, suffix, max_bytes))
+    return to_files(checked, out, checkpoint, every)
 
 
 def _checked_documents(documents: DataFrame) -> DataFrame:
     checked = submissions.manifest_fields(submissions.manifest_decode(documents))
-    return checked.select("path", "raw_hash", "key", "external_id", "error")
+    error = F.when(F.col("fits"), F.col("error")).otherwise("too_large")
+    return checked.select("path", "raw_hash", "key", "external_id", error.alias("error"))
 
 
 _RECEIPT = "receipt_seq bigint, external_id string, fingerprint string"
@@ -148,7 +144,7 @@ def stream_dedup(
     receipts: DataFrame, state: Dedup, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Deduplicate checked receipts arriving in order of ``receipt_seq``."""
-    return _per_batch(receipts, state.batch, checkpoint, every)
+    return per_batch(receipts, state.batch, checkpoint, every)
 
 
 # --- checks --------------------------------------------------------------------
@@ -167,7 +163,7 @@ def stream_validate(
     if beyond:
         raise ValueError(f"rules of missing columns or unique values, in a stream: {', '.join(beyond)}")
     findings = validation.all_findings(ds, rules, ROW_LOCAL_CODES)
-    return _to_files(findings.select(*validation.FINDING_COLUMNS), out, checkpoint, every)
+    return to_files(findings.select(*validation.FINDING_COLUMNS), out, checkpoint, every)
 
 
 class Uniqueness:
@@ -234,85 +230,56 @@ def stream_unique(
     ds: DataFrame, state: Uniqueness, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """Repeated values across batches; see ``Uniqueness.result``."""
-    return _per_batch(ds, state.batch, checkpoint, every)
+    return per_batch(ds, state.batch, checkpoint, every)
 
 
 class SnapshotChain:
-    """Each announced snapshot compared with the one before it."""
+    """Each announced snapshot compared with the last accepted one before it.
+
+    A snapshot whose key is missing, blank somewhere or repeated cannot be compared:
+    it is recorded in ``rejected`` with the reason, and the chain goes on from the
+    snapshot before it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, key: str) -> None:
         self.spark, self.key = spark, key
         self.accepted = BatchTable(spark, f"{folder}/accepted", "snapshot_id bigint, path string").create()
-        self.diffs = f"{folder}/diffs"
+        self.rejected = BatchTable(spark, f"{folder}/rejected", "snapshot_id bigint, path string, reason string").create()
+        self.summaries = BatchTable(
+            spark,
+            f"{folder}/diffs",
+            "before_rows bigint, after_rows bigint, added bigint, removed bigint, changed bigint, unchanged bigint, "
+            "total_changes bigint, reported_findings bigint, status string, snapshot_id bigint",
+        ).create()
+        self.diffs = self.summaries.path
 
     def batch(self, announced: DataFrame, batch_id: int) -> None:
-        """Announcements are control rows, a few per batch; each snapshot that they
-        name is compared with the one announced before it."""
+        """Announcements are control rows, a few per batch."""
         last = self.accepted.rows(batch_id).orderBy(F.desc("snapshot_id")).limit(1).collect()
-        chain = [*last, *announced.select("snapshot_id", "path").orderBy("snapshot_id").collect()]
-        found = None
-        for before, after in zip(chain, chain[1:], strict=False):
-            tables = (self.spark.read.parquet(row.path) for row in (before, after))
-            summary = comparison.compare(*tables, self.key).summary
-            numbered = summary.withColumn("snapshot_id", F.lit(after.snapshot_id).cast("bigint"))
-            found = numbered if found is None else found.unionByName(numbered)
+        kept, refused, found = [], [], None
+        before = last[0] if last else None
+        for after in announced.select("snapshot_id", "path").orderBy("snapshot_id").collect():
+            try:
+                table = self.spark.read.parquet(after.path)
+                comparison.check_key_of(table, self.key)
+            except (comparison.KeyContractError, AnalysisException) as error:
+                refused.append((after.snapshot_id, after.path, str(error).splitlines()[0]))
+                continue
+            if before is not None:
+                summary = comparison.compare(self.spark.read.parquet(before.path), table, self.key, checked=True).summary
+                numbered = summary.withColumn("snapshot_id", F.lit(after.snapshot_id).cast("bigint"))
+                found = numbered if found is None else found.unionByName(numbered)
+            kept.append((after.snapshot_id, after.path))
+            before = after
         if found is not None:
-            found.write.mode("overwrite").parquet(f"{self.diffs}/batch_id={batch_id}")
-        self.accepted.append(announced.select("snapshot_id", "path"), batch_id)
+            self.summaries.append(found, batch_id)
+        make = self.spark.createDataFrame
+        self.rejected.append(make(refused, self.rejected.schema), batch_id)
+        self.accepted.append(make(kept, self.accepted.schema), batch_id)
 
 
 def stream_compare(
     announced: DataFrame, state: SnapshotChain, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
     """``announced`` brings ``(snapshot_id, path)``, any number per micro-batch."""
-    return _per_batch(announced, state.batch, checkpoint, every)
-
-
-# --- leases --------------------------------------------------------------------
-
-
-def lease_sessions(log: DataFrame, lease_seconds: int, late: str) -> DataFrame:
-    """Attempts as sessions: a claim and its beats, each within the lease of the
-    one before, closed when the watermark passes the expiry.
-
-    ``log`` is ``(job_id, attempt, event, at_time)``. An ending falls into the
-    session it comes in, without extending it. Sessions are merged inside each
-    task before the shuffle where the session allows it.
-    """
-    extends = F.col("event").isin("claim", "heartbeat")
-    # A beat exactly at the expiry is too late, so the gap is a microsecond short.
-    gap = F.when(extends, f"{lease_seconds - 1} seconds 999999 microseconds").otherwise(
-        "1 microsecond"
-    )
-    window = F.session_window("at_time", gap).alias("lease")
-    sessions = (
-        log.withWatermark("at_time", late)
-        .groupBy("job_id", "attempt", window)
-        .agg(
-            F.count_if(F.col("event") == "claim").alias("claims"),
-            F.count_if(F.col("event") == "heartbeat").alias("beats"),
-            F.count_if(~extends).alias("endings"),
-        )
-    )
-    return sessions.select(
-        "job_id",
-        "attempt",
-        F.col("lease.start").alias("started_at"),
-        (F.col("lease.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("expires_at"),
-        "claims",
-        "beats",
-        "endings",
-    )
-
-
-def stream_lease_timeout(
-    log: DataFrame,
-    lease_seconds: int,
-    out: str,
-    checkpoint: str,
-    late: str = "0 seconds",
-    every: str | None = None,
-) -> StreamingQuery:
-    """Attempts whose lease ran out without an ending, as soon as event time says so."""
-    expired = lease_sessions(log, lease_seconds, late).filter("claims > 0 AND endings = 0")
-    return _to_files(expired, out, checkpoint, every)
+    return per_batch(announced, state.batch, checkpoint, every)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+from tabwarden.streaming import leases
 from tabwarden.streaming import streams as st
 
 START = datetime(2024, 1, 1)
@@ -47,18 +48,84 @@ def test_unique_names_first_record_across_batches(spark, tmp_path):
     assert sorted((r.row, r.first_record) for r in state.found.rows().collect()) == [(3, 2), (6, 2), (8, 5)]
 
 
-def test_lease_sessions_close_exactly_at_expiry(spark):
-    def row(attempt, event, seconds, micros=0):
-        return ("j", attempt, event, START + timedelta(seconds=seconds, microseconds=micros))
-
-    rows = [
-        row(1, "claim", 0), row(1, "heartbeat", 4, 999_999), row(2, "claim", 0), row(2, "heartbeat", 5),
-        row(3, "claim", 0), row(3, "settle", 4), row(4, "claim", 0), row(4, "settle", 5),
-    ]
-    log = spark.createDataFrame(rows, "job_id string, attempt bigint, event string, at_time timestamp")
-    found = st.lease_sessions(log, 5, "0 seconds").filter("claims > 0").collect()
-    leases = {r.attempt: ((r.expires_at - START).total_seconds(), r.beats, r.endings) for r in found}
-    assert leases[1] == (9.999999, 1, 0)
-    assert leases[2] == (5.0, 0, 0)
-    assert leases[3][1:] == (0, 1)
-    assert leases[4] == (5.0, 0, 0)
+LOG = "id long, job_id string, attempt long, event string, at_time timestamp, budget_attempts int, max_attempts int"
+
+
+class LeaseRun:
+    """A lease stream over files that arrive one by one, restarted for each."""
+
+    def __init__(self, spark, tmp_path, keep_seconds=3600):
+        self.spark, self.keep = spark, keep_seconds
+        self.inbox, self.out, self.check = (str(tmp_path / n) for n in ("in", "out", "check"))
+
+    def take(self, *rows):
+        full = [(i, job, 1, event, START + timedelta(seconds=at), budget, most) for i, job, event, at, budget, most in rows]
+        self.spark.createDataFrame(full, LOG).coalesce(1).write.mode("append").parquet(self.inbox)
+        log = self.spark.readStream.schema(LOG).parquet(self.inbox)
+        leases.stream_lease_timeout(log, 30, self.out, self.check, late="0 seconds", keep_seconds=self.keep).awaitTermination()
+        found = leases.lease_outcomes(self.spark, self.out).collect()
+        outcomes = {r.job_id: ((r.expires_at - START).total_seconds(), r.beats, r.status_after, r.delay_seconds, r.revision) for r in found}
+        return outcomes, sorted((r.id, r.applied) for r in leases.late_rows(self.spark, self.out).collect())
+
+
+def test_late_rows_correct_what_was_told(spark, tmp_path):
+    run = LeaseRun(spark, tmp_path)
+    claim = lambda i, job, at, budget=1: (i, job, "claim", at, budget, 2)
+    outcomes, late = run.take(claim(1, "a", 0), claim(2, "b", 0, 2), claim(3, "c", 100))
+    assert outcomes == {"a": (30, 0, "QUEUED", 0, 1), "b": (30, 0, "DEAD_LETTER", 0, 1)} and late == []
+    # A beat and the settlement of "a" come behind the watermark, and two beats of "b" in the wrong order.
+    outcomes, late = run.take((4, "a", "settle", 40, None, None), (5, "a", "heartbeat", 20, None, None), (6, "b", "heartbeat", 45, None, None), (7, "b", "heartbeat", 29, None, None))
+    assert outcomes == {"b": (75, 2, "DEAD_LETTER", 0, 2)} and late == [(4, True), (5, True), (6, True), (7, True)]
+    # Time alone moves on; a replay changes no lease.
+    outcomes, late = run.take((8, "z", "replay", 129, None, None))
+    assert set(outcomes) == {"b"}
+    outcomes, late = run.take((9, "z", "replay", 130, None, None), (10, "b", "heartbeat", 75, None, None))
+    assert outcomes == {"b": (75, 2, "DEAD_LETTER", 0, 2), "c": (130, 0, "QUEUED", 0, 1)} and (10, True) in late
+
+
+def test_rows_after_the_kept_time_are_listed_only(spark, tmp_path):
+    run = LeaseRun(spark, tmp_path, keep_seconds=60)
+    run.take((1, "a", "claim", 0, 1, 2))
+    run.take((2, "z", "claim", 500, 1, 2))
+    outcomes, late = run.take((3, "a", "heartbeat", 20, None, None))
+    assert outcomes == {"a": (30, 0, "QUEUED", 0, 1)} and late == [(3, False)]
+
+
+def test_lease_of_an_attempt():
+    def lease(*rows):
+        it = leases.Attempt(None)
+        for event, at in rows:
+            it.add(event, at, 1, 1)
+        end, beats = it.lease(5)
+        return end, beats, it.ended(end)
+
+    s = 1_000_000
+    assert lease(("claim", 0), ("heartbeat", 5 * s - 1)) == (10 * s - 1, 1, False)
+    assert lease(("claim", 0), ("heartbeat", 5 * s)) == (5 * s, 0, False)
+    assert lease(("claim", 0), ("settle", 4 * s)) == (5 * s, 0, True)
+    assert lease(("settle", 5 * s), ("claim", 0)) == (5 * s, 0, False)
+    assert lease(("heartbeat", -s), ("claim", 0), ("heartbeat", 8 * s), ("heartbeat", 4 * s)) == (13 * s, 2, False)
+
+
+def test_bad_snapshots_are_recorded_and_passed_over(spark, tmp_path):
+    rows = {0: [(2, "a", "1")], 1: [(2, "a", "1"), (3, "a", "2")], 2: [(2, " ", "1")], 3: [(2, "a", "9")]}
+    paths = []
+    for n, records in rows.items():
+        spark.createDataFrame(records, "record_no long, id string, v string").write.parquet(str(tmp_path / f"s{n}"))
+        paths.append((n, str(tmp_path / f"s{n}")))
+    paths.append((4, str(tmp_path / "absent")))
+    chain = st.SnapshotChain(spark, str(tmp_path / "state"), "id")
+    for number, some in enumerate((paths[:2], paths[2:], paths[2:])):
+        chain.batch(spark.createDataFrame(some, "snapshot_id long, path string"), min(number, 1))
+    assert sorted(r.snapshot_id for r in chain.rejected.rows().collect()) == [1, 2, 4]
+    assert [(r.snapshot_id, r.changed) for r in chain.summaries.rows().collect()] == [(3, 1)]
+
+
+def test_oversized_documents_are_listed_unread(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.json").write_text('{"a": "' + "x" * 300 + '"}')
+    (tmp_path / "in" / "small.json").write_text("{")
+    out = str(tmp_path / "out")
+    st.stream_inbox(spark, str(tmp_path / "in"), out, str(tmp_path / "check"), max_bytes=100).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.path.rsplit("/", 1)[-1], r.error, r.raw_hash is None) for r in rows) == [("big.json", "too_large", True), ("small.json", "invalid_json", False)]
