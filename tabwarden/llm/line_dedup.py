@@ -28,13 +28,21 @@ GRAM = 25
 #: Words to either side of a fingerprint within which a match is extended.
 REACH = 3 * GRAM
 
+#: White space within a line.
+_SPACES = " \t\x0b\x0c\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: All but the characters of scripts that put no spaces between words.
+_SPACED_SCRIPTS = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]+"
+
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, mark, pos, line (hash), words, start`` of lines that have words."""
     raw = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("pos", "said"))
     said = F.expr("trim(BOTH ' \t\r' FROM said)")
-    # Words are what single spaces separate; counting them needs no splitting.
-    words = F.length("said") - F.length(F.translate("said", " ", "")) + 1
+    # Words are what white space separates, each mark of it; counting needs no splitting.
+    words = F.length("said") - F.length(F.translate("said", _SPACES, "")) + 1
+    # Scripts without spaces have about a word in two characters.
+    unspaced = F.length(F.regexp_replace("said", _SPACED_SCRIPTS, ""))
+    words = words + F.when(F.octet_length("said") > F.length("said"), F.floor(unspaced / 2).cast("int")).otherwise(0)
     rows = (
         raw.withColumn("said", said)
         .filter(F.length("said") > 0)

@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: nodes with the same path of tags a
 classes are one element. Two statistics are counted over the pages that have it:
 
 * content: for a block of text, how the block's texts are distributed over pages. A
-  text on one page only is content; one on all pages is furniture. The importance
+  text on one page only is content; one on all pages is furniture. A heading counts
+  with the text that it heads. The importance
   of an element is one less the mean of log_m(pages with the text) over its texts,
   m being the pages that have the element.
 * presentation: for an element with children, the entropy, to the base m, of the
@@ -73,6 +74,8 @@ FURNITURE_NAMES = frozenset(
     "sponsored subscribe toolbar widget widgets".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+#: Elements that head what follows them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt caption figcaption summary".split())
 #: Elements that a start tag of the same kind closes.
 CLOSED_BY = {
     "li": frozenset(["li"]), "p": BLOCKS - {"br"}, "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
@@ -251,6 +254,20 @@ def _decided(block: Block) -> str:
     return NAMED + block.named if block.named else block.path
 
 
+def _content(blocks: list[Block], k: int) -> str:
+    """The text by which a block is judged. A heading is what it heads, the next block
+    beside it that is none: the same headings on all pages stay if those differ."""
+    block = blocks[k]
+    is_heading = lambda b: b.path.rsplit(">", 1)[-1].split(".")[0].removesuffix("@main") in HEADINGS
+    if is_heading(block):
+        for other in blocks[k + 1 :]:
+            if other.path != block.parent and not other.path.startswith(f"{block.parent}>"):
+                break
+            if not is_heading(other):
+                return other.text
+    return block.text
+
+
 def _features(pages: DataFrame) -> DataFrame:
     """``element, parent, feature, kind``: the distinct features of each page. Kind
     0 says that the page has the element, 1 is a text, 2 a sequence of children, 3 a
@@ -264,12 +281,12 @@ def _features(pages: DataFrame) -> DataFrame:
                 blocks, styles = parse(html or "")
                 seen = set()
                 named = {b.named for b in blocks}
-                for b in blocks:
+                for k, b in enumerate(blocks):
                     element, parent = _hash(host, _decided(b)), _hash(host, b.parent)
                     if b.named:
                         parent = 0  # its blocks have different ones
                     seen.add((element, parent, 0, 0))
-                    seen.add((element, parent, _hash(b.text), 4 if b.named else 3 if b.article else 1))
+                    seen.add((element, parent, _hash(_content(blocks, k)), 4 if b.named else 3 if b.article else 1))
                 for path, style in styles:
                     for key in (path, NAMED + path) if path and path in named else (path,):
                         element = _hash(host, key)

@@ -314,3 +314,12 @@ def test_neighbours_reach_recall(spark, monkeypatch):
         hits += len({i for i, _ in found[q]} & set(order))
         total += 20
     assert hits / total >= 0.9
+
+
+def test_repeated_lines_of_tabs_and_of_ideographs_go(spark):
+    tabs, spaces = "\t".join(f"t{n}" for n in range(60)), "\u3000".join(f"s{n}" for n in range(60))
+    ideographs = "".join(chr(0x4E00 + n) for n in range(200))
+    texts = [(1, tabs), (2, f"own\n{tabs}"), (3, spaces), (4, spaces), (5, ideographs), (6, f"{ideographs}\nown"), (7, "short\tline"), (8, "short\tline")]
+    docs = _docs(spark, texts)
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert left == {1: tabs, 2: "own", 3: spaces, 4: "", 5: ideographs, 6: "own", 7: "short\tline", 8: "short\tline"}

@@ -255,6 +255,17 @@ def _pages(spark, rows):
     return spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, element string")
 
 
+def test_headings_of_all_pages_stay_with_what_they_head(spark):
+    heads, want = ("Introduction", "Methods", "Notes"), {}
+    rows = []
+    for n in range(12):
+        parts = "".join(f"<h2>{h}</h2><p>{h} of page {n} says {n * 7}</p>" for h in heads)
+        rows.append((n, f"http://h.org/{n}", f"<article>{parts}<div class='end'>Printed on paper</div></article>"))
+        want[n] = "\n".join(f"{h}\n{h} of page {n} says {n * 7}" for h in heads)
+    for limit in (site_style.BROADCAST_ROWS, 0):
+        assert {r.page_id: r.text for r in site_style.extract(_pages(spark, rows), broadcast_rows=limit).collect()} == want
+
+
 def test_style_tree_removes_what_all_pages_have(spark):
     page = "<div class='top'><p>Our site</p></div><div class='body'><p>{}</p><p>{}</p></div><div class='end'><p>All about us</p></div>"
     rows = [(i, f"http://h.org/{i}", page.format(f"first {i}", f"second {i}")) for i in range(12)]
@@ -353,3 +364,27 @@ def test_pipeline_stages(spark):
         docs = after
     assert sorted(docs.collect()) == sorted(corpus_pipeline.run(spark, SMALL).collect())
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_dedup_stage_knows_rows_by_id_and_text(spark):
+    text, other = " ".join(f"w{n}" for n in range(30)), " ".join(f"x{n}" for n in range(30))
+    rows = [(0, text, "a", 1), (1, text, "a", 1), (1, other, "a", 1), (2, "y " + other, "b", 1), (3, "z", "b", 1), (3, "z", "b", 1), (4, None, "b", 1), (5, "", None, 1), (None, text, "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy string, mark long")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(0, text), (1, other), (3, "z"), (4, None), (5, ""), (None, text)], key=str)
+    assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (None, "null id", "a"), (3, "w " * 200_000, "b"), (4, "twice", "b"), (4, "twice", "b")]
+
+
+def test_stages_take_odd_rows(spark):
+    docs = spark.createDataFrame([(*row, 7, "x") for row in ODD], "doc_id long, text string, source string, score int, removed_lines string")
+    for stage in (corpus_pipeline.line_dedup_stage, corpus_pipeline.decontamination_stage, corpus_pipeline.bpe_stage):
+        out = stage(spark, docs, SMALL)
+        assert out.count() == len(ODD), stage
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    kept = corpus_pipeline.quality_stage(spark, docs, SMALL)
+    assert kept.columns == docs.columns and kept.count() <= len(ODD)
