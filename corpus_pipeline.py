@@ -21,7 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the classifier accepts; columns stay as they are."""
+    """Keep the documents that the classifier accepts; columns stay as they are.
+
+    Every row is judged by its text alone; null and empty texts have a score as well.
+    Without labels nothing is known, so all are kept.
+    """
     model = quality.fit(docs, _table(spark, sf_dir, "labels"), F.lit(True))
     return docs.filter(quality.scorer(model, docs)(F.col("text")) >= 0.5)
 
@@ -39,19 +43,32 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near-duplicates, once."""
-    found = near_dedup.near_duplicates(docs, width=5, percent=80)
-    dropped = staged(found.filter(~F.col("kept")).select(F.col("doc_id").alias("copy")).distinct(), "near-copies")
-    return docs.join(dropped, docs["doc_id"] == dropped["copy"], "left_anti")
+    """Keep the first document of each group of near-duplicates, once.
+
+    A document is known by id and text: rows of one id and other texts are judged each
+    by its own text, equal rows are one document. Documents with a null id, and those
+    without words, are near-duplicates of nothing and stay.
+    """
+    mark = F.xxhash64("text").alias("mark")
+    known = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", mark)).alias("doc_id"), "text")
+    found = near_dedup.near_duplicates(known, width=5, percent=80)
+    copies = found.filter(~F.col("kept")).select(F.col("doc_id.doc_id").alias("copy"), F.col("doc_id.mark").alias("copy_mark"))
+    dropped = staged(copies.distinct(), "near-copies")
+    kept = docs.join(dropped, (docs["doc_id"] == dropped["copy"]) & (F.xxhash64(docs["text"]) == dropped["copy_mark"]), "left_anti")
+    # Whole rows are compared only if some id stands in two rows of one text.
+    repeated = docs.groupBy("doc_id", mark).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else kept
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
+    """Drop the documents that hold a benchmark item; all rows of such an id go. Null
+    and empty texts hold none."""
     return decontamination.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Count and digest the ids of every document, and of what they decode to."""
+    """Count and digest the ids of every row, and of what they decode to; a null text is
+    an empty one."""
     return bpe.encode_decode(docs, BYTE_BPE)
 
 
