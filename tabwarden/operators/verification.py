@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.session import written
-
 # The checks one verification consists of.
 CHECKS = ("source_identity", "result_schema", "summary_counts", "engine_recomputation")
 
@@ -65,28 +63,26 @@ def block_fingerprints(df: DataFrame, block: Column) -> DataFrame:
     return df.groupBy(block.cast("bigint").alias("block")).agg(F.count(F.lit(1)).alias("rows"), *sums)
 
 
-def fingerprint_tree(blocks: DataFrame, levels: int = 4) -> DataFrame:
+def fingerprint_tree(blocks: DataFrame, levels: int = 4, by: Sequence[str] = ()) -> DataFrame:
     """``level, node, rows, s0 .. s3``: blocks (level 0) and what ``FAN`` nodes of a
-    level add up to, above. The last level is one node, the table. The blocks are
-    written first, so the table is read once for all levels."""
-    blocks = written(blocks, "blocks")
-    tree = blocks.withColumn("level", F.lit(0)).withColumnRenamed("block", "node")
-    below = tree
-    for level in range(1, levels + 1):
-        node = F.floor(F.col("node") / FAN).cast("bigint") if level < levels else F.lit(0).cast("bigint")
-        sums = [F.sum(name).cast("decimal(38,0)").alias(name) for name in _SUMS]
-        below = below.groupBy(node.alias("node")).agg(F.sum("rows").alias("rows"), *sums).withColumn("level", F.lit(level))
-        tree = tree.unionByName(below)
-    return tree.select("level", "node", "rows", *_SUMS)
-
-
-def drifted_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
+    level add up to, above; one tree for each value of ``by``. The last level is one
+    node, the table. Sums of sums are sums, so all levels come from one aggregation of
+    the blocks."""
+    nodes = [F.floor(F.col("block") / FAN**level).cast("bigint") for level in range(levels)] + [F.lit(0).cast("bigint")]
+    places = F.array(*[F.struct(F.lit(level).alias("level"), node.alias("node")) for level, node in enumerate(nodes)])
+    rows = blocks.select(*by, F.explode(places).alias("at"), "rows", *_SUMS).select(*by, "at.*", "rows", *_SUMS)
+    sums = [F.sum(name).cast("decimal(38,0)").alias(name) for name in _SUMS]
+    return rows.groupBy(*by, "level", "node").agg(F.sum("rows").alias("rows"), *sums)
+
+
+def drifted_nodes(before: DataFrame, after: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Nodes of two trees that differ: ``level, node, rows_before, rows_after``. A
     node that one side lacks has NULL rows there. None at the top means no drift."""
-    old = before.select("level", "node", F.col("rows").alias("rows_before"), F.struct("rows", *_SUMS).alias("was"))
-    new = after.select("level", "node", F.col("rows").alias("rows_after"), F.struct("rows", *_SUMS).alias("is"))
-    both = old.join(new, ["level", "node"], "full_outer")
-    return both.filter(~F.col("was").eqNullSafe(F.col("is"))).select("level", "node", "rows_before", "rows_after")
+    keys = [*by, "level", "node"]
+    old = before.select(*keys, F.col("rows").alias("rows_before"), F.struct("rows", *_SUMS).alias("was"))
+    new = after.select(*keys, F.col("rows").alias("rows_after"), F.struct("rows", *_SUMS).alias("is"))
+    both = old.join(new, keys, "full_outer")
+    return both.filter(~F.col("was").eqNullSafe(F.col("is"))).select(*keys, "rows_before", "rows_after")
 
 
 def input_drift(receipts: DataFrame, current: DataFrame) -> DataFrame:

@@ -32,10 +32,14 @@ class FlowResult:
     actions: DataFrame
 
 
-def _identity(ds: DataFrame, label: str) -> DataFrame:
-    """The fingerprint tree of an input, over ranges of its record numbers."""
-    blocks = verification.block_fingerprints(ds, F.floor(F.col("record_no") / BLOCK_RECORDS))
-    return verification.fingerprint_tree(blocks).select(F.lit(label).alias("source"), "*")
+def _identities(inputs: dict[str, DataFrame]) -> DataFrame:
+    """The fingerprint trees of the inputs, over ranges of their record numbers."""
+    blocks: DataFrame | None = None
+    for label, ds in inputs.items():
+        some = verification.block_fingerprints(ds, F.floor(F.col("record_no") / BLOCK_RECORDS))
+        some = some.select(F.lit(label).alias("source"), "*")
+        blocks = some if blocks is None else blocks.unionByName(some)
+    return verification.fingerprint_tree(blocks, by=["source"])
 
 
 def flow(
@@ -60,11 +64,7 @@ def flow(
     tagged = [df.select(run, "*") for df in inputs.values()]
     checked = validation.check_rules(rules)
 
-    def identities() -> DataFrame:
-        trees = [_identity(ds, label) for label, ds in inputs.items()]
-        return trees[0].unionByName(trees[1]).unionByName(trees[2])
-
-    received = written(identities(), "identities")
+    received = written(_identities(inputs), "identities")
 
     def quality() -> tuple[DataFrame, DataFrame]:
         found = validation.all_findings(tagged[0], checked, by=BY)
@@ -83,7 +83,7 @@ def flow(
         schema=schema.select(run, "*"),
     )
     kept = evidence.evidence_budget(results)
-    drift = written(_drift(received, identities()), "drift")
+    drift = written(verification.drifted_nodes(received, _identities(inputs), by=["source"]), "drift")
     fresh, fresh_totals = quality()
     fresh_changes = comparison.row_images(tagged[1], tagged[2], key, by=BY)
     fresh_moved = comparison.diff_summary(tagged[1], tagged[2], key, max_findings, by=BY)
@@ -111,13 +111,6 @@ def flow(
     )
 
 
-def _drift(received: DataFrame, now: DataFrame) -> DataFrame:
-    """Differing nodes of the inputs' trees, each with its source."""
-    label = lambda df: df.withColumn("node", F.struct("source", "node"))
-    nodes = verification.drifted_nodes(label(received), label(now))
-    return nodes.select("node.source", "level", "node.node", "rows_before", "rows_after")
-
-
 def _engine(name: str, checks: DataFrame) -> DataFrame:
     return checks.select(F.lit(name).alias("engine"), "*")
 

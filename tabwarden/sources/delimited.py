@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from tabwarden.functions.dataset import META_COLUMNS, SOURCE_FILE, header
 from tabwarden.functions.text import strip
+from tabwarden.session import written
+from tabwarden.sources import records
 
 CORRUPT = "_corrupt_record"
 FORBIDDEN_DELIMITERS = ("\r", "\n", "\0", '"')
@@ -210,19 +212,46 @@ def read_export(
     multi_line: bool = True,
     strict: bool = True,
 ) -> DataFrame:
-    """An export as a dataset. Strict reading raises on any structural problem;
-    otherwise bad records are left for :func:`structure_quarantine`."""
-    scanned = scan_export(spark, path, delimiter, multi_line)
-    good, bad = structure_quarantine(scanned)
+    """An export as a dataset. Strict reading raises on any structural problem, and
+    names the first record that has one; otherwise bad records are left for
+    :func:`structure_quarantine`.
+
+    With ``multi_line``, line ends in quotes belong to the record, and files are still
+    read in splits; see :mod:`tabwarden.sources.records`. Strict reading passes over
+    such files twice and writes their records.
+    """
+    if multi_line:
+        return _read_records(spark, path, delimiter, strict)
+    good, bad = structure_quarantine(scan_export(spark, path, delimiter, multi_line))
     if strict:
         checks = structure_checks(spark, path, delimiter, multi_line)
-        failed = checks.filter("violations > 0").select("check").limit(1).collect()
-        if failed:
-            raise ExportError(f"structure check failed: {failed[0].check}")
-        wrong = bad.select(*META_COLUMNS).limit(1).collect()
-        if wrong:
-            file, record = wrong[0][SOURCE_FILE], wrong[0].record_no
-            raise ExportError(f"{file}, record {record}: wrong field count")
+        failed = checks.filter("violations > 0").agg(F.min_by(F.struct("source", "check"), F.struct("source", "check")).alias("first"))
+        if (first := failed.first().first) is not None:
+            raise ExportError(f"structure check failed: {first.check}")
+        wrong = bad.agg(F.min(F.struct(SOURCE_FILE, "record_no")).alias("first")).first().first
+        if wrong is not None:
+            raise ExportError(f"{wrong[SOURCE_FILE]}, record {wrong.record_no}: wrong field count")
+    return good
+
+
+def _read_records(spark: SparkSession, path: str, delimiter: str, strict: bool) -> DataFrame:
+    headers = export_header(spark, path, delimiter)
+    problems = header_problems(headers)
+    if problems:
+        raise ExportError(f"header problem {problems[0][0]} {problems[0][1]!r}")
+    found = records.records(spark, path, delimiter)
+    parsed = records.parsed(found, headers, delimiter, _options(delimiter, True))
+    names = [F.col(f"`{name}`") for name in headers]
+    if strict:
+        parsed = written(parsed, "records")
+        broken = parsed.filter(F.col(records.PROBLEM).isNotNull() | F.col(CORRUPT).isNotNull())
+        first = broken.agg(F.min(F.struct(SOURCE_FILE, "record_no", F.col(records.PROBLEM).isNull(), records.PROBLEM)).alias("first")).first().first
+        if first is not None and first[records.PROBLEM] is not None:
+            raise ExportError(f"structure check failed: {first[records.PROBLEM]} ({first[SOURCE_FILE]}, record {first.record_no})")
+        if first is not None:
+            raise ExportError(f"{first[SOURCE_FILE]}, record {first.record_no}: wrong field count")
+    kept = parsed.filter(~F.col(records.IS_HEADER) & (F.coalesce(F.col(records.PROBLEM), F.lit("")) != "blank_line"))
+    good, _ = structure_quarantine(kept.select(*META_COLUMNS, *names, CORRUPT))
     return good
 
 

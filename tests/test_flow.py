@@ -82,9 +82,10 @@ def test_flow_compares_stored_findings_and_inputs(spark, monkeypatch):
     whole, trees = comparison.row_images, verification.fingerprint_tree
     seen = []
 
-    def altered_later(blocks):
+    def altered_later(blocks, **kinds):
         seen.append(blocks)
-        return trees(blocks.withColumn("rows", F.col("rows") + 1) if len(seen) > 5 else blocks)
+        more = F.when(F.col("source") == "after", 1).otherwise(0)
+        return trees(blocks.withColumn("rows", F.col("rows") + more) if len(seen) > 1 else blocks, **kinds)
 
     monkeypatch.setattr(comparison, "row_images", lambda *a, **k: whole(*a, **k).filter("kind <> 'added'"))
     monkeypatch.setattr(verification, "fingerprint_tree", altered_later)

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import csv
+import random
+
 import pytest
 
 from tabwarden.functions.dataset import header
 from tabwarden.sources import delimited as d
-from tabwarden.sources import sinks
+from tabwarden.sources import records, sinks
 from tabwarden.sources.inbox import inbox_scan, source_listing
 
 
@@ -105,3 +108,61 @@ def test_repeated_batch_is_not_doubled(spark, tmp_path):
     for batch in (0, 1, 1):
         sinks.append_history(rows, str(tmp_path / "log"), batch)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 10
+
+
+def _table(rng, rows):
+    cell = lambda: "".join(rng.choice(["a", "é", '"', ",", "\n", " ", "\n\n", '""', "x" * 30]) for _ in range(rng.randrange(6)))
+    return [[str(n), cell(), cell() or "z"] for n in range(rows)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_multi_line_files_are_read_in_splits(spark, tmp_path, end):
+    """Every way to cut the files gives the records that the csv module reads."""
+    rng = random.Random(len(end))
+    for name in ("one.csv", "two.csv"):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator=end).writerows([["id", "a", "b"], *_table(rng, 150)])
+    want = {}
+    for name in ("one.csv", "two.csv"):
+        with open(tmp_path / name, newline="", encoding="utf-8") as file:
+            want[name] = [(n, *row) for n, row in enumerate(csv.reader(file), 1)][1:]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in (37, 400, 100_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            got = {"one.csv": [], "two.csv": []}
+            for strict in (True, False) if size == 400 else (True,):
+                rows = d.read_export(spark, str(tmp_path), strict=strict).orderBy("record_no").collect()
+                for r in rows:
+                    got[r[d.SOURCE_FILE].rsplit("/", 1)[-1]].append((r.record_no, r.id, r.a, r.b))
+                assert got == want
+                got = {"one.csv": [], "two.csv": []}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 400)
+        tasks = records.lines(spark, str(tmp_path / "one.csv"), ",").rdd.getNumPartitions()
+        assert tasks >= 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+@pytest.mark.parametrize(
+    ("content", "text"),
+    [
+        ('a,b\n1,"x\ny"\n2\n3,4,5\n', "record 3: wrong field count"),
+        ('a,b\n1,"x\n\ny"\n2,3\n4,"5"6\n7\n', "stray_quote .*record 4"),
+        ('a,b\n1,"x\ny"\n\n\n2\n', "blank_line .*record 3"),
+    ],
+)
+def test_the_first_bad_record_is_named(spark, tmp_path, content, text):
+    with pytest.raises(d.ExportError, match=text):
+        d.read_export(spark, _file(tmp_path, content))
+
+
+def test_other_headers_and_line_ends_in_quotes(spark, tmp_path):
+    _file(tmp_path, "a,b\n1,2\n", "one.csv")
+    _file(tmp_path, "b,a\n1,2\n", "two.csv")
+    with pytest.raises(d.ExportError, match="other_header .*two.csv, record 1"):
+        d.read_export(spark, str(tmp_path))
+    path = _file(tmp_path, 'a,b\r\n1,"x\r\ny"\r\n,\r\n', "crlf.csv")
+    assert _records(d.read_export(spark, path)) == [(2, "1", "x\r\ny"), (3, "", "")]
