@@ -47,7 +47,16 @@ def staged(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     finally:
         if tidy:
             spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``staged`` table that no later step reads."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def labelled_sample(

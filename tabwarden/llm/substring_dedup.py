@@ -5,17 +5,20 @@ anchors of any ``LEAST`` consecutive words the one with the least hash is kept,
 same one wherever these words stand. So two documents that share ``LEAST`` words
 share an anchor at the same place of them.
 
-Anchors that more than one document has are the seeds. Every seed meets the first
-place of its anchor, in the order of ``doc_id``, and the match is extended both ways
-as far as the words agree, to the ends of the ``LEAST``-word windows around. A repeat
-of ``LEAST`` words or more is kept: where it came from a smaller ``doc_id``, its words
-go. Repeats of neighbouring anchors overlap, so together they are the maximal repeats.
-
-A window around a seed that the first place does not share may still be shared with
-another document. Places that have such a window in common differ from the first place
-alike, so these windows meet among themselves, by digest, each with its least
-``doc_id``. Thus every place meets two others at most, never all copies, and what is
-found is the same as by comparing all.
+Anchors that more than one document has are the seeds. Every seed is extended both
+ways, within the windows of ``LEAST`` words of which it is the least anchor, and meets
+the first place of its anchor, in the order of ``doc_id``. Where the extended words
+agree they are a repeat of ``LEAST`` words or more, kept if the first place is of a
+smaller ``doc_id``: its words go. Repeats of neighbouring seeds overlap, so together
+they are the maximal repeats.
+
+What a seed does not share with the first place it may still share with another
+document. Places that have such a window in common differ from the first place alike,
+so these windows meet among themselves, by digest, each with its least ``doc_id``. Thus
+every place meets two others at most, never all copies, and what is found is the same
+as by comparing all.
+
+Windows are compared by two hashes of 64 bits, of the anchor and of all their words.
 """
 
 from __future__ import annotations
@@ -28,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwarden.llm.common import bounded, fresh, packed, spread, staged
+from tabwarden.llm.common import forget, fresh, packed, spread, staged
 
 #: Words of a repeat, and of an anchor.
 LEAST = 13
 ANCHOR = 7
 #: Words to either side of an anchor that a window around it can have.
 REACH = LEAST - ANCHOR
-#: Seeds (anchors) that are broadcast at most, 8 bytes each; beyond it they are joined.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of the digests of a seed.
+WIDTH = 8 * (REACH + 1)
 #: Bytes of text whose rows are made at once.
 PIECE = 2_000_000
 
@@ -74,11 +77,11 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return np.maximum(h, np.uint64(1))
 
 
-def _runs(words: np.ndarray, factor: np.uint64) -> np.ndarray:
-    """A hash of every run of ``ANCHOR`` words, none of them 0."""
-    n = max(0, len(words) - ANCHOR + 1)
+def _runs(words: np.ndarray, factor: np.uint64, length: int) -> np.ndarray:
+    """A hash of every run of so many words, none of them 0."""
+    n = max(0, len(words) - length + 1)
     h = words[:n].copy()
-    for k in range(1, ANCHOR):
+    for k in range(1, length):
         h *= factor
         h += words[k : k + n]
     return np.maximum(spread(h), np.uint64(1))
@@ -109,7 +112,7 @@ class Words:
         begins = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(starts, begins)
         n = len(starts)
-        self.grams = _runs(self.hashes, _MIX)
+        self.grams = _runs(self.hashes, _MIX, ANCHOR)
         if n < LEAST:
             self.least = np.empty(0, np.uint64)
             return
@@ -117,6 +120,10 @@ class Words:
         self.least = _over(self.grams, np.minimum)
         self.least[text[: n - LEAST + 1] != text[LEAST - 1 :]] = 0
 
+    def digests(self) -> np.ndarray:
+        """A hash of each window of ``LEAST`` words, unlike those of the anchors."""
+        return _runs(self.hashes, _CHECK, LEAST)
+
     def anchors(self) -> np.ndarray:
         """The numbers of the words where an anchor starts: a run that is the least
         of some window (each one, of equal runs)."""
@@ -163,13 +170,13 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "mark", "text").mapInArrow(run, f"doc_id {kind}, mark long, anchor long, place int")
 
 
-def _contexts(docs: DataFrame) -> DataFrame:
-    """The seeds of ``doc_id, mark, text, places`` rows with the words around them.
+def _extensions(docs: DataFrame) -> DataFrame:
+    """The seeds of ``doc_id, mark, text, seeds`` rows, extended both ways.
 
-    ``around`` holds the hashes of ``REACH`` words to the left, the nearest first, and
-    as many to the right, 0 where the text or the anchor's windows end, which start
-    ``least_left`` to ``most_left`` words before it. ``check`` digests the anchor's
-    words anew.
+    ``around`` holds a digest for each way to extend the anchor to ``LEAST`` words: by
+    0, 1, .. words to the left and the rest to the right. It is 0 where these words
+    leave the text, and where another anchor is the least of their window, which then
+    stands for them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -179,40 +186,30 @@ def _contexts(docs: DataFrame) -> DataFrame:
                 words = Words(texts)
                 asked = batch.column(3).slice(group.start, len(group))
                 text = np.repeat(np.arange(len(group)), asked.value_lengths().to_numpy())
-                place = asked.flatten().to_numpy().astype(np.int64)
+                seeds = asked.flatten()
+                place = seeds.field("place").to_numpy().astype(np.int64)
                 at = place + words.first[text]
-                owned = words.windows(at)
-                fewest, most = owned.argmax(axis=1), REACH - owned[:, ::-1].argmax(axis=1)
-                far = np.arange(1, REACH + 1)
-                held = np.concatenate([far <= most[:, None], far <= REACH - fewest[:, None]], axis=1)
-                near = np.concatenate([at[:, None] - far, at[:, None] + ANCHOR - 1 + far], axis=1)
-                around = np.where(held, words.hashes[np.clip(near, 0, max(0, len(words.hashes) - 1))], np.uint64(0))
-                flat = np.ascontiguousarray(around, dtype="<u8")
+                whole = words.digests()
+                starts = np.clip(at[:, None] - np.arange(REACH + 1), 0, len(whole) - 1)
+                flat = np.ascontiguousarray(np.where(words.windows(at), whole[starts], np.uint64(0)), dtype="<u8")
                 take = pa.array(text + group.start)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take),
                         batch.column(1).take(take),
                         _as_long(words.grams[at]),
-                        _as_long(_runs(words.hashes, _CHECK)[at]),
                         pa.array(place.astype(np.int32)),
-                        pa.array(fewest.astype(np.int32)),
-                        pa.array(most.astype(np.int32)),
-                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(16 * REACH), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary()),
+                        seeds.field("least"),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary()),
                     ],
-                    ["doc_id", "mark", "anchor", "check", "place", "least_left", "most_left", "around"],
+                    ["doc_id", "mark", "anchor", "place", "least", "around"],
                 )
 
-    schema = f"doc_id {kind}, mark long, anchor long, check long, place int, least_left int, most_left int, around binary"
-    return docs.select("doc_id", "mark", "text", "places").mapInArrow(run, schema)
-
-
-def _agreeing(same: np.ndarray) -> np.ndarray:
-    """How many entries of each row are true before the first that is not."""
-    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    schema = f"doc_id {kind}, mark long, anchor long, place int, least {kind}, around binary"
+    return docs.select("doc_id", "mark", "text", "seeds").mapInArrow(run, schema)
 
 
-def _extended(met: DataFrame, kind: str) -> DataFrame:
+def _matched(met: DataFrame, kind: str) -> DataFrame:
     """Repeats ``doc_id, mark, start, stop`` of seeds and the first place of their
     anchors, and the windows left over: rows with ``anchor, digest`` and no ``stop``."""
 
@@ -221,33 +218,27 @@ def _extended(met: DataFrame, kind: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-            number = {n: column[n].to_numpy() for n in ("anchor", "check", "place", "least_left", "most_left", "check0")}
-            rows = lambda name: np.frombuffer(b"".join(column[name].to_pylist()), "<u8").reshape(batch.num_rows, 2 * REACH)  # noqa: B023, E731
-            mine, other = rows("around"), rows("around0")
-            same = (mine == other) & (mine != 0) & (number["check"] == number["check0"])[:, None]
-            left, right = _agreeing(same[:, :REACH]), _agreeing(same[:, REACH:])
-            smaller = column["smaller"].to_numpy(zero_copy_only=False)
-            long = smaller & (left + ANCHOR + right >= LEAST)
-            at = number["place"].astype(np.int64)
-            row, start, stop = [np.flatnonzero(long)], [(at - left)[long]], [(at + ANCHOR + right)[long]]
-            digest = [np.zeros(int(long.sum()), np.uint64)]
-            # A window that starts j words before the anchor ends REACH - j words behind it.
-            for j in range(REACH + 1):
-                open_ = (number["least_left"] <= j) & (j <= number["most_left"]) & ~((j <= left) & (REACH - j <= right))
-                h = number["check"][open_].view(np.uint64) + np.uint64(j)
-                for word in [*range(j), *range(REACH, 2 * REACH - j)]:
-                    h = spread(h * _MIX + mine[open_, word])
-                row.append(np.flatnonzero(open_)), start.append((at - j)[open_])
-                stop.append(np.full(int(open_.sum()), -1)), digest.append(h)
-            take, ends = pa.array(np.concatenate(row)), np.concatenate(stop)
+            rows = lambda name: np.frombuffer(b"".join(column[name].to_pylist()), "<u8").reshape(batch.num_rows, REACH + 1)  # noqa: B023, E731
+            mine = rows("around")
+            same = (mine == rows("around0")) & (mine != 0)
+            at = column["place"].to_numpy().astype(np.int64)
+            later = column["later"].to_numpy(zero_copy_only=False)
+            # Windows that agree overlap, so they are one repeat, from the farthest on the left on.
+            long = np.flatnonzero(later & same.any(axis=1))
+            fewest, most = same[long].argmax(axis=1), REACH - same[long][:, ::-1].argmax(axis=1)
+            open_, j = np.nonzero((mine != 0) & ~same)
+            take = pa.array(np.concatenate([long, open_]))
+            starts = np.concatenate([at[long] - most, at[open_] - j])
+            stops = np.concatenate([at[long] - fewest + LEAST, np.full(len(open_), -1)])
+            digest = np.concatenate([np.zeros(len(long), np.uint64), mine[open_, j]])
             yield pa.RecordBatch.from_arrays(
                 [
                     column["doc_id"].take(take),
                     column["mark"].take(take),
-                    pa.array(np.concatenate(start).astype(np.int32)),
-                    pa.array(ends.astype(np.int32), mask=ends < 0),
+                    pa.array(starts.astype(np.int32)),
+                    pa.array(stops.astype(np.int32), mask=stops < 0),
                     column["anchor"].take(take),
-                    _as_long(np.concatenate(digest)),
+                    _as_long(digest),
                 ],
                 ["doc_id", "mark", "start", "stop", "anchor", "digest"],
             )
@@ -270,24 +261,28 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Counted before the shuffle, so a common anchor is a row of each task.
     found = _anchored(texts)
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = staged(shared.filter("least < most").select("anchor"), "seeds", tidy=True)
-    seeds = found.join(bounded(shared, BROADCAST_ROWS), "anchor", "left_semi")
-    # At most as many places as the document has words.
-    places = seeds.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
-    asked = texts.join(places, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    around = staged(_contexts(asked), "seed-contexts", tidy=True)
-
-    first = around.groupBy("anchor").agg(F.min(F.struct("doc_id", "mark", "place", "check", "around")).alias("first"))
-    first = first.select("anchor", F.col("first.doc_id").alias("doc0"), F.col("first.check").alias("check0"), F.col("first.around").alias("around0"))
-    met = around.join(first, "anchor").select(
-        "doc_id", "mark", "anchor", "check", "place", "least_left", "most_left", "around", "check0", "around0", (F.col("doc0") < F.col("doc_id")).alias("smaller")
-    )
-    extended = staged(_extended(met, kind), "extended", tidy=True)
-    windows = extended.filter("stop is null").select("doc_id", "mark", "start", "anchor", "digest")
+    shared = staged(shared.filter("least < most").select("anchor", "least"), "seeds", tidy=True)
+    # At most as many seeds as the document has words.
+    seeds = found.join(shared, "anchor").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("place", "least")).alias("seeds"))
+    seeds = staged(seeds, "document-seeds", tidy=True)
+    asked = texts.join(seeds, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    extended = staged(_extensions(asked), "extensions", tidy=True)
+    forget(seeds)
+
+    # Written, so that the join has plain tables on both sides and splits hot anchors.
+    first = extended.filter(F.col("doc_id") == F.col("least")).groupBy("anchor").agg(F.min_by("around", F.struct("mark", "place")).alias("around0"))
+    first = staged(first, "first-places", tidy=True)
+    met = extended.join(first, "anchor").select("doc_id", "mark", "anchor", "place", "around", "around0", (F.col("least") < F.col("doc_id")).alias("later"))
+    matched = staged(_matched(met, kind), "matched", tidy=True)
+    forget(extended), forget(first)
+    windows = matched.filter("stop is null").select("doc_id", "mark", "start", "anchor", "digest")
     least = windows.groupBy("anchor", "digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    least = staged(least.drop("most"), "shared-windows", tidy=True)
     more = windows.join(least, ["anchor", "digest"]).filter(F.col("doc_id") > F.col("least"))
     more = more.select("doc_id", "mark", "start", (F.col("start") + LEAST).alias("stop"))
-    return staged(extended.filter("stop is not null").select("doc_id", "mark", "start", "stop").union(more), "repeats", tidy=True)
+    repeated = staged(matched.filter("stop is not null").select("doc_id", "mark", "start", "stop").union(more), "repeats", tidy=True)
+    forget(matched), forget(least)
+    return repeated
 
 
 def _kept(words: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
