@@ -1,25 +1,28 @@
 """HTML extraction by a site style tree.
 
 The pages of a host are merged into one tree: nodes with the same path of tags and
-classes are one element. Two statistics are counted over the pages that have it:
+classes are one element. What a page shows in an element are its features: texts,
+their phrases and the targets of links. Two statistics are counted over the m pages
+that have an element:
 
-* content: for a block of text, how the block's texts are distributed over pages. A
-  text on one page only is content; one on all pages is furniture. A heading counts
-  with the text that it heads. The importance
-  of an element is one less the mean of log_m(pages with the text) over its texts,
-  m being the pages that have the element.
+* content: one less the mean of log_m(pages with the feature) over its features. What
+  one page has is content, what all have is furniture. A heading counts with what
+  it heads.
 * presentation: for an element with children, the entropy, to the base m, of the
   sequences of children it has. Furniture looks alike on all pages.
 
-An element's importance joins its content with its parent's presentation, and is
-raised a little inside a marked article. Elements of low importance, on hosts with
-pages enough to tell, are removed from every page, inside an article as outside.
-Marked-up furniture (nav, footer, scripts, forms and the like, or hidden elements) is
-removed anywhere. So are elements whose classes, id or role name furniture, unless
-they hold the page's article, or their host's tree finds in them both the texts of
-content and children that differ from page to page.
+A leaf is a block of text. Its importance joins its content with its parent's
+presentation, and is raised a little inside a marked article. A branch is an element
+that markup calls furniture, by its tag (nav, footer, form and the like) or by a word
+of its classes, id or role, unless it holds the page's article. Its content counts a
+feature once for each page that shows it, its presentation is its own, and the mark
+takes a fixed part of its importance: most where nothing else speaks for it, none of
+it for good. Leaves and branches of low importance are removed from every page, inside
+an article as outside. Hosts of too few pages tell nothing; the marks decide there.
 
-The statistics are counts by host, path and text, which combine before the shuffle,
+Scripts, styles, heads, embedded objects and hidden elements show no text and take no part.
+
+The statistics are counts by host, path and feature, which combine before the shuffle,
 so a host with a third of all pages is no hot group.
 """
 
@@ -38,17 +41,19 @@ from pyspark.sql import functions as F
 
 from tabwarden.llm.common import staged
 
-#: Pages a host needs before its tree removes anything.
+#: Pages a host needs before its tree tells anything.
 LEAST_PAGES = 5
-#: Importance below which an element is removed, and the weight of its content in it.
+#: Importance below which an element is removed, and the weight of content in a leaf's and a branch's.
 LEAST_IMPORTANCE = 0.3
 CONTENT_WEIGHT = 0.9
+BRANCH_CONTENT_WEIGHT = 0.5
 #: What standing in a marked article adds to an importance. Text on every page has at
 #: most 1 - CONTENT_WEIGHT, so it stays below the least one also there.
 ARTICLE_RAISE = 0.1
-#: Content and presentation of an element from which on it stays though its name says furniture.
-SPARED_CONTENT = 0.5
-SPARED_LOOK = 0.5
+#: What a name and a tag of furniture take from an importance. A named branch stays from
+#: 0.75 on, one with such a tag from 0.9 on.
+NAME_COST = 0.45
+TAG_COST = 0.6
 #: Low elements (16 bytes each) that are broadcast at most; beyond it they are joined.
 BROADCAST_ROWS = 500_000
 
@@ -60,10 +65,8 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "select summary table tbody td tfoot th thead tr ul".split()
 )
-FURNITURE = frozenset(
-    "head nav footer aside form script style noscript template iframe svg button select option textarea input label "
-    "dialog menu object canvas audio video map fieldset title".split()
-)
+UNSEEN = frozenset("head style script noscript template iframe svg textarea input object canvas audio video map title".split())
+FURNITURE = frozenset("nav footer aside form button select option label dialog menu fieldset".split())
 #: Furniture unless it stands inside the article.
 PAGE_FURNITURE = frozenset(["header"])
 ARTICLE = frozenset(["article", "main"])
@@ -87,26 +90,36 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_HREF = re.compile(r"(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Ends of phrases: marks before white space, and dots, bars and marks that need none.
+_PHRASE_END = re.compile(r"[.!?;:,]+\s|[\u00b7\u2022|\u3001\u3002\uff01\uff0c\uff1f]")
+
+
+#: Leads the path of a branch, by what marks it.
+NAMED = "named "
+TAGGED = "tagged "
 
 
 class Block(NamedTuple):
-    """A block of text: its path, its parent's path, and what markup says of it:
-    ``named`` is the path of the outermost element around it that names furniture."""
+    """A block of text: its path, its parent's path, the targets of its links, and
+    what markup says of it: ``marks`` are the branches around it, outermost first, as
+    their paths led by ``NAMED`` or ``TAGGED``."""
 
     path: str
     parent: str
     text: str
-    named: str
+    links: tuple[str, ...]
+    marks: tuple[str, ...]
     article: bool
 
 
 class _Element:
-    __slots__ = ("tag", "path", "furniture", "article", "named", "children", "holds_main", "holds_article")
+    __slots__ = ("tag", "path", "unseen", "article", "tagged", "marked", "children", "holds_main", "holds_article")
 
-    def __init__(self, tag: str, path: str, furniture: bool, article: bool, named: tuple[_Element, ...] = ()) -> None:
-        self.tag, self.path, self.furniture, self.article = tag, path, furniture, article
-        #: The elements from the page's root to this one that name furniture.
-        self.named = named
+    def __init__(self, tag: str, path: str, unseen: bool, article: bool, tagged: bool = False, marked: tuple[_Element, ...] = ()) -> None:
+        self.tag, self.path, self.unseen, self.article = tag, path, unseen, article
+        #: Whether its own tag says furniture, and the elements from the page's root to it that are marked so.
+        self.tagged, self.marked = tagged, marked
         self.children: list[str] = []
         self.holds_main = self.holds_article = False
 
@@ -142,18 +155,21 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     found_blocks: list[tuple[Block, tuple[_Element, ...]]] = []
     free_article = False  # whether an article stands in nothing that names furniture
     said: list[str] = []
+    links: list[str] = []
     at, n = 0, len(html)
 
     def flush() -> None:
         if said:
             text = _SPACE.sub(" ", "".join(said)).strip()
+            to = tuple(links)
             said.clear()
+            links.clear()
             if text:
                 # Inline elements do not make a path.
                 holder = next((e for e in reversed(stack) if e.tag in BLOCKS), root)
                 k = stack.index(holder)
                 parent = next((e for e in reversed(stack[:k]) if e.tag in BLOCKS), root)
-                found_blocks.append((Block(holder.path, parent.path, text, "", holder.article), stack[-1].named))
+                found_blocks.append((Block(holder.path, parent.path, text, to, (), holder.article), stack[-1].marked))
 
     def close(k: int) -> None:
         for element in stack[k:]:
@@ -166,14 +182,14 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     while at < n:
         found = _TAG.search(html, at)
         end = found.start() if found else n
-        if end > at and not stack[-1].furniture:
+        if end > at and not stack[-1].unseen:
             said.append(unescape(html[at:end]))
         if not found:
             break
         at = max(found.end(), end + 1)
         tag = (found.group(2) or "").lower()
         if not tag:
-            if found.group().startswith("<![CDATA[") and not stack[-1].furniture:
+            if found.group().startswith("<![CDATA[") and not stack[-1].unseen:
                 said.append(found.group()[9:].removesuffix("]]>"))
             continue
         if found.group(1):
@@ -183,7 +199,7 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 if stack[k].tag == tag:
                     if tag not in BLOCKS and any(e.tag in BLOCKS for e in stack[k + 1 :]):
                         break  # an inline end tag does not end a block
-                    if stack[-1].furniture != stack[k - 1].furniture or stack[-1].named != stack[k - 1].named or any(e.tag in BLOCKS for e in stack[k:]):
+                    if stack[-1].unseen != stack[k - 1].unseen or stack[-1].marked != stack[k - 1].marked or any(e.tag in BLOCKS for e in stack[k:]):
                         flush()
                     close(k)
                     break
@@ -201,18 +217,21 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if main:
             mark += "@main"  # so that a path tells whether it is an article's
         names, hidden = (said_so and tag not in ("html", "body") for said_so in (names, hidden))
-        furniture = hidden or tag in FURNITURE or (tag in PAGE_FURNITURE and not up.article)
-        path = f"{up.path}>{mark}" if tag in BLOCKS or furniture or names or main else up.path
-        element = _Element(tag, path, up.furniture or furniture, up.article or tag in ARTICLE or main, up.named)
-        if (furniture and not up.furniture or names) and tag not in BLOCKS:
+        unseen = hidden or tag in UNSEEN
+        tagged = tag in FURNITURE or (tag in PAGE_FURNITURE and not up.article)
+        path = f"{up.path}>{mark}" if tag in BLOCKS or unseen or tagged or names or main else up.path
+        element = _Element(tag, path, up.unseen or unseen, up.article or tag in ARTICLE or main, tagged, up.marked)
+        if (unseen and not up.unseen or tagged or names) and tag not in BLOCKS:
             flush()
-        if names:
-            element.named += (element,)
-        if (tag in ARTICLE or main) and not element.furniture:
-            for around in element.named:
+        if tagged or names:
+            element.marked += (element,)
+        if (tag in ARTICLE or main) and not element.unseen and not any(e.tagged for e in element.marked):
+            for around in element.marked:
                 around.holds_main |= tag != "article"
                 around.holds_article = True
-            free_article = free_article or tag == "article" and not element.named
+            free_article = free_article or tag == "article" and not element.marked
+        if tag == "a" and not element.unseen and (target := _HREF.search(found.group(3))):
+            links.append(next((v for v in target.groups() if v), ""))
         if tag in BLOCKS:
             up.children.append(mark)
         if tag in RAW:
@@ -224,10 +243,14 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     flush()
     close(1)
 
-    def names_furniture(element: _Element) -> bool:
-        return not (element.holds_main or element.holds_article and not free_article)
+    def mark_of(element: _Element) -> str:
+        """Its mark as a branch; none if it is named only, but holds the article."""
+        if element.tagged:
+            return TAGGED + element.path
+        spared = element.holds_main or element.holds_article and not free_article
+        return "" if spared else NAMED + element.path
 
-    blocks = [b._replace(named=next((e.path for e in named if names_furniture(e)), "")) for b, named in found_blocks]
+    blocks = [b._replace(marks=tuple(filter(None, map(mark_of, marked)))) for b, marked in found_blocks]
     return blocks, styles
 
 
@@ -245,13 +268,9 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
-#: Leads the path of an element that names furniture where the tree is asked of its name.
-NAMED = "named "
-
-
-def _decided(block: Block) -> str:
-    """The path whose element decides on a block."""
-    return NAMED + block.named if block.named else block.path
+def _deciding(block: Block) -> tuple[str, ...]:
+    """The elements that decide on a block: its branches or, if it has none, its leaf."""
+    return block.marks or (block.path,)
 
 
 def _content(blocks: list[Block], k: int) -> str:
@@ -268,10 +287,20 @@ def _content(blocks: list[Block], k: int) -> str:
     return block.text
 
 
+def _shown(blocks: list[Block], k: int) -> set[str]:
+    """The features of a block: its text, the phrases of it, and where its links go."""
+    text = _content(blocks, k)
+    phrases = {p for p in map(str.strip, _PHRASE_END.split(text)) if p}
+    return phrases | {text} | {f"\0{target}" for target in blocks[k].links}
+
+
+#: Kinds of features: the page has the element, a feature, a sequence of children, and
+#: features in a marked article, a named branch and a tagged branch.
+_HAS, _SHOWS, _LOOKS, _IN_ARTICLE, _IN_NAMED, _IN_TAGGED = range(6)
+
+
 def _features(pages: DataFrame) -> DataFrame:
-    """``element, parent, feature, kind``: the distinct features of each page. Kind
-    0 says that the page has the element, 1 is a text, 2 a sequence of children, 3 a
-    text of a marked article and 4 a text in an element that names furniture."""
+    """``element, parent, feature, kind``: the distinct features of each page."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -280,72 +309,119 @@ def _features(pages: DataFrame) -> DataFrame:
                 host = host_of(url)
                 blocks, styles = parse(html or "")
                 seen = set()
-                named = {b.named for b in blocks}
+                branches = {mark for b in blocks for mark in b.marks}
                 for k, b in enumerate(blocks):
-                    element, parent = _hash(host, _decided(b)), _hash(host, b.parent)
-                    if b.named:
-                        parent = 0  # its blocks have different ones
-                    seen.add((element, parent, 0, 0))
-                    seen.add((element, parent, _hash(_content(blocks, k)), 4 if b.named else 3 if b.article else 1))
+                    shown = [_hash(f) for f in _shown(blocks, k)]
+                    for mark in b.marks:
+                        # The blocks of a branch have different parents; its own look counts.
+                        kind = _IN_NAMED if mark.startswith(NAMED) else _IN_TAGGED
+                        element = _hash(host, mark)
+                        seen.add((element, 0, 0, _HAS))
+                        seen.update((element, 0, f, kind) for f in shown)
+                    if not b.marks:
+                        element, parent = _hash(host, b.path), _hash(host, b.parent)
+                        seen.add((element, parent, 0, _HAS))
+                        seen.update((element, parent, f, _IN_ARTICLE if b.article else _SHOWS) for f in shown)
                 for path, style in styles:
-                    for key in (path, NAMED + path) if path and path in named else (path,):
-                        element = _hash(host, key)
-                        seen.add((element, 0, 0, 0))
-                        seen.add((element, 0, _hash(style), 2))
+                    look = _hash(style)
+                    for key in (path, NAMED + path, TAGGED + path):
+                        if key == path or key in branches:
+                            element = _hash(host, key)
+                            seen.add((element, 0, 0, _HAS))
+                            seen.add((element, 0, look, _LOOKS))
                 rows += seen
             yield pd.DataFrame(rows, columns=["element", "parent", "feature", "kind"])
 
     return pages.select("url", "html").mapInPandas(run, "element long, parent long, feature long, kind int")
 
 
-def low_elements(pages: DataFrame) -> DataFrame:
-    """``element`` (hash of host and path) of the elements that the hosts' trees
-    find of low importance, and of those that name furniture but are found to be content."""
+def importances(pages: DataFrame) -> DataFrame:
+    """``element`` (hash of host and path), ``branch``, ``told`` and ``importance`` of
+    the leaves and branches that their hosts' trees can tell of: ``told`` is what the
+    tree tells, ``importance`` what marks make of it."""
     counts = _features(pages).groupBy("element", "parent", "feature", "kind").count()
-    n, log_n, is_text, is_look = F.col("count"), F.log("count"), F.col("kind").isin(1, 3, 4), F.col("kind") == 2
+    n, log_n, kind = F.col("count"), F.log("count"), F.col("kind")
+    is_feature, is_look = kind.isin(_SHOWS, _IN_ARTICLE, _IN_NAMED, _IN_TAGGED), kind == _LOOKS
     # Sums by element combine before the shuffle; joining its features with its pages
     # would bring all texts of a large host's element to one task.
     sums = counts.groupBy("element").agg(
-        F.max(F.when(F.col("kind") == 0, n)).alias("m"),
-        F.max(F.when(is_text, F.col("parent"))).alias("parent"),
-        F.max(F.col("kind") == 3).alias("article"),
-        F.max(F.col("kind") == 4).alias("named"),
-        F.avg(F.when(is_text, log_n)).alias("texts"),
+        F.max(F.when(kind == _HAS, n)).alias("m"),
+        F.max(F.when(is_feature, F.col("parent"))).alias("parent"),
+        F.max(kind == _IN_ARTICLE).alias("article"),
+        F.max(kind == _IN_NAMED).alias("named"),
+        F.max(kind == _IN_TAGGED).alias("tagged"),
+        F.avg(F.when(is_feature, log_n)).alias("features"),
+        F.sum(F.when(is_feature, n)).alias("showings"),
+        F.sum(F.when(is_feature, n * log_n)).alias("showing_logs"),
         F.sum(F.when(is_look, n)).alias("looks"),
         F.sum(F.when(is_look, n * log_n)).alias("look_logs"),
     )
-    log_m = F.log("m")
+    log_m, branch = F.log("m"), F.col("named") | F.col("tagged")
     found = staged(
         sums.filter(F.col("m") >= LEAST_PAGES).select(
             "element",
             "parent",
             "article",
-            "named",
-            (1 - F.col("texts") / log_m).alias("content"),
+            "tagged",
+            branch.alias("branch"),
+            # A leaf's features count once each, so that copies of a page say little against it.
+            (1 - F.when(branch, F.col("showing_logs") / F.col("showings")).otherwise(F.col("features")) / log_m).alias("content"),
             # The sum of -(n / m) log_m(n / m) over the sequences of children.
             ((F.col("looks") * log_m - F.col("look_logs")) / (F.col("m") * log_m)).alias("look"),
         ),
         "style-elements",
     )
-    parents = found.filter("look IS NOT NULL").select(F.col("element").alias("parent"), F.col("look").alias("around"))
-    texts = found.filter("content IS NOT NULL AND NOT named").select("element", "parent", "article", "content")
-    both = texts.join(parents, "parent", "left")
-    importance = (
-        CONTENT_WEIGHT * F.col("content")
-        + (1 - CONTENT_WEIGHT) * F.coalesce("around", F.lit(1.0))
-        + F.when(F.col("article"), ARTICLE_RAISE).otherwise(0.0)
-    )
-    low = both.filter(importance < LEAST_IMPORTANCE).select("element")
-    spared = found.filter(F.col("named") & (F.col("content") >= SPARED_CONTENT) & (F.col("look") >= SPARED_LOOK))
-    return low.union(spared.select("element")).distinct()
+    parents = found.filter("look IS NOT NULL AND NOT branch").select(F.col("element").alias("parent"), F.col("look").alias("around"))
+    leaves = found.filter("content IS NOT NULL AND NOT branch").join(parents, "parent", "left")
+    told_leaf = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.coalesce("around", F.lit(1.0))
+    raised = F.col("told") + F.when(F.col("article"), ARTICLE_RAISE).otherwise(0.0)
+    # A branch without elements below it looks alike everywhere.
+    told_branch = BRANCH_CONTENT_WEIGHT * F.col("content") + (1 - BRANCH_CONTENT_WEIGHT) * F.coalesce("look", F.lit(0.0))
+    lowered = F.col("told") - F.when(F.col("tagged"), TAG_COST).otherwise(NAME_COST)
+    columns = "element", "branch", "told"
+    judged_leaves = leaves.withColumn("told", told_leaf).select(*columns, raised.alias("importance"))
+    branches = found.filter("branch").withColumn("told", told_branch).select(*columns, lowered.alias("importance"))
+    return judged_leaves.unionByName(branches)
+
+
+def low_elements(pages: DataFrame) -> DataFrame:
+    """``element`` of the leaves of low importance, and of the branches whose
+    importance is not low: these stay though marks say furniture."""
+    return importances(pages).filter(F.col("branch") != (F.col("importance") < LEAST_IMPORTANCE)).select("element").distinct()
+
+
+def decisions(pages: DataFrame) -> DataFrame:
+    """``decided, removed, blocks``: what decides on how many blocks of all pages.
+
+    ``leaf`` and ``branch`` are decided by the tree, whose importance marks do not
+    move over the least one; ``mark`` by a mark that does, and ``few pages`` by marks
+    alone. A block with several branches counts for the least important one."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page, (url, html) in zip(batch["page"], zip(batch["url"], batch["html"], strict=True), strict=True):
+                for k, b in enumerate(parse(html or "")[0]):
+                    rows += [(page, k, _hash(host_of(url), path), bool(b.marks)) for path in _deciding(b)]
+            yield pd.DataFrame(rows, columns=["page", "block", "element", "branch"])
+
+    numbered = pages.select(F.monotonically_increasing_id().alias("page"), "url", "html")
+    blocks = numbered.mapInPandas(run, "page long, block int, element long, branch boolean")
+    known = importances(pages).select("element", "told", "importance")
+    least = F.min_by(F.struct("told", "importance"), F.coalesce("importance", F.lit(-1.0)))
+    judged = blocks.join(known, "element", "left").groupBy("page", "block", "branch").agg(least.alias("by"))
+    low, alone = F.col("by.importance") < LEAST_IMPORTANCE, F.col("by.told") < LEAST_IMPORTANCE
+    by_tree = F.when(F.col("branch"), "branch").otherwise("leaf")
+    decided = F.when(low.isNull(), "few pages").when(low == alone, by_tree).otherwise("mark").alias("decided")
+    return judged.groupBy(decided, F.coalesce(low, F.col("branch")).alias("removed")).agg(F.count(F.lit(1)).alias("blocks"))
 
 
 def main_text(blocks: list[Block], low) -> str:
-    """The text of a page. ``low`` says of a path whether its element is removed, and
-    of one led by ``NAMED`` whether it stays though its name says furniture. A page of
-    which nothing would be left, a copy of all others, keeps its article."""
-    kept = [b for b in blocks if low(_decided(b)) == bool(b.named)]
-    kept = kept or [b for b in blocks if b.article and not b.named]
+    """The text of a page. ``low`` says of a leaf whether it is removed, and of a
+    branch whether it stays. A page of which nothing would be left, a copy of all
+    others, keeps its article."""
+    kept = [b for b in blocks if (all(map(low, b.marks)) if b.marks else not low(b.path))]
+    kept = kept or [b for b in blocks if b.article and not b.marks]
     return "\n".join(b.text for b in kept)
 
 
@@ -357,7 +433,7 @@ def _elements(pages: DataFrame) -> DataFrame:
             rows = [
                 (page, _hash(host_of(url), path))
                 for page, url, html in zip(batch["page"], batch["url"], batch["html"], strict=True)
-                for path in {_decided(b) for b in parse(html or "")[0]}
+                for path in {path for b in parse(html or "")[0] for path in _deciding(b)}
             ]
             yield pd.DataFrame(rows, columns=["page", "element"])
 

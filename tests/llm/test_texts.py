@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import public_tokenizers
@@ -328,6 +329,104 @@ def test_style_tree_confirms_names(spark):
         assert {r.page_id: r.text for r in site_style.extract(_pages(spark, rows), broadcast_rows=limit).collect()} == want
 
 
+def _naive_importances(rows):
+    """The tree of each host as a dict, by the definitions of ``site_style``."""
+    holds, shows, looks, parent_of, article = {}, {}, {}, {}, set()
+    for page, (_, url, html) in enumerate(rows):
+        host = site_style.host_of(url)
+        blocks, styles = site_style.parse(html or "")
+        for k, b in enumerate(blocks):
+            for path in b.marks or (b.path,):
+                key = (host, path)
+                holds.setdefault(key, set()).add(page)
+                for feature in site_style._shown(blocks, k):
+                    shows.setdefault(key, {}).setdefault(feature, set()).add(page)
+                if not b.marks:
+                    parent_of[key] = (host, b.parent)
+                    article |= {key} if b.article else set()
+        for path, style in styles:
+            for lead in ("", site_style.NAMED, site_style.TAGGED):
+                key = (host, lead + path)
+                if not lead or any(lead + path in b.marks for b in blocks):
+                    holds.setdefault(key, set()).add(page)
+                    looks.setdefault(key, {}).setdefault(style, set()).add(page)
+
+    def look(key):
+        m = len(holds[key])
+        return sum(-len(p) / m * math.log(len(p) / m, m) for p in looks[key].values()) if m >= 5 and key in looks else None
+
+    told = {}
+    for key, features in shows.items():
+        m, sizes = len(holds[key]), [len(p) for p in features.values()]
+        if m < 5:
+            continue
+        if key[1].startswith((site_style.NAMED, site_style.TAGGED)):
+            content = 1 - sum(n * math.log(n, m) for n in sizes) / sum(sizes)
+            told[key] = 0.5 * content + 0.5 * (look(key) or 0), -0.6 if key[1].startswith(site_style.TAGGED) else -0.45
+        else:
+            up = parent_of[key]
+            around = look(up) if up in holds else None
+            content = 1 - sum(math.log(n, m) for n in sizes) / len(sizes)
+            told[key] = 0.9 * content + 0.1 * (1 if around is None else around), 0.1 if key in article else 0
+    return {site_style._hash(*key): (t, t + add) for key, (t, add) in told.items()}
+
+
+def _random_pages(seed):
+    """Pages of three hosts, of parts that repeat more or less, in and out of marks."""
+    pick = random.Random(seed)
+    say = lambda: " ".join(pick.choice("one two three four five. six, seven".split()) for _ in range(pick.randint(1, 4)))
+    parts = [
+        lambda: f"<p>{say()}</p>", lambda: f"<article><h2>Intro</h2><p>{say()}<p>{say()}</article>", lambda: f"<div class=ad>{say()}</div>",
+        lambda: f"<nav><ul><li><a href='/{pick.randint(0, 3)}'>{say()}</a></ul></nav>", lambda: f"<div class='end'><p>All ours. {say()}</p></div>",
+        lambda: f"<aside><div class=share><p>{say()}</p><ul><li>x</ul></div></aside>", lambda: f"<footer>We. {say()}</footer>",
+    ]
+    return [
+        (i, f"http://{pick.choice('aab')}.org/{i}", "".join(pick.choice(parts)() for _ in range(pick.randint(0, 8))))
+        for i in range(30)
+    ] + [(90, None, None), (91, "http://few.org", "<p>x</p><nav>y</nav>")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_importances_are_those_of_a_naive_tree(spark, seed):
+    rows = _random_pages(seed)
+    pages = _pages(spark, rows)
+    found, want = {r.element: (r.told, r.importance) for r in site_style.importances(pages).collect()}, _naive_importances(rows)
+    assert found.keys() == want.keys() and len(want) > 5
+    assert all(found[k] == pytest.approx(want[k]) for k in want)
+
+    def stays(host, block):
+        if block.marks:
+            return all(want.get(site_style._hash(host, m), (0, 0))[1] >= 0.3 for m in block.marks)
+        return want.get(site_style._hash(host, block.path), (1, 1))[1] >= 0.3
+
+    texts, blocks_kept, blocks_all = {}, 0, 0
+    for page, url, html in rows:
+        blocks = site_style.parse(html or "")[0]
+        kept = [b for b in blocks if stays(site_style.host_of(url), b)]
+        blocks_kept, blocks_all = blocks_kept + len(kept), blocks_all + len(blocks)
+        texts[page] = "\n".join(b.text for b in kept or [b for b in blocks if b.article and not b.marks])
+    for limit in (site_style.BROADCAST_ROWS, 0):
+        assert {r.page_id: r.text for r in site_style.extract(pages, broadcast_rows=limit).collect()} == texts
+    counted = site_style.decisions(pages).collect()
+    assert sum(r.blocks for r in counted) == blocks_all and sum(r.blocks for r in counted if not r.removed) == blocks_kept
+
+
+def test_tree_overrules_tags_and_names_by_what_pages_show(spark):
+    """An aside stays where it differs from page to page in text and make, a menu does not."""
+    make = ["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</ul>"]
+    rows, want = [], {}
+    for i in range(9):
+        texts = [f"remark {i} {k}" for k in range(3)]
+        body = "".join(make[(i // 3**k + k) % 3].format(x) for k, x in enumerate(texts))
+        menu = "".join(f"<li><a href='/{x}'>{x}</a>" for x in ("home", "news", f"p{i % 4}"))
+        rows.append((i, f"http://h.org/{i}", f"<nav><ul>{menu}</ul></nav><article><p>body {i}</p></article><aside>{body}</aside>"))
+        want[i] = "\n".join([f"body {i}", *texts])
+    pages = _pages(spark, rows)
+    assert {r.page_id: r.text for r in site_style.extract(pages).collect()} == want
+    counted = {(r.decided, r.removed): r.blocks for r in site_style.decisions(pages).collect()}
+    assert counted == {("leaf", False): 9, ("branch", False): 27, ("branch", True): 27}
+
+
 def test_pages_hold_their_documents(spark):
     texts = {" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()}
     pages = QUERIES["op8_html_extraction"](spark, SF).collect()
