@@ -304,33 +304,37 @@ def _features(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
+            keys: list[tuple[int, int, int]] = []
+            sizes: list[int] = []
+            features: list[str] = []
             for url, html in zip(batch["url"], batch["html"], strict=True):
                 host = host_of(url)
                 blocks, styles = parse(html or "")
-                seen = set()
                 branches = {mark for b in blocks for mark in b.marks}
+                seen: dict[tuple[str, str, int], set[str]] = {}  # by path, parent's path and kind
                 for k, b in enumerate(blocks):
-                    shown = [_hash(f) for f in _shown(blocks, k)]
+                    shown = _shown(blocks, k)
                     for mark in b.marks:
                         # The blocks of a branch have different parents; its own look counts.
-                        kind = _IN_NAMED if mark.startswith(NAMED) else _IN_TAGGED
-                        element = _hash(host, mark)
-                        seen.add((element, 0, 0, _HAS))
-                        seen.update((element, 0, f, kind) for f in shown)
+                        seen.setdefault((mark, "", _HAS), {""})
+                        seen.setdefault((mark, "", _IN_NAMED if mark.startswith(NAMED) else _IN_TAGGED), set()).update(shown)
                     if not b.marks:
-                        element, parent = _hash(host, b.path), _hash(host, b.parent)
-                        seen.add((element, parent, 0, _HAS))
-                        seen.update((element, parent, f, _IN_ARTICLE if b.article else _SHOWS) for f in shown)
+                        seen.setdefault((b.path, b.parent, _HAS), {""})
+                        seen.setdefault((b.path, b.parent, _IN_ARTICLE if b.article else _SHOWS), set()).update(shown)
                 for path, style in styles:
-                    look = _hash(style)
                     for key in (path, NAMED + path, TAGGED + path):
                         if key == path or key in branches:
-                            element = _hash(host, key)
-                            seen.add((element, 0, 0, _HAS))
-                            seen.add((element, 0, look, _LOOKS))
-                rows += seen
-            yield pd.DataFrame(rows, columns=["element", "parent", "feature", "kind"])
+                            seen.setdefault((key, "", _HAS), {""})
+                            seen.setdefault((key, "", _LOOKS), set()).add(style)
+                hashed = {path: _hash(host, path) for key in seen for path in key[:2]}
+                for (path, parent, kind), own in seen.items():
+                    keys.append((hashed[path], hashed[parent], kind))
+                    sizes.append(len(own))
+                    features += own
+            told = pd.DataFrame(keys, columns=["element", "parent", "kind"]).loc[np.repeat(np.arange(len(keys)), sizes)]
+            # One call hashes the features of a batch, the same in every process.
+            hashes = pd.util.hash_array(np.array(features, object), categorize=False).view(np.int64)
+            yield told.assign(feature=hashes)[["element", "parent", "feature", "kind"]]
 
     return pages.select("url", "html").mapInPandas(run, "element long, parent long, feature long, kind int")
 
