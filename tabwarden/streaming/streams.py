@@ -18,7 +18,7 @@ from tabwarden.functions.hotkeys import join_per_key
 from tabwarden.functions.text import stripped_or_blank
 from tabwarden.operators import comparison, submissions, validation
 from tabwarden.sources.inbox import MAX_DOCUMENT_BYTES, hash_of
-from tabwarden.streaming.memory import BatchTable
+from tabwarden.streaming.memory import BatchTable, KeyedTable
 from tabwarden.streaming.plumbing import per_batch, to_files
 
 ROW_LOCAL_CODES = ("required", "type", "min", "max", "allowed")
@@ -92,8 +92,12 @@ class Dedup:
         def table(name: str, schema: str) -> BatchTable:
             return BatchTable(spark, f"{folder}/{name}", schema).create()
 
-        self.bindings = table("bindings", "external_id string, bound_fingerprint string")
-        self.events = table("events", "fingerprint string, first_seq bigint, external_id string")
+        self.bindings = KeyedTable(
+            spark, f"{folder}/bindings", "external_id string, bound_fingerprint string", "external_id"
+        ).create()
+        self.events = KeyedTable(
+            spark, f"{folder}/events", "fingerprint string, first_seq bigint, external_id string", "fingerprint"
+        ).create()
         self.counts = table("counts", "fingerprint string, accepted bigint")
         self.conflicts = table("conflicts", _RECEIPT)
 
@@ -105,8 +109,8 @@ class Dedup:
         here = named.groupBy("external_id").agg(
             F.min_by("fingerprint", "receipt_seq").alias("first_fingerprint"),
             F.count(F.lit(1)).alias("uses"),
-        )
-        bound = here.join(self.bindings.rows(batch_id), "external_id", "left").select(
+        ).persist()
+        bound = here.join(self.bindings.touching(here, batch_id), "external_id", "left").select(
             "external_id",
             F.coalesce("bound_fingerprint", "first_fingerprint").alias("bound_fingerprint"),
             F.col("bound_fingerprint").isNull().alias("is_new"),
@@ -118,8 +122,8 @@ class Dedup:
         grouped = accepted.groupBy("fingerprint").agg(
             F.min_by(F.struct("receipt_seq", "external_id"), "receipt_seq").alias("first"),
             F.count(F.lit(1)).alias("accepted"),
-        )
-        fresh = grouped.join(self.events.rows(batch_id), "fingerprint", "left_anti")
+        ).persist()
+        fresh = grouped.join(self.events.touching(grouped, batch_id), "fingerprint", "left_anti")
         self.bindings.append(bound.filter("is_new").select("external_id", "bound_fingerprint"), batch_id)
         self.events.append(
             fresh.select("fingerprint", F.col("first.receipt_seq").alias("first_seq"), "first.external_id"),
@@ -129,8 +133,8 @@ class Dedup:
         self.conflicts.append(
             judged.filter(clash).select("receipt_seq", "external_id", "fingerprint"), batch_id
         )
-        judged.unpersist()
-        bound.unpersist()
+        for used in (grouped, judged, bound, here):
+            used.unpersist()
 
     def result(self) -> DataFrame:
         """Every event with its first receipt and number of later ones."""
@@ -166,6 +170,13 @@ def stream_validate(
     return to_files(findings.select(*validation.FINDING_COLUMNS), out, checkpoint, every)
 
 
+def _least_records(firsts: DataFrame) -> DataFrame:
+    """The first record of each value among those known at different times."""
+    return firsts.groupBy("v").agg(
+        F.min("first_record").alias("first_record"), F.min_by("first_value", "first_record").alias("first_value")
+    )
+
+
 class Uniqueness:
     """First record of every value seen so far in one column.
 
@@ -177,19 +188,13 @@ class Uniqueness:
 
     def __init__(self, spark: SparkSession, folder: str, column: str) -> None:
         self.column = column
-        self.firsts = BatchTable(
-            spark, f"{folder}/firsts", "v string, first_record bigint, first_value string"
+        self.firsts = KeyedTable(
+            spark, f"{folder}/firsts", "v string, first_record bigint, first_value string", "v", _least_records
         ).create()
         self.found = BatchTable(
             spark, f"{folder}/found", "row bigint, first_record bigint, value string, v string"
         ).create()
 
-    def _known(self, before: int | None = None) -> DataFrame:
-        return self.firsts.rows(before).groupBy("v").agg(
-            F.min("first_record").alias("known_first"),
-            F.min_by("first_value", "first_record").alias("known_value"),
-        )
-
     def batch(self, ds: DataFrame, batch_id: int) -> None:
         text = F.col(f"`{self.column}`").cast("string")
         cells = ds.select("record_no", stripped_or_blank(text).alias("v"), text.alias("value"))
@@ -198,8 +203,9 @@ class Uniqueness:
             F.min("record_no").alias("here_first"),
             F.min_by("value", "record_no").alias("here_value"),
             F.count(F.lit(1)).alias("uses"),
-        )
-        values = here.join(self._known(batch_id), "v", "left")
+        ).persist()
+        known = _least_records(self.firsts.touching(here, batch_id)).toDF("v", "known_first", "known_value")
+        values = here.join(known, "v", "left").persist()
         first = F.least("known_first", "here_first").alias("first_record")
         repeated = values.filter((F.col("uses") > 1) | F.col("known_first").isNotNull()).select("v", first, "uses")
         joined = join_per_key(cells, repeated, ["v"], "uses", "record_no")
@@ -217,12 +223,14 @@ class Uniqueness:
             later.select(F.col("record_no").alias("row"), "first_record", "value", "v").unionByName(replaced),
             batch_id,
         )
+        values.unpersist()
+        here.unpersist()
 
     def result(self) -> DataFrame:
         """Every repeat with the first record of its value: ``row, first_record, value``."""
         found = self.found.rows().drop("first_record")
         uses = found.groupBy("v").agg(F.count(F.lit(1)).alias("uses"))
-        firsts = uses.join(self._known(), "v").select("v", F.col("known_first").alias("first_record"), "uses")
+        firsts = uses.join(_least_records(self.firsts.rows()), "v").select("v", "first_record", "uses")
         return join_per_key(found, firsts, ["v"], "uses", "row").select("row", "first_record", "value")
 
 

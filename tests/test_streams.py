@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 from tabwarden.streaming import leases
 from tabwarden.streaming import streams as st
+from tabwarden.streaming.memory import KeyedTable
 
 START = datetime(2024, 1, 1)
 
@@ -48,6 +50,45 @@ def test_unique_names_first_record_across_batches(spark, tmp_path):
     assert sorted((r.row, r.first_record) for r in state.found.rows().collect()) == [(3, 2), (6, 2), (8, 5)]
 
 
+def test_batches_read_the_buckets_of_their_keys_only(spark, tmp_path):
+    """Over many batches and runs of runs: the rows read follow the batch, whatever was
+    kept before, and hold every row of the batch's keys."""
+    table = KeyedTable(spark, str(tmp_path / "t"), "k string, n long", "k", None, 2, 4, 64).create()
+    keys = lambda ids: spark.createDataFrame([(f"key {i}",) for i in ids], "k string")
+    read = []
+    for batch in range(9):
+        rows = spark.range(batch * 200, batch * 200 + 200).selectExpr("concat('key ', id % 1500) AS k", "id AS n")
+        some = [5, 1499 - batch]
+        found = table.touching(keys(some), batch)
+        got = {(r.k, r.n) for r in found.collect()}
+        read.append(found.count())
+        want = {(f"key {i % 1500}", i) for i in range(batch * 200) if i % 1500 in some}
+        assert want <= got and len(got) == read[-1]
+        for _ in range(2 if batch in (4, 8) else 1):
+            table.append(rows, batch)
+            table.touching(keys(some), batch)  # tried again
+    assert max(read) <= 3 * 200 and len(table._runs(8)) == 1 and len(table._runs(7)) == 3
+    assert table.rows().count() == 1800 and table.touching(keys([]), 9).count() == 0
+
+
+def test_long_stream_is_the_batch_result_with_merged_runs_and_late_firsts(spark, tmp_path):
+    """Ten small batches in no order, some tried again, against all rows at once."""
+    state = st.Uniqueness(spark, str(tmp_path / "u"), "v")
+    state.firsts = KeyedTable(spark, str(tmp_path / "firsts"), state.firsts.schema, "v", st._least_records, 2, 2, 8).create()
+    pick = random.Random(3)
+    rows = [(n, pick.choice("abcdefgh ") * pick.randint(1, 2)) for n in range(60)]
+    pick.shuffle(rows)
+    for batch in range(10):
+        part = spark.createDataFrame(rows[batch * 6 : batch * 6 + 6], "record_no bigint, v string")
+        for _ in range(1 + (batch in (4, 7, 8))):
+            state.batch(part, batch)
+    first = {}
+    for n, v in sorted(rows):
+        first.setdefault(v.strip(), n)
+    want = sorted((n, first[v.strip()]) for n, v in rows if v.strip() and first[v.strip()] < n)
+    assert sorted((r.row, r.first_record) for r in state.result().collect()) == want
+
+
 LOG = "id long, job_id string, attempt long, event string, at_time timestamp, budget_attempts int, max_attempts int"
 
 
