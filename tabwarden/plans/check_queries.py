@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwarden.functions.text import display_value, strip
+from tabwarden.operators import catalogs as k
 from tabwarden.operators import validation as v
 from tabwarden.plans.registry import query
 
@@ -90,9 +91,38 @@ TOTALS = f"""SELECT (SELECT count(*) FROM accounts) AS rows, count(*) AS issues,
 FROM ({EVERY}) AS every_finding"""
 
 
-@query("val_01_missing_column", MISSING)
+# Each customer is a dataset: the priorities of closed orders are the columns its rules
+# name, those of open orders its header.
+_RULED = "SELECT DISTINCT o_custkey AS dataset, o_orderpriority AS name FROM orders WHERE o_orderstatus <> 'O'"
+_HEADED = "SELECT DISTINCT o_custkey AS dataset, o_orderpriority AS name FROM orders WHERE o_orderstatus = 'O'"
+
+
+def header_catalogs(t):
+    rows = t["orders"].select(F.col("o_custkey").alias("dataset"), F.col("o_orderpriority").alias("column"), "o_orderstatus")
+    is_open = F.col("o_orderstatus") == "O"
+    return rows.filter(~is_open).drop("o_orderstatus"), rows.filter(is_open).drop("o_orderstatus")
+
+
+@query(
+    "val_01_missing_column",
+    f"""SELECT r.dataset, CAST(NULL AS BIGINT) AS "row", r.name AS "column", 'missing_column' AS code,
+  'Configured column is missing from the CSV header.' AS message, '' AS value
+FROM ({_RULED}) AS r LEFT JOIN ({_HEADED}) AS h ON h.dataset = r.dataset AND h.name = r.name WHERE h.dataset IS NULL""",
+)
 def _(t):
-    return v.missing_column(t["accounts"], "account_id", "phone")
+    """Rule catalogs of all datasets against their headers."""
+    return k.missing_columns(*header_catalogs(t))
+
+
+@query(
+    "val_01_header_coverage",
+    f"""SELECT dataset, count(*) AS configured, count(*) FILTER (NOT present) AS missing, bool_and(present) AS complete
+FROM (SELECT r.dataset, EXISTS (SELECT 1 FROM ({_HEADED}) AS h WHERE h.dataset = r.dataset AND h.name = r.name) AS present
+  FROM ({_RULED}) AS r) AS marked GROUP BY dataset""",
+)
+def _(t):
+    """Which datasets have every column their rules name."""
+    return k.header_coverage(*header_catalogs(t))
 
 
 @query("val_02_required", REQUIRED_ID)
@@ -100,35 +130,28 @@ def _(t):
     return v.required(t["accounts"], "account_id")
 
 
+_OPTIONAL = "\nUNION ALL\n".join(
+    sql.replace("FROM accounts", "FROM blanked_accounts")
+    for sql in (UNIQUE, EMAIL, NUMBER, MIN, MAX, INTEGER, MAX_REGION, ALLOWED, DATE)
+)
+
+
 @query(
     "val_03_blank_skip",
-    f"""SELECT count(*) AS cells, count(*) FILTER (trim(email) = '') AS blank_cells,
-  count(*) FILTER (trim(email) <> '' AND NOT {_EMAIL}) AS type_findings,
-  CAST(0 AS BIGINT) AS findings_on_blanks FROM accounts""",
+    f"""SELECT "column", code, count(*) AS findings, count(*) FILTER (trim(value) = '') AS findings_on_blanks
+FROM ({_OPTIONAL}) AS found GROUP BY "column", code""",
 )
 def _(t):
-    """Blank optional cells add no finding of any other check."""
-    accounts = t["accounts"]
-    rules = {
-        "version": 1,
-        "columns": {"email": {"type": "email", "unique": False, "allowed": None}},
+    """Accounts with blanks in every column, under every check that skips blanks."""
+    columns = {
+        name: {check: value for check, value in rule.items() if check != "required"}
+        for name, rule in ACCOUNT_RULES["columns"].items()
+        if name != "phone"
     }
-    del rules["columns"]["email"]["allowed"]
-    found = v.all_findings(accounts, rules).agg(
-        F.count_if(F.col("code") == "type").alias("type_findings"),
-        F.count_if(F.trim("value") == "").alias("findings_on_blanks"),
+    found = v.all_findings(t["blanked_accounts"], {"version": 1, "columns": columns})
+    return found.groupBy("column", "code").agg(
+        F.count(F.lit(1)).alias("findings"), F.count_if(F.trim("value") == "").alias("findings_on_blanks")
     )
-    cells = accounts.agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.count_if(F.trim("email") == "").alias("blank_cells"),
-    )
-    zero = F.lit(0).cast("bigint")
-    names = ("cells", "blank_cells", "type_findings", "findings_on_blanks")
-    wide = [
-        part.select(*[F.col(n) if n in part.columns else zero.alias(n) for n in names])
-        for part in (cells, found)
-    ]
-    return wide[0].unionByName(wide[1]).agg(*[F.sum(n).alias(n) for n in names])
 
 
 @query("val_04_type_integer", INTEGER)

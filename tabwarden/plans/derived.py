@@ -101,6 +101,16 @@ SELECT CAST(c_custkey + 2 AS BIGINT) AS record_no,
 FROM customer
 """
 
+# Accounts with blanks of two forms in every column.
+TEXTS["blanked_accounts"] = """
+SELECT record_no, account_id, CASE WHEN record_no % 7 = 0 THEN ' ' ELSE email END AS email,
+  CASE record_no % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE balance END AS balance,
+  CASE record_no % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE region_code END AS region_code,
+  CASE record_no % 6 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE segment END AS segment,
+  CASE record_no % 3 WHEN 0 THEN ' ' ELSE joined END AS joined
+FROM accounts
+"""
+
 TEXTS["texts"] = """
 SELECT CAST(doc_id + 2 AS BIGINT) AS record_no, text, lang, source FROM documents
 """

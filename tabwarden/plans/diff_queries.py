@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabwarden.operators import catalogs as k
 from tabwarden.operators import comparison as c
+from tabwarden.plans.check_queries import header_catalogs
 from tabwarden.plans.registry import query
 
 SHARED = ("customer", "placed", "status", "total")
@@ -50,24 +52,35 @@ def _joined_names(df):
     return df.withColumn("fields", F.array_join("fields", "|"))
 
 
+# Each customer is a comparison: the priorities of closed orders are the columns before,
+# those of open orders the columns after, the highest of all priorities is the key.
+_OLD, _NEW = (
+    f"SELECT DISTINCT o_custkey AS dataset, o_orderpriority AS name FROM orders WHERE o_orderstatus {test} 'O'"
+    for test in ("<>", "=")
+)
+_KEYS = """SELECT o_custkey AS dataset, CASE WHEN o_custkey % 7 = 0 THEN ' ' ELSE max(o_orderpriority) END AS "key"
+  FROM orders GROUP BY o_custkey"""
+
+
 @query(
     "cmp_01_key_missing",
-    """SELECT 'order_id' AS key, CAST(0 AS BIGINT) AS violations, count(*) AS rows FROM before_orders
-UNION ALL SELECT 'priority' AS key, CAST(1 AS BIGINT) AS violations, count(*) AS rows FROM before_orders
-UNION ALL SELECT 'none' AS key, CAST(2 AS BIGINT) AS violations, count(*) AS rows FROM before_orders""",
+    "\nUNION ALL\n".join(
+        [
+            f"SELECT dataset, \"key\", '' AS side, 'blank_key' AS problem FROM ({_KEYS}) AS k WHERE trim(\"key\") = ''",
+            *[
+                f"""SELECT dataset, "key", '{side}' AS side, 'missing_key' AS problem FROM ({_KEYS}) AS k_{side}
+WHERE trim("key") <> '' AND (dataset, "key") NOT IN (SELECT (dataset, name) FROM ({names}) AS h_{side})"""
+                for side, names in (("before", _OLD), ("after", _NEW))
+            ],
+        ]
+    ),
 )
 def _(t):
-    before, after = _pair(t)
-    rows = before.agg(F.count(F.lit(1)).alias("rows"))
-    frames = [
-        rows.select(
-            F.lit(key).alias("key"),
-            F.lit(len(c.key_missing(before, after, key))).cast("bigint").alias("violations"),
-            "rows",
-        )
-        for key in ("order_id", "priority", "none")
-    ]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    """The keys of all comparisons against the headers of both sides."""
+    largest = F.max("o_orderpriority")
+    named = t["orders"].groupBy(F.col("o_custkey").alias("dataset")).agg(largest.alias("key"))
+    keys = named.withColumn("key", F.when(F.col("dataset") % 7 == 0, F.lit(" ")).otherwise(F.col("key")))
+    return k.key_contracts(keys, *header_catalogs(t))
 
 
 @query(
@@ -100,16 +113,14 @@ def _(t):
 
 @query(
     "cmp_04_schema_diff",
-    """SELECT 'added' AS change, 'warehouse' AS "column", count(*) AS rows FROM after_orders
-UNION ALL SELECT 'removed' AS change, 'priority' AS "column", count(*) AS rows FROM before_orders""",
+    f"""SELECT coalesce(b.dataset, a.dataset) AS dataset, coalesce(b.name, a.name) AS "column",
+  CASE WHEN b.dataset IS NULL THEN 'added' ELSE 'removed' END AS change
+FROM ({_OLD}) AS b FULL OUTER JOIN ({_NEW}) AS a ON a.dataset = b.dataset AND a.name = b.name
+WHERE a.dataset IS NULL OR b.dataset IS NULL""",
 )
 def _(t):
-    before, after = _pair(t)
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).withColumn("change", F.lit(name))
-        for df, name in ((after, "added"), (before, "removed"))
-    ]
-    return c.schema_diff(before, after).join(counts[0].unionByName(counts[1]), "change")
+    """Columns that only one snapshot of a customer has."""
+    return c.schema_diff_catalog(*header_catalogs(t))
 
 
 @query(
