@@ -7,6 +7,7 @@ and that cut is pushed below the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,9 @@ MAX_FINDINGS = 20
 MAX_ITEMS = 20
 MAX_CHARACTERS = 500
 CUT_MARK = "… [truncated]"
+MAX_DEPTH = 5
+DEEP_OBJECT = "[nested object omitted]"
+DEEP_LIST = "[nested list omitted]"
 
 _QUALITY_ORDER = ("row", "col_idx", "code_idx")
 _JSON = {"ignoreNullFields": "false"}
@@ -80,6 +84,66 @@ def map_is_cut(values: Column) -> Column:
     )
 
 
+def _quoted(text: Column) -> Column:
+    """A text as JSON."""
+    return F.to_json(text.cast("variant"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all that ``use`` does with it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cell(shown: Column, trimmed: Column) -> Column:
+    return F.struct(shown.alias("shown"), trimmed.alias("trimmed"))
+
+
+def _bounded_level(value: Column, depth: int) -> Column:
+    kind = F.schema_of_variant(value)
+    is_object, is_list = kind.startswith("OBJECT"), kind.startswith("ARRAY")
+    text = value.try_cast("string")
+    text_cell = _cell(_quoted(bounded_text(text)), text_is_cut(text))
+    plain = F.when(kind == "STRING", text_cell).otherwise(_cell(F.coalesce(F.to_json(value), F.lit("null")), F.lit(False)))
+    if depth >= MAX_DEPTH:
+        marker = F.when(is_object, F.lit(f'"{DEEP_OBJECT}"')).otherwise(F.lit(f'"{DEEP_LIST}"'))
+        return F.when(is_object | is_list, _cell(marker, F.lit(True))).otherwise(plain)
+    entry = "array<struct<key:string,value:variant>>"
+    fields = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")).cast(entry)
+    items = F.transform(
+        F.try_variant_get(value, "$", "array<variant>"),
+        lambda item: F.struct(F.lit(None).cast("string").alias("key"), item.alias("value")),
+    ).cast(entry)
+
+    def joined(size: Column, kept: Column) -> Column:
+        pairs = F.transform(kept, lambda c: F.concat(_quoted(c["key"]), F.lit(":"), c["cell"]["shown"]))
+        object_text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+        list_text = F.concat(F.lit("["), F.array_join(F.transform(kept, lambda c: c["cell"]["shown"]), ","), F.lit("]"))
+        cut = (size > MAX_ITEMS) | F.exists(kept, lambda c: c["cell"]["trimmed"])
+        return _cell(F.when(is_object, object_text).otherwise(list_text), cut)
+
+    def bounded(entries: Column) -> Column:
+        kept = F.transform(
+            F.slice(entries, 1, MAX_ITEMS),
+            lambda e: F.struct(e["key"].alias("key"), _bounded_level(e["value"], depth + 1).alias("cell")),
+        )
+        return _let(kept, lambda cells: joined(F.size(entries), cells))
+
+    nested = _let(F.when(is_object, fields).otherwise(items), bounded)
+    return F.when(is_object | is_list, nested).otherwise(plain)
+
+
+def bounded_json(value: Column) -> Column:
+    """Struct ``(shown, trimmed)``: a nested VARIANT as JSON of bounded depth and size.
+
+    Level by level, objects and lists keep their first ``MAX_ITEMS`` items, texts
+    their first ``MAX_CHARACTERS`` characters, and what is nested ``MAX_DEPTH`` deep is
+    replaced by a marker. Names are kept whole. Items of an object are taken in order
+    of their names, as a variant keeps no other. A missing value is shown as null.
+    """
+    none = _cell(F.lit("null"), F.lit(False))
+    return F.when(value.isNull(), none).otherwise(_let(value, lambda v: _bounded_level(v, 0)))
+
+
 # --- entries -------------------------------------------------------------------
 
 

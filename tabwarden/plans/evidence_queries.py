@@ -109,49 +109,133 @@ def _(t):
     )
 
 
+# Documents inside objects of one list each, up to three deep, every other one inside
+# one more list; a third of them as the list of their words.
+_WORDS = "list_transform(string_split(text, ' ')[1:20], lambda w: CASE WHEN length(w) > 500 THEN concat(left(w, 500), '… [truncated]') ELSE w END)"
+
+
+@query(
+    "evd_03_bounded_json",
+    f"""SELECT doc_id, CASE
+  WHEN deep = 3 AND outer_list THEN '[{{"in":[{{"in":["[nested object omitted]"]}}]}}]'
+  WHEN deep = 3 THEN '{{"in":[{{"in":[{{"in":"[nested list omitted]"}}]}}]}}'
+  ELSE concat(CASE WHEN outer_list THEN '[' ELSE '' END, repeat('{{"in":[', deep),
+    CASE WHEN words AND deep = 2 AND outer_list THEN '"[nested list omitted]"'
+      WHEN words THEN CAST(to_json({_WORDS}) AS VARCHAR)
+      ELSE CAST(to_json(CASE WHEN length(text) > 500 THEN concat(left(text, 500), '… [truncated]') ELSE text END) AS VARCHAR) END,
+    repeat(']}}', deep), CASE WHEN outer_list THEN ']' ELSE '' END) END AS shown,
+  deep = 3 OR (words AND (deep = 2 AND outer_list OR len(string_split(text, ' ')) > 20
+    OR list_max(list_transform(string_split(text, ' ')[1:20], lambda w: length(w))) > 500))
+  OR (NOT words AND length(text) > 500) AS trimmed
+FROM (SELECT doc_id, coalesce(text, '') AS text, doc_id // 6 % 4 AS deep, doc_id % 2 = 1 AS outer_list, doc_id % 3 = 0 AS words
+  FROM documents) AS shaped""",
+)
+def _(t):
+    """Whole texts nested up to seven levels deep."""
+    text = F.coalesce("text", F.lit(""))
+    deep, outer = F.expr("CAST((doc_id div 6) % 4 AS INT)"), F.col("doc_id") % 2 == 1
+    inner = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.split(text, " "))).otherwise(F.to_json(text.cast("variant")))
+    nested = F.concat(
+        F.when(outer, "[").otherwise(""), F.repeat(F.lit('{"in":['), deep), inner,
+        F.repeat(F.lit("]}"), deep), F.when(outer, "]").otherwise(""),
+    )
+    documents = t["documents"].select("doc_id", nested.alias("nested"))
+    return documents.select("doc_id", F.inline(F.array(e.bounded_json(F.parse_json("nested")))))
+
+
+PARTS = [f"part_{place:02d}" for place in range(20)]
+
+
 def document_runs(t) -> e.RunResults:
-    """Runs of long entries: the documents of one source, each text cut into
-    twenty fields, as added records."""
-    columns = [f"part_{place:02d}" for place in range(20)]
+    """Runs of long entries: the documents of one source. Those not in English are
+    findings, their languages are added columns, and every text, cut into twenty
+    fields, is an added record."""
+    source = F.col("source").alias("run_id")
     size = F.ceil(F.length("text") / 20).cast("int")
-    pieces = [
-        F.substring("text", F.lit(place) * size + 1, size).alias(name)
-        for place, name in enumerate(columns)
-    ]
-    documents = t["documents"].select(F.col("source").alias("run_id"), F.col("doc_id").cast("string").alias("key"), *pieces)
-    names = F.array(*[F.lit(name) for name in columns])
-    changes = documents.select(
-        "run_id",
-        F.lit("added").alias("kind"),
-        "key",
-        F.lit(None).cast("map<string,string>").alias("before"),
-        F.map_from_arrays(names, F.array(*columns)).alias("after"),
-        names.alias("fields"),
-    )
-    zero = F.lit(0).cast("bigint")
-    totals = documents.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    base = run_results(t)
+    pieces = [F.substring("text", F.lit(place) * size + 1, size).alias(name) for place, name in enumerate(PARTS)]
+    documents = t["documents"].select(source, F.col("doc_id").cast("string").alias("key"), *pieces)
+    names = F.array(*[F.lit(name) for name in PARTS])
+    foreign = t["documents"].filter(F.col("lang") != "en")
+    none, cap = F.lit(0).cast("bigint"), F.lit(500).cast("bigint")
+    marked = F.count_if(F.coalesce(F.col("lang") != "en", F.lit(False)))
+    totals = t["documents"].groupBy(source).agg(F.count(F.lit(1)).alias("n"), marked.alias("marked"))
     return e.RunResults(
-        quality=base.quality.filter(F.lit(False)),
+        quality=foreign.select(
+            source, F.col("doc_id").alias("row"), F.lit("text").alias("column"), F.lit("type").alias("code"),
+            F.lit("Expected a valid English value.").alias("message"), F.col("text").alias("value"),
+            F.lit(0).alias("col_idx"), F.lit(2).alias("code_idx"),
+        ),
         quality_summary=totals.select(
-            "run_id", zero.alias("rows"), zero.alias("issues"), zero.alias("affected_rows"),
-            zero.alias("reported_findings"), F.lit("pass").alias("status"),
+            "run_id", F.col("n").alias("rows"), F.col("marked").alias("issues"), F.col("marked").alias("affected_rows"),
+            F.least("marked", cap).alias("reported_findings"), F.lit("fail").alias("status"),
+        ),
+        changes=documents.select(
+            "run_id", F.lit("added").alias("kind"), "key", F.lit(None).cast("map<string,string>").alias("before"),
+            F.map_from_arrays(names, F.array(*PARTS)).alias("after"), names.alias("fields"),
         ),
-        changes=changes,
         change_summary=totals.select(
-            "run_id", zero.alias("before_rows"), F.col("n").alias("after_rows"), F.col("n").alias("added"),
-            zero.alias("removed"), zero.alias("changed"), zero.alias("unchanged"), F.col("n").alias("total_changes"),
-            F.least("n", F.lit(500).cast("bigint")).alias("reported_findings"),
+            "run_id", none.alias("before_rows"), F.col("n").alias("after_rows"), F.col("n").alias("added"),
+            none.alias("removed"), none.alias("changed"), none.alias("unchanged"), F.col("n").alias("total_changes"),
+            F.least("n", cap).alias("reported_findings"),
         ),
-        schema=base.schema.filter(F.lit(False)),
+        schema=foreign.select(source, F.lit("added").alias("change"), F.col("lang").alias("column")).distinct(),
     )
 
 
-@query("evd_04_evidence_budget")
+def _shown(text: str) -> str:
+    cut = f"CASE WHEN length({text}) > 500 THEN concat(left({text}, 500), '… [truncated]') ELSE {text} END"
+    return f"coalesce(CAST(to_json({cut}) AS VARCHAR), 'null')"
+
+
+_SIZE = "CAST(ceil(length(text) / 20) AS BIGINT)"
+_AFTER_PARTS = ", ',', ".join(
+    f"'\"{name}\":', {_shown(f'substring(text, {place} * {_SIZE} + 1, {_SIZE})')}" for place, name in enumerate(PARTS)
+)
+_FIELD_NAMES = ",".join(f'"{name}"' for name in PARTS)
+DOCUMENT_ENTRIES = f"""SELECT source AS run_id, n AS place, 'quality' AS kind, concat('V', n) AS id,
+  concat('{{"row":', doc_id, ',"column":"text","code":"type","message":"Expected a valid English value.","value":',
+    {_shown("text")}, ',"id":"V', n, '"}}') AS payload
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE lang <> 'en') AS f WHERE n <= 20
+UNION ALL SELECT source, CAST(21 AS BIGINT), 'schema', 'C1', concat('{{"id":"C1","kind":"schema","added":["',
+  string_agg(DISTINCT lang, '","' ORDER BY lang), '"],"removed":[]}}') FROM documents WHERE lang <> 'en' GROUP BY source
+UNION ALL SELECT source, n + 21, 'change', concat('C', n + shift), concat('{{"kind":"added","key":"', doc_id,
+  '","before":null,"after":{{', {_AFTER_PARTS}, '}},"fields":[{_FIELD_NAMES}],"id":"C', n + shift, '"}}')
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR)) AS n,
+  CAST(bool_or(lang <> 'en') OVER (PARTITION BY source) AS BIGINT) AS shift FROM documents) AS d WHERE n <= 20"""
+# The document without entries: totals of both checks and the bounds it states.
+_FRAME = """concat('{"quality_summary":{"rows":', n, ',"issues":', marked, ',"affected_rows":', marked,
+  ',"reported_findings":', least(marked, 500), '},"change_summary":{"before_rows":0,"after_rows":', n, ',"added":', n,
+  ',"removed":0,"changed":0,"unchanged":0,"total_changes":', n, ',"reported_findings":', least(n, 500),
+  '},"evidence":[],"truncation":{"applied":false,"max_findings_per_source":20,"max_string_characters":500,',
+  '"max_collection_items":20,"max_evidence_bytes":65536,"quality_available_findings":', least(marked, 500),
+  ',"quality_included_findings":0,"change_available_findings":', least(n, 500),
+  ',"change_included_findings":0,"schema_evidence_included":false}}')"""
+
+
+@query(
+    "evd_04_evidence_budget",
+    f"""SELECT run_id, place, id, size FROM (WITH RECURSIVE
+entries AS MATERIALIZED (SELECT run_id, place, kind, id, strlen(payload) AS size,
+  row_number() OVER (PARTITION BY run_id ORDER BY place) AS step FROM ({DOCUMENT_ENTRIES}) AS candidates),
+totals AS (SELECT source AS run_id, count(*) AS n, count(*) FILTER (lang <> 'en') AS marked FROM documents GROUP BY source),
+walk AS (
+  SELECT run_id, CAST(0 AS BIGINT) AS step, CAST(strlen({_FRAME}) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS quality,
+    CAST(0 AS BIGINT) AS change, CAST(0 AS BIGINT) AS schema, false AS fits FROM totals
+  UNION ALL SELECT run_id, step, CASE WHEN fits THEN grown ELSE bytes END,
+    quality + CAST(fits AND kind = 'quality' AS BIGINT), change + CAST(fits AND kind = 'change' AS BIGINT),
+    schema + CAST(fits AND kind = 'schema' AS BIGINT), fits
+  FROM (SELECT *, grown + CAST(quality > 9 AS BIGINT) + CAST(change > 9 AS BIGINT) - schema <= 65536 - 256 AS fits
+    FROM (SELECT w.run_id, e.step, e.kind, w.bytes, w.quality, w.change, w.schema,
+        w.bytes + e.size + CAST(w.quality + w.change + w.schema > 0 AS BIGINT) AS grown
+      FROM walk AS w JOIN entries AS e ON e.run_id = w.run_id AND e.step = w.step + 1) AS offered) AS tried)
+SELECT e.run_id, e.place, e.id, e.size FROM walk AS w JOIN entries AS e ON e.run_id = w.run_id AND e.step = w.step
+WHERE w.fits) AS kept""",
+)
 def _(t):
-    """Greedy and order-dependent, so checked by brute force in the tests."""
+    """Entries of document runs are long: many do not fit, later ones may."""
     kept = e.evidence_budget(document_runs(t))
-    return kept.select("run_id", F.col("place").cast("bigint").alias("place"), "id", F.octet_length("payload").alias("size"))
+    size = F.octet_length("payload").cast("bigint").alias("size")
+    return kept.select("run_id", F.col("place").cast("bigint").alias("place"), "id", size)
 
 
 @query(
