@@ -7,7 +7,9 @@ histories stay in long form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwarden.functions.hotkeys import Running, join_per_key, neighbour, running
@@ -22,6 +24,20 @@ PLAN = {
     "briefing_agent": ("verifier",),
 }
 
+# The plan as run documents show it, the tasks whose results they hold,
+# and what they tell of a run's event and job.
+DOCUMENT_PLAN = {
+    **{task: list(needed) for task, needed in PLAN.items()},
+    "approval_gate": ["briefing_agent"],
+    "revision_agent": ["approval_gate:rejected"],
+}
+RESULT_TASKS = ("quality_agent", "change_agent", "briefing_agent")
+INGESTION_FIELDS = ("id", "event_id", "event_type", "manifest_path", "fingerprint", "status")
+QUEUE_FIELDS = ("id", "status", "attempts", "budget_attempts", "max_attempts", "replay_count", "last_error")
+
+#: Approvals that a run document lists; a run of the usual limits has four at most.
+MAX_LISTED_APPROVALS = 100
+
 # Failures that may be tried again, and the usual limits.
 RETRYABLE_ERRORS = (
     "BrokenPipeError",
@@ -303,48 +319,112 @@ def run_stats(tasks: DataFrame) -> DataFrame:
     )
 
 
-def run_document(runs: DataFrame, tasks: DataFrame, approvals: DataFrame) -> DataFrame:
-    """One JSON document per run: its state, its tasks and its approval state.
+def _fragment(fields: Column) -> Column:
+    """The members of a JSON object, without its braces."""
+    text = F.to_json(fields, {"ignoreNullFields": "false"})
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
-    Tasks are as many as the plan has; the event log stays in the timeline.
-    """
-    entry = F.struct(
-        F.coalesce(F.nullif(_plan_position(F.col("task_id")), F.lit(0)), F.lit(99)).alias("place"),
-        F.col("task_id").alias("id"),
-        "status",
-        "attempts",
-        "error",
-    )
-    listed = tasks.groupBy("run_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    listed = listed.select(
-        "run_id",
-        F.transform(
-            "entries",
-            lambda e: F.struct(
-                e["id"].alias("id"),
-                e["status"].alias("status"),
-                e["attempts"].alias("attempts"),
-                e["error"].alias("error"),
-            ),
-        ).alias("tasks"),
-    )
-    state = approval_state(approvals).select(
-        "run_id",
-        F.col("iteration").alias("approval_iteration"),
-        F.col("pending_id").alias("active_approval_id"),
-        F.col("rejected").alias("rejected_revisions"),
-    )
-    joined = runs.join(listed, "run_id", "left").join(state, "run_id", "left")
-    document = F.to_json(
-        F.struct(
-            "run_id",
-            "status",
-            "failure_reason",
-            "tasks",
-            F.coalesce("approval_iteration", F.lit(0).cast("bigint")).alias("approval_iteration"),
-            "active_approval_id",
-            F.coalesce("rejected_revisions", F.lit(0).cast("bigint")).alias("rejected_revisions"),
-        ),
-        {"ignoreNullFields": "false"},
+
+def _section(df: DataFrame, name: str, place: Column, body: Column) -> DataFrame:
+    return df.select("run_id", F.lit(name).alias("section"), place.cast("bigint").alias("place"), body.alias("body"))
+
+
+def _parsed(text: Column) -> Column:
+    """Stored JSON, or NULL where it is none."""
+    return F.try_parse_json(text)
+
+
+def _run_sections(runs: DataFrame) -> DataFrame:
+    address = F.coalesce(F.get_json_object("config_json", "$.llm_url"), F.lit(""))
+    mode = F.when(address != "", "model").otherwise("local")
+    head = F.struct("run_id", "status", "failure_reason", mode.alias("mode"))
+    return _section(runs, "run", F.lit(0), _fragment(head))
+
+
+def _task_sections(tasks: DataFrame) -> DataFrame:
+    """The tasks in order of the plan, then any others; and the results of checks."""
+    known = _plan_position(F.col("task_id"))
+    entry = F.struct(F.col("task_id").alias("id"), "status", "attempts", "error")
+    place = F.when(known > 0, known).otherwise(len(PLAN) + 1)
+    listed = _section(tasks, "task", place, F.to_json(entry, {"ignoreNullFields": "false"}))
+    result = _parsed(F.col("output_json"))
+    ended = tasks.filter((F.col("status") == "succeeded") & F.col("task_id").isin(*RESULT_TASKS))
+    outputs = ended.select("run_id", "task_id", known.alias("known"), result.alias("result")).filter("result is not null")
+    body = F.concat(F.lit('"'), F.col("task_id"), F.lit('":'), F.to_json("result"))
+    return listed.unionByName(_section(outputs, "result", F.col("known"), body))
+
+
+def _approval_sections(approvals: DataFrame) -> DataFrame:
+    """The first approvals of each run, the state of all of them, and the latest
+    briefing, which stands for the result of its task."""
+    order = Window.partitionBy("run_id").orderBy("iteration", "id")
+    first = approvals.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_LISTED_APPROVALS)
+    briefing = _parsed(F.col("briefing_json")).alias("briefing")
+    entry = F.struct("id", "iteration", "status", "decision", "comment", "decided_at", briefing)
+    listed = _section(first, "approval", F.col("n"), F.to_json(entry, {"ignoreNullFields": "false"}))
+    state = approvals.groupBy("run_id").agg(
+        F.max("iteration").alias("approval_iteration"),
+        F.min(F.when(F.col("status") == "pending", F.col("id"))).alias("active_approval_id"),
+        F.count_if(F.col("status") == "rejected").alias("rejected_revisions"),
+        F.count(F.lit(1)).alias("approval_count"),
+        F.max_by("briefing_json", "iteration").alias("latest"),
     )
-    return joined.select("run_id", document.alias("document"))
+    numbers = F.struct("approval_iteration", "active_approval_id", "rejected_revisions", "approval_count")
+    latest = state.select("run_id", _parsed(F.col("latest")).alias("latest")).filter("latest is not null")
+    body = F.concat(F.lit('"briefing_agent":'), F.to_json("latest"))
+    return (
+        listed.unionByName(_section(state, "state", F.lit(0), _fragment(numbers)))
+        .unionByName(_section(latest, "latest", F.lit(0), body))
+    )
+
+
+def _linked_section(df: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
+    linked = df.select(F.col("workflow_run_id").alias("run_id"), *fields).filter("run_id is not null")
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return _section(linked, name, F.lit(0), body)
+
+
+def run_document(
+    runs: DataFrame, tasks: DataFrame, approvals: DataFrame, events: DataFrame, jobs: DataFrame
+) -> DataFrame:
+    """One JSON document per run: state, mode, plan, tasks, results, approvals, and
+    the event and the job it came from.
+
+    The sections of all runs are rows of one union and meet in one grouping. Each is
+    bounded: a run has the tasks of the plan, one event and one job (the least by text
+    if there are more), and its first ``MAX_LISTED_APPROVALS`` approvals are listed;
+    ``approval_count`` tells how many there are, and the histories of approvals and
+    events stay whole in ``approval_history`` and ``run_timeline``. The latest
+    briefing stands for the result of its task. What is no JSON is left out.
+    """
+    parts = _run_sections(runs)
+    for more in (
+        _task_sections(tasks),
+        _approval_sections(approvals),
+        _linked_section(events, "ingestion", INGESTION_FIELDS),
+        _linked_section(jobs, "queue", QUEUE_FIELDS),
+    ):
+        parts = parts.unionByName(more)
+
+    def only(name: str) -> Column:
+        return F.min(F.when(F.col("section") == name, F.col("body"))).alias(name)
+
+    def listed(*names: str) -> Column:
+        entry = F.when(F.col("section").isin(*names), F.struct("place", "body"))
+        bodies = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["body"])
+        return F.array_join(bodies, ",").alias(f"{names[0]}s")
+
+    own_briefing = (F.col("section") == "result") & (F.col("place") == list(PLAN).index("briefing_agent") + 1)
+    grouped = parts.withColumn("section", F.when(own_briefing, "briefing").otherwise(F.col("section"))).groupBy("run_id").agg(
+        only("run"), only("state"), only("latest"), only("briefing"), only("ingestion"), only("queue"),
+        listed("task"), listed("result"), listed("approval"),
+    )
+    none = '"approval_iteration":0,"active_approval_id":null,"rejected_revisions":0,"approval_count":0'
+    results = F.concat_ws(",", F.nullif("results", F.lit("")), F.coalesce("latest", "briefing"))
+    document = F.concat(
+        F.lit("{"), F.col("run"), F.lit(f',"plan":{json.dumps(DOCUMENT_PLAN, separators=(",", ":"))},"tasks":['),
+        F.col("tasks"), F.lit('],"results":{'), results, F.lit('},"approvals":['), F.col("approvals"), F.lit("],"),
+        F.coalesce("state", F.lit(none)), F.lit(',"ingestion":'), F.coalesce("ingestion", F.lit("null")),
+        F.lit(',"queue":'), F.coalesce("queue", F.lit("null")), F.lit("}"),
+    )
+    return grouped.filter("run is not null").select("run_id", document.alias("document"))

@@ -373,6 +373,36 @@ FROM (SELECT *, CASE WHEN role = 'system' OR (role = 'user' AND length(text) % 5
   FROM conversations) AS kinds
 """
 
+# Heads of runs, one per customer, with the event and the job each came from; some
+# runs have no event or no job.
+TEXTS["run_heads"] = """
+SELECT CAST(c_custkey AS STRING) AS run_id, CASE WHEN c_nationkey % 3 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+  CASE WHEN c_nationkey % 3 = 0 THEN concat('failed "', c_mktsegment, '"') END AS failure_reason,
+  CASE WHEN c_nationkey % 4 = 0 THEN '{"llm_url":"local:8080"}' WHEN c_nationkey % 4 = 1 THEN '{"llm_url":""}'
+    ELSE '{"llm_url":null}' END AS config_json
+FROM customer
+"""
+
+TEXTS["head_events"] = """
+SELECT concat('evt_', CAST(c_custkey AS STRING)) AS id, c_name AS event_id, 'csv.ready' AS event_type,
+  concat('inbox/', c_mktsegment, '.json') AS manifest_path, @sha(c_name) AS fingerprint, 'WORKFLOW_CREATED' AS status,
+  CASE WHEN c_nationkey % 7 > 0 THEN CAST(c_custkey AS STRING) END AS workflow_run_id
+FROM customer
+"""
+
+TEXTS["head_jobs"] = """
+SELECT concat('job_', CAST(c_custkey AS STRING)) AS id, CASE WHEN c_acctbal < 0 THEN 'DEAD_LETTER' ELSE 'SUCCEEDED' END AS status,
+  c_custkey % 5 AS attempts, c_custkey % 4 AS budget_attempts, 1 + c_custkey % 10 AS max_attempts, c_custkey % 2 AS replay_count,
+  CASE WHEN c_acctbal < 0 THEN c_mktsegment END AS last_error,
+  CASE WHEN c_nationkey % 5 > 0 THEN CAST(c_custkey AS STRING) END AS workflow_run_id
+FROM customer
+"""
+
+TEXTS["briefed_approvals"] = """
+SELECT *, CASE WHEN iteration % 5 = 4 THEN 'no json' ELSE concat('{"summary":"version ', CAST(iteration AS STRING), '"}')
+  END AS briefing_json FROM approval_rows
+"""
+
 TEXTS["run_configs"] = """
 SELECT CAST(c_custkey AS STRING) AS run_id, CASE WHEN c_nationkey % 5 = 0 THEN '{"key":"order_id"}'
   ELSE concat('{"key":"order_id","max_human_revisions":', CAST(1 + c_nationkey % 4 AS STRING), '}') END AS config_json

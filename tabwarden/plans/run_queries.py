@@ -184,19 +184,48 @@ def _(t):
     return r.run_stats(t["task_rows"])
 
 
+def _quoted(name: str) -> str:
+    return f"coalesce(CAST(to_json({name}) AS VARCHAR), 'null')"
+
+
+def _object(*fields: str) -> str:
+    parts = ", ',', ".join(f"'\"{name.split('.')[-1]}\":', {_quoted(name)}" for name in fields)
+    return f"concat('{{', {parts}, '}}')"
+
+
+_BRIEFING = "CASE WHEN json_valid(briefing_json) THEN briefing_json ELSE 'null' END"
+_PLAN = (
+    '{"planner":[],"quality_agent":["planner"],"change_agent":["planner"],"verifier":["quality_agent","change_agent"],'
+    '"briefing_agent":["verifier"],"approval_gate":["briefing_agent"],"revision_agent":["approval_gate:rejected"]}'
+)
+
+
 @query(
     "run_15_run_document",
-    f"""SELECT r.run_id, concat('{{"run_id":"', r.run_id, '","status":"', r.status, '","failure_reason":',
-  coalesce('"' || r.failure_reason || '"', 'null'), ',"tasks":[', r.tasks, '],"approval_iteration":',
-  CAST(coalesce(s.iteration, 0) AS VARCHAR), ',"active_approval_id":', coalesce('"' || s.pending_id || '"', 'null'),
-  ',"rejected_revisions":', CAST(coalesce(s.rejected, 0) AS VARCHAR), '}}') AS document
-FROM (SELECT run_id, CASE WHEN bool_and(status = 'succeeded') THEN 'SUCCEEDED' ELSE 'FAILED' END AS status,
-  CASE WHEN NOT bool_and(status = 'succeeded') THEN coalesce(string_agg(error, '; ' ORDER BY {ORDERED})
-    FILTER (status = 'failed'), '') END AS failure_reason,
-  string_agg(concat('{{"id":"', task_id, '","status":"', status, '","attempts":', CAST(attempts AS VARCHAR),
-    ',"error":"', error, '"}}'), ',' ORDER BY {ORDERED}) AS tasks FROM task_rows GROUP BY run_id) AS r
-LEFT JOIN ({STATE}) AS s ON s.run_id = r.run_id""",
+    f"""SELECT h.run_id, concat('{{"run_id":"', h.run_id, '","status":"', h.status, '","failure_reason":', {_quoted("h.failure_reason")},
+  ',"mode":"', CASE WHEN coalesce(json_extract_string(h.config_json, '$.llm_url'), '') <> '' THEN 'model' ELSE 'local' END,
+  '","plan":{_PLAN},"tasks":[', coalesce(t.tasks, ''), '],"results":{{', concat_ws(',', t.results, coalesce(a.latest, t.briefing)),
+  '}},"approvals":[', coalesce(a.listed, ''), '],"approval_iteration":', coalesce(a.iteration, 0), ',"active_approval_id":',
+  {_quoted("a.pending_id")}, ',"rejected_revisions":', coalesce(a.rejected, 0), ',"approval_count":', coalesce(a.n, 0),
+  ',"ingestion":', coalesce(e.body, 'null'), ',"queue":', coalesce(j.body, 'null'), '}}') AS document
+FROM run_heads AS h
+LEFT JOIN (SELECT run_id, string_agg({_object("id", "status", "attempts", "error")}, ',' ORDER BY place) AS tasks,
+    string_agg(concat('"', id, '":', output_json), ',' ORDER BY place)
+      FILTER (status = 'succeeded' AND id IN ('quality_agent', 'change_agent')) AS results,
+    min(concat('"briefing_agent":', output_json)) FILTER (status = 'succeeded' AND id = 'briefing_agent') AS briefing
+  FROM (SELECT *, task_id AS id, {ORDERED} AS place FROM task_rows) AS placed GROUP BY run_id) AS t ON t.run_id = h.run_id
+LEFT JOIN (SELECT run_id, max(iteration) AS iteration, min(id) FILTER (status = 'pending') AS pending_id,
+    count(*) FILTER (status = 'rejected') AS rejected, count(*) AS n,
+    CASE WHEN json_valid(arg_max(briefing_json, iteration)) THEN concat('"briefing_agent":', arg_max(briefing_json, iteration)) END AS latest,
+    string_agg(concat(rtrim({_object("id", "iteration", "status", "decision", "comment", "decided_at")}, '}}'),
+      ',"briefing":', {_BRIEFING}, '}}'), ',' ORDER BY iteration, id) FILTER (place <= 100) AS listed
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY iteration, id) AS place FROM briefed_approvals) AS ranked
+  GROUP BY run_id) AS a ON a.run_id = h.run_id
+LEFT JOIN (SELECT workflow_run_id, {_object("id", "event_id", "event_type", "manifest_path", "fingerprint", "status")} AS body
+  FROM head_events) AS e ON e.workflow_run_id = h.run_id
+LEFT JOIN (SELECT workflow_run_id, {_object("id", "status", "attempts", "budget_attempts", "max_attempts", "replay_count", "last_error")} AS body
+  FROM head_jobs) AS j ON j.workflow_run_id = h.run_id""",
 )
 def _(t):
-    tasks = t["task_rows"]
-    return r.run_document(r.run_rollup(tasks), tasks, t["approval_rows"])
+    """Runs of all customers with every section."""
+    return r.run_document(t["run_heads"], t["task_rows"], t["briefed_approvals"], t["head_events"], t["head_jobs"])
