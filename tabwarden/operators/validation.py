@@ -492,5 +492,38 @@ def allowed(ds: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     return _single(ds, "allowed", ColumnRule(0, column, allowed=tuple(values)))
 
 
+def allowed_in(ds: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """``allowed`` with the list as the first column of a table of any size.
+
+    Values are compared stripped; blank and NULL cells and list entries count for
+    nothing, so an empty list allows no value. A list of measured small size is
+    broadcast to the rows. Beyond it, the distinct values of the column, combined
+    before the shuffle so that one on very many rows moves once a task, are looked up
+    in the list, and only what is not listed goes back to the rows.
+    """
+    name = values.columns[0]
+    listed = values.select(stripped_or_blank(F.col(f"`{name}`").cast("string")).alias("v")).filter("v <> ''").distinct()
+    listed = written(listed, "allowed-values")
+    cell = F.col(f"`{column}`").cast("string")
+    cells = ds.select(F.col("record_no").alias("row"), cell.alias("value"), stripped_or_blank(cell).alias("v")).filter("v <> ''")
+    if _fits_broadcast(listed):
+        found = cells.join(F.broadcast(listed), "v", "left_anti")
+    else:
+        counted = cells.groupBy("v").agg(F.count(F.lit(1)).alias("occurrences"))
+        unlisted = written(counted.join(listed, "v", "left_anti"), "unlisted-values")
+        if _fits_broadcast(unlisted):
+            found = cells.join(F.broadcast(unlisted), "v", "left_semi")
+        else:
+            joined = join_per_key(cells, unlisted, ["v"], weight="occurrences", spread_by="row")
+            found = joined.filter("occurrences is not null")
+    return found.select(
+        "row",
+        F.lit(column).alias("column"),
+        F.lit("allowed").alias("code"),
+        F.lit(MESSAGES["allowed"]).alias("message"),
+        "value",
+    )
+
+
 def unique(ds: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return _single(ds, "duplicate", ColumnRule(0, column, unique=True), by)

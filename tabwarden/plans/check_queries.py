@@ -202,6 +202,20 @@ def _(t):
     return v.allowed(t["accounts"], "segment", SEGMENTS)
 
 
+@query(
+    "val_11_allowed_table",
+    """SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS "row", 'order_id' AS "column", 'allowed' AS code,
+  'Value is not in the configured allowed list.' AS message, CAST(l_orderkey AS VARCHAR) AS value
+FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '5-LOW')""",
+)
+def _(t):
+    """Order lines whose order is not in a list that grows with the orders."""
+    number = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
+    lines = t["lineitem"].select(number.alias("record_no"), F.col("l_orderkey").cast("string").alias("order_id"))
+    orders = t["orders"].filter("o_orderpriority <> '5-LOW'").select(F.concat(F.col("o_orderkey").cast("string"), F.lit(" ")))
+    return v.allowed_in(lines, "order_id", orders)
+
+
 @query("val_12_unique", UNIQUE)
 def _(t):
     return v.unique(t["accounts"], "account_id")
