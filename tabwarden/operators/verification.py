@@ -87,11 +87,19 @@ def drifted_nodes(before: DataFrame, after: DataFrame, by: Sequence[str] = ()) -
 
 def input_drift(receipts: DataFrame, current: DataFrame) -> DataFrame:
     """Inputs whose content changed or vanished since they were received; both
-    sides are ``(path, sha256)``, one row per path."""
-    now = current.select("path", F.col("sha256").alias("now"))
-    joined = receipts.join(now, "path", "left")
-    problem = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("sha256"), "changed")
-    return joined.select("path", problem.alias("problem")).filter(F.col("problem").isNotNull())
+    sides are ``(path, sha256)``.
+
+    A path may stand in several rows. A receipt is sound if its content still is at its
+    path, whatever else is there; each unsound receipt is one row.
+    """
+    versions = current.select(F.col("path").alias("__at"), F.col("sha256").alias("__now")).distinct()
+    versions = versions.withColumn("__same", F.lit(True))
+    places = current.select(F.col("path").alias("__place")).distinct().withColumn("__there", F.lit(True))
+    same = F.col("path").eqNullSafe(F.col("__at")) & F.col("sha256").eqNullSafe(F.col("__now"))
+    unsound = receipts.join(versions, same, "left").filter(F.col("__same").isNull())
+    joined = unsound.join(places, F.col("path").eqNullSafe(F.col("__place")), "left")
+    problem = F.when(F.col("__there").isNull(), "missing").otherwise("changed")
+    return joined.select("path", problem.alias("problem"))
 
 
 def verification_checks(

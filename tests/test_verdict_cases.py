@@ -119,3 +119,13 @@ def test_streams_refuse_rules_they_cannot_check(spark, tmp_path):
     for columns in ({"a": {"unique": True}}, {"b": {"required": True}}):
         with pytest.raises(ValueError, match="in a stream"):
             stream_validate(rows, {"version": 1, "columns": columns}, str(tmp_path / "out"), str(tmp_path / "check"))
+
+
+def test_drift_of_paths_that_stand_in_several_rows(spark):
+    from tabwarden.operators.verification import input_drift
+
+    receipts = [("a", "1"), ("a", "2"), ("b", "1"), ("b", "2"), ("c", "1"), ("c", "1"), ("d", "1")]
+    current = [("a", "2"), ("a", "1"), ("b", "1"), ("b", "3"), ("d", "1"), ("d", "1")]
+    frames = [spark.createDataFrame(rows, "path string, sha256 string") for rows in (receipts, current)]
+    found = sorted((r.path, r.problem) for r in input_drift(*frames).collect())
+    assert found == [("b", "changed"), ("c", "missing"), ("c", "missing")]
