@@ -129,3 +129,13 @@ def test_drift_of_paths_that_stand_in_several_rows(spark):
     frames = [spark.createDataFrame(rows, "path string, sha256 string") for rows in (receipts, current)]
     found = sorted((r.path, r.problem) for r in input_drift(*frames).collect())
     assert found == [("b", "changed"), ("c", "missing"), ("c", "missing")]
+
+
+def test_source_identity_counts_receipts_once_where_paths_repeat(spark):
+    from tabwarden.operators import verification
+
+    make = lambda rows: spark.createDataFrame(rows, "path string, sha256 string")
+    drift = verification.input_drift(make([("a", "1"), ("a", "2"), ("b", "1"), ("b", "2")]), make([("a", "1"), ("a", "2"), ("b", "3"), ("b", "4")]))
+    same = spark.createDataFrame([(1,)], "v int")
+    checks = {r.check: (r.violations, r.passed) for r in verification.verification_checks(same, same, same, same, drift).collect()}
+    assert checks.pop("source_identity") == (2, False) and set(checks.values()) == {(0, True)}
