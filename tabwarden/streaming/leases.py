@@ -1,38 +1,42 @@
 """Leases of a delivery log, decided by event time while rows come in any order.
 
-Each attempt is a key of its own. Its state holds the claim, the beats and the
-endings seen so far; a timer at the expiry that these give tells when event time has
-passed it. A row behind the watermark is not lost: it is written to a side table, and
-if it changes what was told about its attempt, a new revision is told.
-
-State is kept until event time is ``keep`` past the end of the lease. Later rows
+What is known of each attempt, its claim, beats and endings, is kept in a table in hash
+buckets, of which a batch reads those of its attempts. The leases that are still open,
+no more than are held at one time, are listed once per batch: those whose expiry event
+time has passed are judged with the attempts that the batch brings. A row behind the
+watermark is not lost: it is written to a side table, and if it changes what was told
+about its attempt, a new revision is told.
+
+State counts until event time is ``keep`` past the end of the lease. Later rows
 still reach the side table, as not applied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import replace
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
+from tabwarden.functions.staging import evaluated
 from tabwarden.operators.delivery import expected_delay
-from tabwarden.streaming.plumbing import triggered
-
-_STATE = "claim long, beats array<long>, endings array<long>, budget int, most int, revision int, told string, told_at long, timer long"
-_TOLD = (
-    "kind string, job_id string, attempt long, id long, event string, at long, applied boolean, "
-    "claim long, expiry long, n_beats long, budget int, most int, expired boolean, revision int"
+from tabwarden.streaming.memory import BatchTable, KeyedTable
+from tabwarden.streaming.plumbing import per_batch
+
+_CLAIM = "struct<at: bigint, id: bigint, budget: int, most: int>"
+_KNOWN = f"job_id string, attempt bigint, claim {_CLAIM}, beats array<bigint>, endings array<bigint>, revision int, told struct<claim: {_CLAIM}, expiry: bigint, n_beats: bigint>, until bigint"
+_KNOWN_NAMES = ["job_id", "attempt", "claim", "beats", "endings", "revision", "told", "until"]
+_OUTCOME = (
+    "job_id string, attempt bigint, claim bigint, expiry bigint, n_beats bigint, budget int, most int, expired boolean, revision int"
 )
-_NAMES = [field.split()[0] for field in _TOLD.split(", ")]
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_LATE = "id bigint, job_id string, attempt bigint, event string, at bigint, applied boolean"
 
 
 class Attempt:
-    """What is known of one attempt, in microseconds."""
+    """The rule of a lease for one attempt, in microseconds, row by row. ``Leases`` decides
+    all attempts of a batch so."""
 
     def __init__(self, known: tuple | None) -> None:
         fields = known or (None, [], [], None, None, 0, None, None, None)
@@ -68,66 +72,112 @@ class Attempt:
         return (self.claim, self.beats, self.endings, self.budget, self.most, self.revision, self.told, self.told_at, self.timer)
 
 
-class Leases(StatefulProcessor):
-    def __init__(self, lease_seconds: int, keep_seconds: int) -> None:
-        self.seconds, self.keep = lease_seconds, keep_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.known = handle.getValueState("attempt", _STATE)
-
-    def _judged(self, key: Any, now: int) -> Iterator[dict]:
-        """Tell what changed, and set the timer for what may change by time alone."""
-        it = Attempt(self.known.get())
-        end = it.last() + self.seconds * 1_000_000
-        if it.claim is not None:
-            end, beats = it.lease(self.seconds)
-            expired = end <= now and not it.ended(end)
-            state, at = ("expired", end) if expired else (None if it.told is None else "revoked", None)
-            if (state, at) != (it.told, it.told_at) and state is not None:
-                it.told, it.told_at, it.revision = state, at, it.revision + 1
-                yield {
-                    "kind": "outcome", "claim": it.claim, "expiry": end, "n_beats": beats, "budget": it.budget,
-                    "most": it.most, "expired": expired, "revision": it.revision,
-                }
-        if now >= end + self.keep:
-            self.known.clear()
-            return
-        wake = -(-(end if end > now else end + self.keep) // 1000)
-        if it.timer is not None and it.timer != wake and it.timer * 1000 > now:
-            self.handle.deleteTimer(it.timer)
-        if it.timer != wake:
-            self.handle.registerTimer(wake)
-            it.timer = wake
-        self.known.update(it.row())
-
-    def _frame(self, key: Any, rows: list[dict]) -> Iterator[pd.DataFrame]:
-        if rows:
-            full = [{name: row.get(name) for name in _NAMES} | {"job_id": key[0], "attempt": int(key[1])} for row in rows]
-            out = pd.DataFrame(full, columns=_NAMES)
-            whole = {n: "Int64" for n in ("id", "at", "claim", "expiry", "n_beats")} | {n: "Int32" for n in ("budget", "most", "revision")}
-            yield out.astype(whole | {"applied": "boolean", "expired": "boolean"})
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        it, told = Attempt(self.known.get() if self.known.exists() else None), []
-        for frame in rows:
-            for row in frame.itertuples(index=False):
-                applied = row.at + self.seconds * 1_000_000 + self.keep > now
-                if row.at < now:
-                    told.append({"kind": "late", "id": row.id, "event": row.event, "at": row.at, "applied": applied})
-                if applied:
-                    it.add(row.event, int(row.at), row.budget_attempts, row.max_attempts)
-        self.known.update(it.row())
-        told.extend(self._judged(key, now))
-        yield from self._frame(key, told)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.known.exists():
-            yield from self._frame(key, list(self._judged(key, timerValues.getCurrentWatermarkInMs() * 1000)))
-
-    def close(self) -> None:
-        pass
+def _lease(claim: Column, beats: Column, seconds: int) -> Column:
+    """Expiry and number of beats that count, as ``Attempt.lease``."""
+    span = F.lit(seconds * 1_000_000).cast("bigint")
+
+    def state(expiry: Column, counted: Column, held: Column) -> Column:
+        return F.struct(expiry.alias("expiry"), counted.alias("n_beats"), held.alias("held"))
+
+    start = state(claim + span, F.lit(0).cast("bigint"), F.lit(True))
+    return F.aggregate(
+        F.array_sort(beats),
+        start,
+        lambda done, at: F.when(~done["held"] | (at < claim), done)
+        .when(at >= done["expiry"], state(done["expiry"], done["n_beats"], F.lit(False)))
+        .otherwise(state(at + span, done["n_beats"] + 1, F.lit(True))),
+    )
+
+
+class Leases:
+    """State and results of a lease stream, batch by batch."""
+
+    def __init__(self, spark: SparkSession, out: str, folder: str, lease_seconds: int, keep_seconds: int, late: str) -> None:
+        self.spark, self.seconds, self.keep = spark, lease_seconds, keep_seconds * 1_000_000
+        self.late = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{late}')").first()[0]
+        self.outcomes = BatchTable(spark, f"{out}/outcome", _OUTCOME).create()
+        self.late_rows = BatchTable(spark, f"{out}/late", _LATE).create()
+        self.known = KeyedTable(spark, f"{folder}/known", f"lease string, known struct<{_KNOWN}>, seen bigint", "lease").create()
+        self.open = BatchTable(spark, f"{folder}/open", "lease string, wake bigint").create()
+        self.clock = BatchTable(spark, f"{folder}/clock", "watermark bigint").create()
+
+    def _newest(self, rows: DataFrame, watermark: int) -> DataFrame:
+        """The last state of each attempt, if it still counts."""
+        last = rows.groupBy("lease").agg(F.max_by("known", "seen").alias("known"), F.max("seen").alias("seen"))
+        return last.filter(F.col("known.until") + self.keep > watermark)
+
+    def batch(self, log: DataFrame, batch_id: int) -> None:
+        """``log`` is ``(lease, job_id, attempt, id, event, at, budget, most)``."""
+        before = self.clock.of(batch_id - 1).agg(F.max("watermark")).first()[0] or 0
+        applied = F.coalesce(F.col("at") + self.seconds * 1_000_000 + self.keep > before, F.lit(False))
+        log = log.withColumn("applied", applied).persist()
+        seen = log.agg(F.max("at")).first()[0]
+        # Watermarks are whole milliseconds.
+        now = before if seen is None else max(before, (seen - self.late) // 1000 * 1000)
+        self.late_rows.append(log.filter(F.col("at") < before).select("id", "job_id", "attempt", "event", "at", "applied"), batch_id)
+
+        rows = log.filter(F.col("applied") & F.col("event").isin("claim", "heartbeat", "fail", "settle"))
+        opened = self.open.of(batch_id - 1)
+        due = opened.filter(F.col("wake") <= now).select("lease")
+        states = replace(self.known, fold=lambda rows: self._newest(rows, before))
+        earlier = states.touching(rows.select("lease").unionByName(due), batch_id)
+        judged = self._judged(rows, due, self._newest(earlier, before), now).persist()
+
+        told = judged.filter("changed").select(
+            "job_id", "attempt", F.col("claim.at").alias("claim"), "expiry", "n_beats", "claim.budget", "claim.most", "expired", "revision"
+        )
+        self.outcomes.append(told, batch_id)
+        known = F.struct(*_KNOWN_NAMES).alias("known")
+        self.known.append(judged.select("lease", known, F.lit(batch_id).cast("bigint").alias("seen")), batch_id)
+        waking = judged.filter((F.col("expiry") > now) & ~F.col("ended")).select("lease", F.col("expiry").alias("wake"))
+        self.open.append(opened.filter(F.col("wake") > now).unionByName(waking).distinct(), batch_id)
+        self.clock.append(self.spark.createDataFrame([(now,)], self.clock.schema), batch_id)
+        judged.unpersist()
+        log.unpersist()
+
+    def _judged(self, rows: DataFrame, due: DataFrame, earlier: DataFrame, now: int) -> DataFrame:
+        """The attempts of ``rows`` and ``due`` with all that is known of them. New rows,
+        due leases and states meet in one shuffle."""
+
+        def only(event: Column, value: str) -> Column:
+            return F.when(event, F.col(value))
+
+        kind, none = F.col("event"), F.lit(None)
+        claim = F.struct("at", "id", "budget", "most").cast(_CLAIM)
+        known = f"struct<{_KNOWN}>"
+        parts = rows.select(
+            "lease", "job_id", "attempt", F.lit(True).alias("touched"), F.when(kind == "claim", claim).alias("claim"),
+            only(kind == "heartbeat", "at").alias("beat"), only(kind.isin("fail", "settle"), "at").alias("ending"), none.cast(known).alias("known"),
+        )
+        empty = [none.cast("string").alias("job_id"), none.cast("bigint").alias("attempt")]
+        no_row = [none.cast(_CLAIM).alias("claim"), none.cast("bigint").alias("beat"), none.cast("bigint").alias("ending")]
+        parts = parts.unionByName(due.select("lease", *empty, F.lit(True).alias("touched"), *no_row, none.cast(known).alias("known")))
+        parts = parts.unionByName(earlier.select("lease", *empty, F.lit(False).alias("touched"), *no_row, "known"))
+        met = parts.groupBy("lease").agg(
+            F.max("touched").alias("touched"), F.max("job_id").alias("job_id"), F.max("attempt").alias("attempt"), F.min("claim").alias("claim"),
+            F.collect_list("beat").alias("beats"), F.collect_list("ending").alias("endings"), F.first("known", ignorenulls=True).alias("known"),
+        )
+
+        def both(name: str) -> Column:
+            return F.concat(F.coalesce(f"known.{name}", F.array().cast("array<bigint>")), name).alias(name)
+
+        whole = evaluated(
+            met.filter("touched"), "lease", F.coalesce("job_id", "known.job_id").alias("job_id"), F.coalesce("attempt", "known.attempt").alias("attempt"),
+            F.least("known.claim", "claim").alias("claim"), both("beats"), both("endings"),
+            F.coalesce("known.revision", F.lit(0)).alias("revision"), F.col("known.told").alias("told"),
+        )
+        held = evaluated(whole, *whole.columns, F.when(F.col("claim").isNotNull(), _lease(F.col("claim.at"), F.col("beats"), self.seconds)).alias("held"))
+        expiry, start = F.col("held.expiry"), F.col("claim.at")
+        ended = F.coalesce(F.exists("endings", lambda at: (at >= start) & (at < expiry)), F.lit(False))
+        last = F.greatest(F.array_max("beats"), F.array_max("endings")) + self.seconds * 1_000_000
+        found = evaluated(
+            held, *whole.columns, F.col("held.n_beats").alias("n_beats"), expiry.alias("expiry"), ended.alias("ended"),
+            F.coalesce((expiry <= now) & ~ended, F.lit(False)).alias("expired"), F.coalesce(expiry, last).alias("until"),
+        )
+        # A lease told as expired may be revoked, or get another beat within the same expiry.
+        tell = F.when(F.col("expired"), F.struct("claim", "expiry", "n_beats"))
+        changed = ~tell.eqNullSafe(F.col("told"))
+        return found.withColumns({"changed": changed, "revision": F.col("revision") + changed.cast("int"), "told": tell})
 
 
 def _time(micros: str) -> Column:
@@ -151,33 +201,24 @@ def stream_lease_timeout(
     ``lease_outcomes`` and ``late_rows`` read.
 
     An expired attempt requeues its job, without delay, or dead-letters it if the
-    budget is spent. Needs the RocksDB state store, which it chooses.
+    budget is spent. State is kept beside the checkpoint.
     """
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    timed = log.withWatermark("at_time", late)
-    # A computed time carries no watermark, so Spark hands late rows over as well.
-    rows = timed.select(
-        F.col("job_id").cast("string").alias("job_id"), F.col("attempt").cast("long").alias("attempt"), "id", "event",
-        F.unix_micros("at_time").alias("at"),
-        F.coalesce(F.col("budget_attempts").cast("int"), F.lit(0)).alias("budget_attempts"),
-        F.coalesce(F.col("max_attempts").cast("int"), F.lit(0)).alias("max_attempts"),
+    rows = log.select(
+        F.concat_ws("/", F.col("job_id").cast("string"), F.col("attempt").cast("string")).alias("lease"),
+        F.col("job_id").cast("string").alias("job_id"), F.col("attempt").cast("bigint").alias("attempt"),
+        F.col("id").cast("bigint").alias("id"), "event", F.unix_micros("at_time").alias("at"),
+        F.coalesce(F.col("budget_attempts").cast("int"), F.lit(0)).alias("budget"),
+        F.coalesce(F.col("max_attempts").cast("int"), F.lit(0)).alias("most"),
     )
-    told = rows.groupBy("job_id", "attempt").transformWithStateInPandas(
-        statefulProcessor=Leases(lease_seconds, keep_seconds), outputStructType=_TOLD, outputMode="append", timeMode="EventTime"
-    )
-    writer = told.writeStream.outputMode("append").format("parquet").option("path", out).partitionBy("kind")
-    return triggered(writer, checkpoint, every).start()
-
-
-def _kind(spark: Any, out: str, kind: str) -> DataFrame:
-    return spark.read.schema(_TOLD).parquet(out).filter(F.col("kind") == kind)
+    state = Leases(log.sparkSession, out, f"{checkpoint.rstrip('/')}/leases", lease_seconds, keep_seconds, late)
+    return per_batch(rows, state.batch, checkpoint, every)
 
 
 def lease_outcomes(spark: Any, out: str) -> DataFrame:
     """The last word on every attempt that expired: ``job_id, attempt, started_at,
     expires_at, beats, status_after, delay_seconds, available_at, revision``. Those
     that a late row has revoked are left out."""
-    last = _kind(spark, out, "outcome").groupBy("job_id", "attempt").agg(
+    last = BatchTable(spark, f"{out}/outcome", _OUTCOME).rows().groupBy("job_id", "attempt").agg(
         F.max_by(F.struct("claim", "expiry", "n_beats", "budget", "most", "expired", "revision"), "revision").alias("last")
     )
     found = last.filter("last.expired").select("job_id", "attempt", "last.*")
@@ -192,4 +233,4 @@ def lease_outcomes(spark: Any, out: str) -> DataFrame:
 
 def late_rows(spark: Any, out: str) -> DataFrame:
     """Rows that came behind the watermark; ``applied`` if they were still judged."""
-    return _kind(spark, out, "late").select("id", "job_id", "attempt", "event", _time("at").alias("at_time"), "applied")
+    return BatchTable(spark, f"{out}/late", _LATE).rows().select("id", "job_id", "attempt", "event", _time("at").alias("at_time"), "applied")

@@ -31,6 +31,10 @@ class BatchTable:
     def append(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
+    def of(self, batch_id: int) -> DataFrame:
+        """The rows of one batch; those of -1 are none."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch_id={batch_id}")
+
     def rows(self, before: int | None = None) -> DataFrame:
         table = self.spark.read.schema(f"{self.schema}, batch_id bigint").parquet(self.path)
         if before is not None:

@@ -132,6 +132,37 @@ def test_rows_after_the_kept_time_are_listed_only(spark, tmp_path):
     assert outcomes == {"a": (30, 0, "QUEUED", 0, 1)} and late == [(3, False)]
 
 
+def test_leases_in_many_parts_are_the_rule_of_each_attempt(spark, tmp_path):
+    """Rows in any order and parts, with equal times, against the plain rule; a batch
+    tried again changes nothing, and no task runs Python."""
+    pick = random.Random(5)
+    rows = []
+    for job in range(60):
+        rows += [(f"j{job}", event, pick.randrange(0, 240, 5)) for event in pick.choices(["claim", "heartbeat", "heartbeat", "settle", "replay"], k=7)]
+    pick.shuffle(rows)
+    full = [(n, job, event, START + timedelta(seconds=at), 1, 2) for n, (job, event, at) in enumerate(rows)]
+    state = leases.Leases(spark, str(tmp_path / "out"), str(tmp_path / "state"), 30, 10**6, "0 seconds")
+    schema = "id long, job_id string, event string, at_time timestamp, budget int, most int"
+    for batch in range(10):
+        part = spark.createDataFrame(full[batch * 42 : batch * 42 + 42], schema)
+        part = part.selectExpr("job_id AS lease", "job_id", "1L AS attempt", "id", "event", "unix_micros(at_time) AS at", "budget", "most")
+        for _ in range(1 + (batch in (3, 8))):
+            state.batch(part, batch)
+    known = {}
+    for job, event, at in rows:  # times count from the start
+        known.setdefault(job, leases.Attempt(None)).add(event, at * 1_000_000, 1, 2)
+    end, want = max(at for _, _, at in rows) * 1_000_000, {}
+    for job, it in known.items():
+        expiry, beats = it.lease(30) if it.claim is not None else (end + 1, 0)
+        if expiry <= end and not it.ended(expiry):
+            want[job] = (expiry, beats)
+    found = leases.lease_outcomes(spark, str(tmp_path / "out"))
+    assert {r.job_id: (round((r.expires_at - START).total_seconds() * 1_000_000), r.beats) for r in found.collect()} == {
+        job: (expiry, beats) for job, (expiry, beats) in want.items()
+    }
+    assert want and "Python" not in found._jdf.queryExecution().toString()
+
+
 def test_lease_of_an_attempt():
     def lease(*rows):
         it = leases.Attempt(None)
