@@ -3,8 +3,11 @@ they are drained, and the drained tables are returned."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tabwarden.functions.hotkeys import Running, running
 from tabwarden.operators import delivery, submissions
@@ -15,7 +18,7 @@ from tabwarden.plans.diff_queries import SUMMARY
 from tabwarden.plans.delivery_queries import LEASE_SECONDS
 from tabwarden.plans.registry import query
 from tabwarden.plans.submission_queries import EVENTS
-from tabwarden.session import scratch_path
+from tabwarden.session import scratch_path, written
 from tabwarden.streaming import leases
 from tabwarden.streaming import streams as st
 
@@ -23,17 +26,16 @@ _PARTS = 3
 MAX_ATTEMPTS = 3
 
 
-def _arriving(t, df: DataFrame, order: str, label: str, per_trigger: int = 1) -> DataFrame:
-    """``df`` as a stream of files that arrive in order of ``order``, all rows."""
-    path = scratch_path(t.spark, label)
-    bounds = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+def _arriving(t, df: DataFrame, order: str, label: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """``df``, all rows, as a stream of parts that arrive in order of ``order``. ``start``
+    is called with the stream after each arrival, and goes on from its checkpoint."""
+    path, rows = scratch_path(t.spark, label), written(df, f"{label}-rows")
+    bounds = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
     low, width = bounds.low or 0, ((bounds.high or 0) - (bounds.low or 0)) // _PARTS + 1
     for part in range(_PARTS):
-        start = low + part * width
-        rows = df.filter((F.col(order) >= start) & (F.col(order) < start + width))
-        rows.coalesce(1).write.mode("append").parquet(path)
-    reader = t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(path)
+        here = low + part * width
+        rows.filter((F.col(order) >= here) & (F.col(order) < here + width)).write.mode("append").parquet(path)
+        start(t.spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 def _inbox(t) -> str:
@@ -88,9 +90,8 @@ def _(t):
 def _(t):
     valid = submissions.validated(t["receipts"], t["source_files"])
     receipts = valid.select("receipt_seq", "external_id", "fingerprint", "error")
-    arriving = _arriving(t, receipts, "receipt_seq", "receipt-stream")
-    state = st.Dedup(t.spark, scratch_path(t.spark, "dedup"))
-    st.stream_dedup(arriving, state, scratch_path(t.spark, "check")).awaitTermination()
+    state, checkpoint = st.Dedup(t.spark, scratch_path(t.spark, "dedup")), scratch_path(t.spark, "check")
+    _arriving(t, receipts, "receipt_seq", "receipt-stream", lambda rows: st.stream_dedup(rows, state, checkpoint))
     return state.result().withColumn("external_id", F.coalesce("external_id", F.lit("")))
 
 
@@ -104,14 +105,14 @@ def _(t):
     ),
 )
 def _(t):
-    arriving = _arriving(t, t["accounts"], "record_no", "account-stream")
-    out = scratch_path(t.spark, "out")
+    accounts, out, checkpoint = t["accounts"], scratch_path(t.spark, "out"), scratch_path(t.spark, "check")
     local = {
         name: {k: x for k, x in rule.items() if k != "unique"}
         for name, rule in ACCOUNT_RULES["columns"].items()
-        if name in arriving.columns
+        if name in accounts.columns
     }
-    st.stream_validate(arriving, {**ACCOUNT_RULES, "columns": local}, out, scratch_path(t.spark, "check")).awaitTermination()
+    rules = {**ACCOUNT_RULES, "columns": local}
+    _arriving(t, accounts, "record_no", "account-stream", lambda rows: st.stream_validate(rows, rules, out, checkpoint))
     schema = "row bigint, column string, code string, message string, value string"
     return t.spark.read.schema(schema).parquet(out).select(*FINDING_COLUMNS)
 
@@ -123,9 +124,8 @@ def _(t):
 WHERE record_no > first_record""",
 )
 def _(t):
-    arriving = _arriving(t, t["keyed_lines"], "record_no", "key-stream")
-    state = st.Uniqueness(t.spark, scratch_path(t.spark, "unique"), "item_key")
-    st.stream_unique(arriving, state, scratch_path(t.spark, "check")).awaitTermination()
+    state, checkpoint = st.Uniqueness(t.spark, scratch_path(t.spark, "unique"), "item_key"), scratch_path(t.spark, "check")
+    _arriving(t, t["keyed_lines"], "record_no", "key-stream", lambda rows: st.stream_unique(rows, state, checkpoint))
     return state.result()
 
 
@@ -142,9 +142,8 @@ def _(t):
         t[name].write.parquet(path)
         rows.append((number, path))
     announced = t.spark.createDataFrame(rows, "snapshot_id bigint, path string")
-    arriving = _arriving(t, announced, "snapshot_id", "announcements")
-    state = st.SnapshotChain(t.spark, scratch_path(t.spark, "chain"), "order_id")
-    st.stream_compare(arriving, state, scratch_path(t.spark, "check")).awaitTermination()
+    state, checkpoint = st.SnapshotChain(t.spark, scratch_path(t.spark, "chain"), "order_id"), scratch_path(t.spark, "check")
+    _arriving(t, announced, "snapshot_id", "announcements", lambda rows: st.stream_compare(rows, state, checkpoint))
     return state.summaries.rows().select("snapshot_id", "added", "removed", "changed", "unchanged")
 
 
@@ -178,11 +177,11 @@ def _lease_log(t) -> tuple[DataFrame, str]:
         F.col("budget").cast("int").alias("budget_attempts"), F.lit(MAX_ATTEMPTS).alias("max_attempts"),
         (F.col("id") + F.when(F.col("k") % 10 == 3, third // 3).otherwise(0)).alias("arrival"),
     )
-    out = scratch_path(t.spark, "out")
-    arriving = _arriving(t, log, "arrival", "lease-stream").drop("arrival")
-    leases.stream_lease_timeout(
-        arriving, LEASE_SECONDS, out, scratch_path(t.spark, "check"), late="0 seconds", keep_seconds=10**9
-    ).awaitTermination()
+    out, checkpoint = scratch_path(t.spark, "out"), scratch_path(t.spark, "check")
+    _arriving(
+        t, log, "arrival", "lease-stream",
+        lambda rows: leases.stream_lease_timeout(rows.drop("arrival"), LEASE_SECONDS, out, checkpoint, late="0 seconds", keep_seconds=10**9),
+    )
     return t.spark, out
 
 
