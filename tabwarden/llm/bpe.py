@@ -109,6 +109,9 @@ class Vocabulary:
             self.old, self.young = self.young, {}
         self.young[cut] = word
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
 
 def merged(data: bytes, vocabulary: Vocabulary) -> list[int]:
     """Ids of a window: merges apply lowest rank first and leftmost first."""
@@ -294,13 +297,18 @@ def encode_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(path)
         gc.disable()  # nothing here is cyclic, and each collection walks all remembered words
-        for batch in batches:
-            found = [round_trip(t.as_py() or "", vocabulary) for t in batch.column(1)]
-            cols = list(zip(*found, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:3]), pa.array(cols[3], pa.bool_())],
-                [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "same_text"],
-            )
+        try:
+            for batch in batches:
+                found = [round_trip(t.as_py() or "", vocabulary) for t in batch.column(1)]
+                cols = list(zip(*found, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:3]), pa.array(cols[3], pa.bool_())],
+                    [id_column, "n_tokens", "ids_sha256", "decoded_sha256", "same_text"],
+                )
+        finally:
+            # The worker goes on to other tasks, which need its memory and its collector.
+            vocabulary.forget()
+            gc.enable()
 
     schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, same_text boolean"
     return docs.select(id_column, text_column).mapInArrow(run, schema)

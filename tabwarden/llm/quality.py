@@ -29,7 +29,7 @@ OVERLAP = 64
 SAMPLE_ROWS = 5_000
 SAMPLE_BYTES = 20_000_000
 #: Bytes that are convolved at once.
-BLOCK = 400_000
+BLOCK = 100_000
 
 
 def chunk_starts(size: int) -> np.ndarray:
@@ -71,7 +71,8 @@ class QualityModel:
         sizes = np.zeros(len(texts))
         total, top, chunks = np.zeros((len(texts), FILTERS)), np.zeros((len(texts), FILTERS)), np.zeros(len(texts))
         # Pieces of whole chunks, so that a long text never lies in memory as responses.
-        pieces: list[tuple[int, bytes]] = []
+        # Spans at the end of a piece see the bytes that follow it in the text.
+        pieces: list[tuple[int, bytes, bytes]] = []
         for i, text in enumerate(texts):
             raw = text.encode("utf-8", "replace")
             sizes[i] = len(raw)
@@ -79,17 +80,17 @@ class QualityModel:
             step = max(1, BLOCK // (CHUNK - OVERLAP))
             for k in range(0, len(starts), step):
                 end = starts[min(k + step, len(starts)) - 1] + CHUNK
-                pieces.append((i, raw[starts[k] : end]))
-        for group in packed([len(p) for _, p in pieces], BLOCK):
+                pieces.append((i, raw[starts[k] : end], raw[end : end + SPAN].ljust(SPAN, b"\0")))
+        for group in packed([len(p) for _, p, _ in pieces], BLOCK):
             buffer, begins, ends, owners = [], [], [], []
             at = 0
             for k in group:
-                owner, piece = pieces[k]
+                owner, piece, beyond = pieces[k]
                 for s in chunk_starts(len(piece)):
                     begins.append(at + s)
                     ends.append(at + max(1, min(s + CHUNK, len(piece))))
                     owners.append(owner)
-                buffer.append(piece + b"\0" * SPAN)
+                buffer.append(piece + beyond)
                 at += len(piece) + SPAN
             raw = np.frombuffer(b"".join(buffer) + b"\0" * SPAN, np.uint8)
             found = _responses(tables, raw)

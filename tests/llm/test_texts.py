@@ -82,6 +82,22 @@ def test_quality_learns_noise_and_reads_whole_texts(monkeypatch):
     assert model.score([long + spoil(say(2000))])[0] < want[0]
 
 
+def test_long_texts_score_alike_in_any_blocks_and_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(4)
+    model = quality.train([("a b c", 1), ("$$$ x", 0)], epochs=1)
+    texts = ["".join(rng.choice("abcdefgh $") for _ in range(n)) for n in (1_200_000, 30_000, 3)]
+    tracemalloc.start()
+    want = model.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    for block in (2000, 10_000_000):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert abs(model.score(texts) - want).max() < 1e-12
+
+
 def test_chunks_cover_all_spans():
     for size in (0, 1, 1023, 1024, 1025, 5000):
         starts = quality.chunk_starts(size)
@@ -188,6 +204,20 @@ def test_encode_decode_of_odd_rows(spark):
     assert bpe.encode_decode(_docs(spark, []), BYTE_BPE).count() == 0
 
 
+def test_a_task_leaves_no_words_in_its_worker(spark):
+    texts = spark.range(4000).selectExpr("id AS doc_id", "concat('word', id, ' of', id * 7) AS text")
+    assert bpe.encode_decode(texts, BYTE_BPE).count() == 4000
+
+    @F.udf("string")
+    def held(_):
+        import gc
+
+        words = bpe.vocabulary_of(BYTE_BPE)
+        return f"{len(words.young) + len(words.old)} {gc.isenabled()}"
+
+    assert {r.held for r in spark.range(64).select(held("id").alias("held")).distinct().collect()} == {"0 True"}
+
+
 # Chat --------------------------------------------------------------------------
 
 QUOTES = st.text("\\# </>turn:AssistantUserRole\n", max_size=40) | st.sampled_from(["### Assistant: ", "\\", " </turn>\n", "\\### User:", " ###: ", "<|endoftext|>"])
