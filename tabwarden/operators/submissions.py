@@ -38,25 +38,25 @@ def manifest_decode(receipts: DataFrame) -> DataFrame:
     text) and ``error`` for documents that are not one strict JSON object."""
     value = strict_json(F.col("doc"))
     parsed = evaluated(receipts, *receipts.columns, value.alias("__v"))
+    # Only an object is a map of its members.
     members = F.try_variant_get("__v", "$", "map<string,variant>")
+    read = evaluated(parsed, *receipts.columns, members.alias("__members"), F.col("__v").isNull().alias("__broken"))
     texts = F.transform_values(
-        members,
-        lambda _, value: F.when(
-            json_kind(value) == "string", F.try_variant_get(value, "$", "string")
-        ),
+        "__members",
+        lambda _, value: F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")),
     )
-    is_object = F.coalesce(json_kind(F.col("__v")) == "object", F.lit(False))
+    is_object = F.col("__members").isNotNull()
     error = (
         F.when(F.octet_length("doc") > MAX_DOCUMENT_BYTES, "too_large")
         .when(~F.is_valid_utf8("doc"), "not_utf8")
-        .when(F.col("__v").isNull(), "invalid_json")
+        .when(F.col("__broken"), "invalid_json")
         .when(~is_object, "not_an_object")
     )
     return evaluated(
-        parsed,
+        read,
         *receipts.columns,
         F.when(is_object, F.json_object_keys(without_mark(F.col("doc")))).alias("keys"),
-        F.when(is_object, texts).alias("texts"),
+        texts.alias("texts"),
         error.alias("error"),
     )
 
@@ -112,16 +112,24 @@ def manifest_fields(decoded: DataFrame, event_type: str = EVENT_TYPE) -> DataFra
     )
 
 
-def _resolved(directory: Column, relative: Column) -> Column:
-    """Path components after taking out ``.``, ``..`` and empty ones."""
-    parts = F.split(F.concat(directory, F.lit("/"), relative), "/")
-    return F.aggregate(
-        parts,
+def checked_receipts(receipts: DataFrame) -> DataFrame:
+    """``manifest_fields`` of every receipt, written once, as later steps read it several
+    times. Reading a document costs far more than moving it, and a large file may be few
+    splits, so receipts are dealt over all tasks first."""
+    dealt = receipts.repartition("receipt_seq")
+    return written(manifest_fields(manifest_decode(dealt)), "checked-receipts")
+
+
+def _resolved(path: Column) -> Column:
+    """A path after taking out its components ``.``, ``..`` and empty ones, if any."""
+    whole = F.aggregate(
+        F.split(path, "/"),
         F.array().cast("array<string>"),
         lambda done, part: F.when(part.isin("", "."), done)
         .when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
         .otherwise(F.array_append(done, part)),
     )
+    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|\z)"), F.concat_ws("/", whole)).otherwise(path)
 
 
 def path_containment(checked: DataFrame) -> DataFrame:
@@ -138,18 +146,20 @@ def path_containment(checked: DataFrame) -> DataFrame:
         ]
     )
     usable = checked.filter(F.col("error").isNull())
-    rows = usable.select("receipt_seq", "path", F.explode(roles).alias("r")).select(
-        "receipt_seq", "path", "r.*"
-    )
     directory = F.regexp_extract("path", r"^(.*?)/?[^/]*\z", 1)
+    # Once per receipt: where it lies, and its roles.
+    placed = evaluated(usable, "receipt_seq", directory.alias("directory"), _resolved(directory).alias("home"), roles.alias("roles"))
+    rows = placed.select("receipt_seq", "directory", "home", F.explode("roles").alias("r")).select(
+        "receipt_seq", "directory", "home", "r.*"
+    )
     resolved = evaluated(
         rows,
         "receipt_seq",
         "role_idx",
         "role",
         "value",
-        F.concat_ws("/", _resolved(directory, F.col("value"))).alias("inside"),
-        F.concat_ws("/", _resolved(directory, F.lit(""))).alias("home"),
+        "home",
+        _resolved(F.concat("directory", F.lit("/"), "value")).alias("inside"),
     )
     inside, home = F.col("inside"), F.col("home")
     absolute = F.col("value").startswith("/") | F.col("value").contains(":")
@@ -219,8 +229,7 @@ def execution_fingerprint(key: Column, paths: list[Column], hashes: list[Column]
 
 def validated(receipts: DataFrame, listing: DataFrame) -> DataFrame:
     """Every receipt with its first problem, or its fingerprints if sound."""
-    # Decoded once: the file checks below read the checked rows several times.
-    checked = written(manifest_fields(manifest_decode(receipts)), "checked-receipts")
+    checked = checked_receipts(receipts)
     roles = source_presence(path_containment(checked), listing)
     first_problem = F.min_by(
         "error", F.when(F.col("error").isNotNull(), F.col("role_idx"))

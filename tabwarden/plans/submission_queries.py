@@ -107,7 +107,7 @@ def _(t):
 )
 def _(t):
     receipts, files = _receipts(t)
-    roles = s.path_containment(s.manifest_fields(s.manifest_decode(receipts)))
+    roles = s.path_containment(s.checked_receipts(receipts))
     return s.source_presence(roles, files).select(
         "receipt_seq", "role", F.coalesce("error", F.lit("")).alias("error"), "sha256"
     )

@@ -101,3 +101,17 @@ def test_event_states(spark):
         "d": ("FAILED", "limit", False), "e": ("INVALID", "bad", False),
     }
     assert sorted(r.id for r in s.retry_eligible(states).collect()) == ["b", "c"]
+
+
+def test_receipts_of_one_split_are_read_by_many_tasks_and_once(spark, tmp_path):
+    """Reading documents is spread and written; presence takes them from there."""
+    doc = '{"event_type":"orders_check","input":"./a//x.csv","rules":"b/../c.csv","before":"d.csv","after":"../e.csv"}'
+    receipts = spark.range(40000).coalesce(1).selectExpr(
+        "id AS receipt_seq", "'s' AS scan_id", "'in/box/job.json' AS path", "concat(sha2(string(id), 512), sha2(string(-id), 512)) AS raw_hash", f"'{doc}' AS doc"
+    )
+    checked = s.checked_receipts(receipts)
+    assert len(checked.inputFiles()) > 1 and checked.count() == 40000
+    roles = s.path_containment(checked)
+    assert "parse_json" not in roles._jdf.queryExecution().toString()
+    found = {(r.role, r.source_path, r.error) for r in roles.collect()}
+    assert found == {("input", "in/box/a/x.csv", None), ("rules", "in/box/c.csv", None), ("before", "in/box/d.csv", None), ("after", None, "escapes:after")}
