@@ -139,3 +139,26 @@ def test_source_identity_counts_receipts_once_where_paths_repeat(spark):
     same = spark.createDataFrame([(1,)], "v int")
     checks = {r.check: (r.violations, r.passed) for r in verification.verification_checks(same, same, same, same, drift).collect()}
     assert checks.pop("source_identity") == (2, False) and set(checks.values()) == {(0, True)}
+
+
+def test_every_page_with_an_anchor_drifts_whatever_it_holds(spark, tmp_path):
+    import duckdb
+
+    from tabwarden.plans import QUERIES
+    from tests.compare_all import differences
+
+    htmls = [None, "", "<P>UPPER 1</P>", "<p>lower</p>", "<P>LOWER</P>"]
+    pages = [(n, "http://a/1#top", html) for n, html in enumerate(htmls)]
+    pages += [(n + 10, f"http://a/{n}", html) for n, html in enumerate(htmls)] + [(20, "http://a/1?p=2", None), (21, None, "x")]
+    customers = [(n, f"Customer#{n}", n, 10.5 * n, "BUILDING") for n in range(12)]
+    con = duckdb.connect()
+    for name, rows, schema in (
+        ("pages", pages, "page_id bigint, url string, html string"),
+        ("customer", customers, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("ver_03_verification_checks", "ver_02_input_drift"):
+        assert differences(spark, con, str(tmp_path), name) is None
+    checks = QUERIES["ver_03_verification_checks"].sql
+    assert ("source_identity", 5, False) in con.execute(checks).fetchall()
