@@ -218,8 +218,7 @@ def _inbox_folder(t) -> str:
         F.concat(F.lit("data/"), F.col("s_suppkey").cast("string"), F.lit(".csv")).alias("input"),
         F.col("s_name").alias("event_id"),
     )
-    # The table is a small file, so one split, but each row is a file to create.
-    jobs.repartition(t.spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", 1).json(path)
+    sinks.write_documents(jobs, path)
     return path
 
 

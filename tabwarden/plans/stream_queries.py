@@ -19,6 +19,7 @@ from tabwarden.plans.delivery_queries import LEASE_SECONDS
 from tabwarden.plans.registry import query
 from tabwarden.plans.submission_queries import EVENTS
 from tabwarden.session import scratch_path, written
+from tabwarden.sources.sinks import write_documents
 from tabwarden.streaming import leases
 from tabwarden.streaming import streams as st
 
@@ -53,8 +54,7 @@ def _inbox(t) -> str:
         F.when(F.col("s_nationkey") != 3, source("after")).alias("after"),
         F.col("s_name").alias("event_id"),
     )
-    # The table is a small file, so one split, but each row is a file to create.
-    jobs.repartition(t.spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", 1).json(path)
+    write_documents(jobs, path)
     return path
 
 

@@ -36,6 +36,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session with the settings of ``spark`` but for ``settings``, which leave it as it is."""
+    own = spark.newSession()
+    for name, value in (spark.conf.getAll | settings).items():
+        if own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    return own
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder the session names for checkpoints.
 

@@ -33,6 +33,19 @@ def write_result(
         writer.json(f"{folder}/{name}")
 
 
+def write_documents(df: DataFrame, folder: str) -> None:
+    """Write each row as a JSON document in a file of its own, by all tasks.
+
+    A small table is one split, so rows are dealt first. Tasks move their own files
+    into the folder, else the driver would, one by one. On a local disk each file
+    created starts a process that sets its mode; a checksum beside it would be another.
+    """
+    writer = df.repartition(df.sparkSession.sparkContext.defaultParallelism).write
+    writer = writer.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    local = "org.apache.hadoop.fs.RawLocalFileSystem"
+    writer.option("fs.file.impl", local).option("fs.file.impl.disable.cache", "true").json(folder)
+
+
 def append_history(df: DataFrame, table: str, batch_id: int) -> None:
     """Append one batch of log rows. Repeating a batch replaces it, so a retried
     write never doubles rows."""

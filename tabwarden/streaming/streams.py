@@ -17,10 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 from tabwarden.functions.hotkeys import join_per_key
 from tabwarden.functions.text import stripped_or_blank
 from tabwarden.operators import comparison, submissions, validation
+from tabwarden.session import own_session
 from tabwarden.sources.inbox import MAX_DOCUMENT_BYTES, hash_of
 from tabwarden.streaming.memory import BatchTable, KeyedTable
 from tabwarden.streaming.plumbing import per_batch, to_files
 
+#: Files of an inbox that one micro-batch takes; all that there are come in turn.
+FILES_PER_BATCH = 20_000
 ROW_LOCAL_CODES = ("required", "type", "min", "max", "allowed")
 
 
@@ -34,18 +37,34 @@ def inbox_stream(
 
     Files of more than ``max_bytes`` are listed without text and hash; the scan skips
     them by their length, so their bytes are never read.
+
+    Both kinds come from one source, in batches of at most ``FILES_PER_BATCH`` files, so
+    what the driver holds of a batch is bounded; of all files it keeps path and time.
+    The stream has a session of its own, whose ``streams`` lists its queries: a batch
+    lists its files one by one, by default in a task each, and by default a few files
+    of any length fill a task that reads.
     """
-    reader = spark.readStream.option("pathGlobFilter", f"*{suffix}")
-    path = F.col("_metadata.file_path").alias("path")
-    texts = reader.format("text").option("wholetext", "true").load(folder)
-    small = texts.filter(F.col("_metadata.file_size") <= max_bytes).select(
-        path, F.col("value").alias("doc"), hash_of(F.encode("value", "UTF-8")).alias("raw_hash"), F.lit(True).alias("fits")
+    settings = {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+        "spark.sql.files.openCostInBytes": str(MAX_DOCUMENT_BYTES),
+    }
+    files = (
+        own_session(spark, settings)
+        .readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("pathGlobFilter", f"*{suffix}")
+        .option("maxFilesPerTrigger", FILES_PER_BATCH)
+        .option("maxCachedFiles", 10 * FILES_PER_BATCH)
+        .load(folder)
     )
-    files = reader.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    none = F.lit(None).cast("string")
-    large = files.filter(F.col("length") > max_bytes).select(
-        path, none.alias("doc"), none.alias("raw_hash"), F.lit(False).alias("fits")
+    size, none = F.col("_metadata.file_size"), F.lit(None).cast("string")
+    small = files.filter(size <= max_bytes).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("content").cast("string").alias("doc"),
+        hash_of(F.col("content")).alias("raw_hash"),
+        F.lit(True).alias("fits"),
     )
+    large = files.filter(size > max_bytes).select("path", none.alias("doc"), none.alias("raw_hash"), F.lit(False).alias("fits"))
     return small.unionByName(large)
 
 

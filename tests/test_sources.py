@@ -95,6 +95,14 @@ def test_inbox_is_flat_sorted_and_isolates_large_files(spark, tmp_path):
     assert source_listing(spark, str(tmp_path)).count() == 4
 
 
+def test_documents_are_files_of_one_row(spark, tmp_path):
+    folder = tmp_path / "in"
+    sinks.write_documents(spark.range(300).selectExpr("id", "CASE WHEN id > 5 THEN 'é' END AS t"), str(folder))
+    texts = [p.read_text() for p in folder.iterdir() if p.suffix == ".json"]
+    assert sorted(texts) == sorted(f'{{"id":{n}' + (',"t":"é"' if n > 5 else "") + "}\n" for n in range(300))
+    assert not list(folder.glob(".*.json.crc")) and not (folder / "_temporary").exists()
+
+
 def test_results_refuse_numbers_json_lacks(spark, tmp_path):
     good = spark.createDataFrame([("é", 1.5, None)], "t string, x double, y string")
     sinks.write_result({"good": good}, str(tmp_path))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 from datetime import datetime, timedelta
@@ -201,3 +202,55 @@ def test_oversized_documents_are_listed_unread(spark, tmp_path):
     st.stream_inbox(spark, str(tmp_path / "in"), out, str(tmp_path / "check"), max_bytes=100).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert sorted((r.path.rsplit("/", 1)[-1], r.error, r.raw_hash is None) for r in rows) == [("big.json", "too_large", True), ("small.json", "invalid_json", False)]
+
+
+def test_an_inbox_is_one_source_taken_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """Every document once, over several batches and starts, with its bytes as they are."""
+    monkeypatch.setattr(st, "FILES_PER_BATCH", 3, raising=False)
+    inbox, out, check = (str(tmp_path / name) for name in ("in", "out", "check"))
+    (tmp_path / "in").mkdir()
+    texts = {f"{n}.json": b"{" * (n + 1) for n in range(6)} | {"bad one.json": b"{\"\xff\"}", "big.json": b" " * 101}
+    errors = dict.fromkeys(texts, "invalid_json") | {"bad one.json": "not_utf8", "big.json": "too_large"}
+
+    def scan():
+        stream = st.stream_inbox(spark, inbox, out, check, max_bytes=100)
+        stream.awaitTermination()
+        taken = [(len(p.sources), p.numInputRows) for p in stream.recentProgress if p.numInputRows]
+        return taken, {r.path.rsplit("/", 1)[-1]: (r.raw_hash, r.error) for r in spark.read.parquet(out).collect()}, spark.read.parquet(out).count()
+
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_bytes(text)
+    want = {
+        name.replace(" ", "%20"): (None if name == "big.json" else hashlib.sha256(text).hexdigest(), errors[name])
+        for name, text in texts.items()
+    }
+    taken, found, rows = scan()
+    assert {n for n, _ in taken} == {1} and max(n for _, n in taken) <= 3 and sum(n for _, n in taken) == 8
+    assert (found, rows) == (want, 8)
+    (tmp_path / "in" / "late.json").write_bytes(b"[")
+    taken, found, rows = scan()
+    assert [n for _, n in taken] == [1] and rows == 9 and found["late.json"][1] == "invalid_json"
+    assert scan()[2] == 9
+
+
+def test_files_of_a_batch_share_tasks(spark, tmp_path):
+    """Neither listing nor reading takes a task per few files; other settings hold, and
+    the session of the caller keeps its own."""
+    (tmp_path / "in").mkdir()
+    for n in range(400):
+        (tmp_path / "in" / f"{n}.json").write_text("{")
+    before = spark.conf.getAll
+    out = str(tmp_path / "out")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert st.inbox_stream(spark, str(tmp_path / "in")).sparkSession.conf.get("spark.sql.shuffle.partitions") == "7"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before["spark.sql.shuffle.partitions"])
+    stream = st.stream_inbox(spark, str(tmp_path / "in"), out, str(tmp_path / "check"))
+    stream.awaitTermination()
+    seen = spark.sparkContext.statusTracker()
+    stages = [seen.getStageInfo(stage) for job in seen.getJobIdsForGroup(stream.runId) for stage in seen.getJobInfo(job).stageIds]
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert stages and max(stage.numTasks for stage in stages) <= most
+    assert len(list((tmp_path / "out").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism + 1
+    assert spark.read.parquet(out).count() == 400 and spark.conf.getAll == before
