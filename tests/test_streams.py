@@ -233,6 +233,19 @@ def test_an_inbox_is_one_source_taken_in_bounded_batches(spark, tmp_path, monkey
     assert scan()[2] == 9
 
 
+def test_a_poll_goes_on_until_all_batches_are_taken(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "FILES_PER_BATCH", 3, raising=False)
+    (tmp_path / "in").mkdir()
+    for n in range(10):
+        (tmp_path / "in" / f"{n}.json").write_text("{")
+    out = str(tmp_path / "out")
+    stream = st.stream_poll(spark, str(tmp_path / "in"), out, str(tmp_path / "check"), every="0 seconds")
+    stream.processAllAvailable()
+    batches = [p.numInputRows for p in stream.recentProgress if p.numInputRows]
+    stream.stop()
+    assert max(batches) == 3 and sum(batches) == 10 and spark.read.parquet(out).distinct().count() == 10
+
+
 def test_files_of_a_batch_share_tasks(spark, tmp_path):
     """Neither listing nor reading takes a task per few files; other settings hold, and
     the session of the caller keeps its own."""
