@@ -42,10 +42,13 @@ def inbox_stream(
     what the driver holds of a batch is bounded; of all files it keeps path and time.
     The stream has a session of its own, whose ``streams`` lists its queries: a batch
     lists its files one by one, by default in a task each, and by default a few files
-    of any length fill a task that reads.
+    of any length fill a task that reads. The driver neither asks where files lie nor
+    keeps what it listed for a batch, which is never listed again.
     """
     settings = {
         "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+        "spark.sql.sources.ignoreDataLocality": "true",
+        "spark.sql.hive.filesourcePartitionFileCacheSize": "0",
         "spark.sql.files.openCostInBytes": str(MAX_DOCUMENT_BYTES),
     }
     files = (
